@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat_format",)
+MODULES = ("chat_format", "quality_crf")
 
 
 def queries() -> dict:
