@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat_format", "quality_crf")
+MODULES = ("chat_format", "quality_crf", "minhash_dedup")
 
 
 def queries() -> dict:
