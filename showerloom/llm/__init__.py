@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat_format", "quality_crf", "minhash_dedup", "lm_score")
+MODULES = ("chat_format", "mixing", "quality_crf", "minhash_dedup", "lm_score", "sentencepiece_lattice")
 
 
 def queries() -> dict:
