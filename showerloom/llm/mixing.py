@@ -40,7 +40,7 @@ LEVELS = ["_domain", "_lang", "_source"]
 
 
 def domain_of(source: Column) -> Column:
-    n = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT)") if source is None else F.regexp_extract(source, "([0-9]+)$", 1).try_cast("int")
+    n = F.regexp_extract(source, "([0-9]+)$", 1).try_cast("int")
     out = F.when(n.isNull(), "")
     for name, first in reversed(DOMAINS):
         out = out.when(n >= first, name)
