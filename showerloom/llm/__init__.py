@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_filter", "chat_format", "mixing", "quality_crf", "minhash_dedup", "lm_score", "sentencepiece_lattice")
+MODULES = ("url_filter", "chat_format", "license_scan", "mixing", "quality_crf", "minhash_dedup", "lm_score", "sentencepiece_lattice")
 
 
 def queries() -> dict:
