@@ -4,10 +4,10 @@
    30 bands of 6 MinHash rows: at Jaccard 0.8 a pair shares a band with probability 0.9999.
    Texts with the same set are one class from here on, so copies never make pairs.
 2. Candidates: per round, pairs of a class with a pivot of its bucket, only across components found
-   so far.  Round one pairs each class with its smallest pivot, round two with every pivot of its
-   buckets, round three compares whatever is left across components in a bucket, exhaustively; so
-   connectivity over all banded candidates is exact while a bucket of n classes that belong
-   together costs n pairs.
+   so far.  Round one pairs each class with one pivot, round two with the pivots of all its buckets,
+   each drawn by hash.  What still shares a bucket across components is compared exhaustively, but in
+   blocks (``exhaust``) that hand on links alone, so connectivity over all banded candidates is exact
+   while no step makes more rows than there are bucket entries.
 3. Verification compares the signatures in batches of 30 rows.  With a uniform prior, m agreements
    in n rows leave P(J >= t | m, n) = P(Binomial(n + 1, t) <= m); a pair goes as soon as that is
    below ``miss``.  Survivors are decided on their full shingle sets.
@@ -35,6 +35,8 @@ from .common import HashCache, components, cut, table, tokens
 BANDS, ROWS = 30, 6
 K = BANDS * ROWS
 BATCH = 30
+#: classes on either side of a block of comparisons
+BLOCK = 512
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 32, K, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32)
@@ -114,6 +116,13 @@ def payload(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.select("text", "cls").mapInPandas(run, "cls binary, sig binary, items binary").dropDuplicates(["cls"])
 
 
+def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([s, t])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def verify(pairs: DataFrame, held: DataFrame, percent: int, miss: float) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
     least = least_agreements(percent / 100, miss)
@@ -130,11 +139,7 @@ def verify(pairs: DataFrame, held: DataFrame, percent: int, miss: float) -> Data
                 live = live[agree[live] >= m]
             good = []
             for i in live:
-                s, t = (np.frombuffer(pdf[c].iat[i], np.uint64) for c in ("items_a", "items_b"))
-                both = np.concatenate([s, t])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
+                if alike(*(np.frombuffer(pdf[c].iat[i], np.uint64) for c in ("items_a", "items_b")), percent):
                     good.append(i)
             yield pdf.iloc[good][["a", "b"]]
 
@@ -146,33 +151,84 @@ def ordered(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def exhaust(placed: DataFrame, held: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) between classes of different components that share a bucket.
+
+    placed: bucket, cls, pivot, at (component), main (the bucket's commonest component), for buckets
+    with several components.  In such a pair one side is not of the main component; these few are
+    compared with their family (what hangs together by buckets) in blocks of BLOCK x BLOCK classes.
+    """
+    least = least_agreements(percent / 100, miss)
+    family = components(placed.select("pivot", "cls"), "pivot", "cls").withColumnsRenamed({"id": "cls", "component_id": "family"})
+    rows = placed.groupBy("cls").agg(F.first("at").alias("at"), F.max(F.col("at") != F.col("main")).alias("few")).join(family, "cls")
+    sizes = rows.groupBy("family").agg(F.ceil(F.count_if("few") / BLOCK).cast("int").alias("nf"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nm"))
+    rows = rows.join(sizes, "family").join(held, "cls")
+    own = lambda n: F.expr(f"CAST(pmod(xxhash64(cls), {n}) AS INT)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["family", "fb", "mb", "cls", "at", "few", "sig", "items"]
+    few = rows.where("few").withColumn("fb", own("nf")).withColumn("mb", every("nm")).select(cols).toDF(*cols)
+    all_ = rows.where("nf > 0").withColumn("mb", own("nm")).withColumn("fb", every("nf")).select(cols).toDF(*cols)
+
+    def run(f: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(f) and len(m):
+            fs, ms = (np.frombuffer(b"".join(x.sig), np.uint32).reshape(-1, K) for x in (f, m))
+            fk, mk = (np.array([band_keys(s) for s in x]) for x in (fs, ms))
+            names, comp = m.cls.map(bytes).to_numpy(object), m["at"].map(bytes)
+            comp_no, comp = pd.factorize(comp)
+            small, sizes_ = m.few.to_numpy(bool), m["items"].map(len).to_numpy() // 8
+            for i in range(len(f)):
+                name, at, n = bytes(f.cls.iat[i]), bytes(f["at"].iat[i]), len(f["items"].iat[i]) // 8
+                other = comp_no != (list(comp).index(at) if at in comp else -1)
+                other &= 100 * np.minimum(sizes_, n) >= percent * np.maximum(sizes_, n)
+                other[other] = (mk[other] == fk[i]).any(1)
+                live = np.flatnonzero(other)
+                live = live[[not small[j] or name < names[j] for j in live]] if len(live) else live
+                agree = np.zeros(len(m), int)
+                for r, least_ in enumerate(least):
+                    rows_ = slice(r * BATCH, (r + 1) * BATCH)
+                    agree[live] += (ms[live, rows_] == fs[i, rows_]).sum(1)
+                    live = live[agree[live] >= least_]
+                mine, done = np.frombuffer(f["items"].iat[i], np.uint64), set()
+                for j in live[np.argsort(-agree[live], kind="stable")]:
+                    if comp_no[j] in done:  # linked with that component already
+                        continue
+                    if alike(mine, np.frombuffer(m["items"].iat[j], np.uint64), percent):
+                        done.add(comp_no[j])
+                        a.append(min(name, names[j]))
+                        b.append(max(name, names[j]))
+        return pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+    keys = ["family", "fb", "mb"]
+    return few.groupBy(*keys).cogroup(all_.groupBy(*keys)).applyInPandas(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
     """One row per document: key, n_shingles, component (the smallest key reachable by links)."""
     sketches = cut(sketch(docs, key, width))
     classes = cut(sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least_key"), F.min("text_hash").alias("text_hash"), F.any_value("bands").alias("bands")))
     postings = classes.select("cls", F.explode("bands").alias("bucket"))
-    shared = postings.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cls").alias("pivot")).where("n > 1").drop("n")
+    drawn = F.min_by("cls", F.xxhash64("cls", "bucket"))
+    shared = postings.groupBy("bucket").agg(F.count("*").alias("n"), drawn.alias("pivot")).where("n > 1").drop("n")
     buckets = cut(postings.join(shared, "bucket"))
     held = cut(payload(docs, classes.select("cls", "text_hash").join(buckets.select("cls").distinct(), "cls", "left_semi"), width))
 
-    tried = cut(buckets.groupBy("cls").agg(F.min("pivot").alias("pivot")).where("pivot <> cls").select(*ordered("pivot", "cls")))
+    def mixed(links: DataFrame) -> DataFrame:
+        """Entries of the buckets that hold several components."""
+        groups = components(links).withColumnsRenamed({"id": "cls", "component_id": "at"})
+        placed = buckets.join(groups, "cls", "left").withColumn("at", F.coalesce("at", "cls"))
+        several = placed.groupBy("bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.mode("at").alias("main")).where("lo <> hi").select("bucket", "main")
+        return cut(placed.join(several, "bucket"))
+
+    tried = cut(buckets.groupBy("cls").agg(F.min("pivot").alias("pivot")).where("pivot <> cls").select(*ordered("pivot", "cls")).distinct())
     links = cut(verify(tried, held, percent, miss))
-    for exhaustive in (False, True):
-        groups = components(links)
-        placed = buckets.join(groups.withColumnsRenamed({"id": "cls", "component_id": "at"}), "cls", "left").withColumn("at", F.coalesce("at", "cls"))
-        mixed = placed.groupBy("bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.mode("at").alias("main")).where("lo <> hi").select("bucket", "main")
-        placed = cut(placed.join(mixed, "bucket"))
-        if exhaustive:
-            few = placed.where("at <> main").select("bucket", F.col("cls").alias("x"), F.col("at").alias("x_at"))
-            pairs = few.join(placed, "bucket").where("x_at <> at").select(*ordered("x", "cls"))
-        else:
-            pivots = placed.where("cls = pivot").select("bucket", F.col("at").alias("pivot_at"))
-            pairs = placed.join(pivots, "bucket").where("at <> pivot_at").select(*ordered("pivot", "cls"))
-        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(cut(verify(pairs, held, percent, miss)))
+    placed = mixed(links)
+    pivots = placed.where("cls = pivot").select("bucket", F.col("at").alias("pivot_at"))
+    pairs = placed.join(pivots, "bucket").where("at <> pivot_at").select(*ordered("pivot", "cls")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(cut(verify(pairs, held, percent, miss)))
+    placed = mixed(links)
+    if not placed.isEmpty():
+        links = links.unionByName(cut(exhaust(placed, held, percent, miss)))
 
     groups = components(links).withColumnsRenamed({"id": "cls", "component_id": "at"})
     at = classes.select("cls", "least_key").join(groups, "cls", "left").withColumn("at", F.coalesce("at", "cls"))
