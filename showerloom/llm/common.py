@@ -49,9 +49,19 @@ def use_checkpoints(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    """df with its lineage cut by a reliable checkpoint in the shared folder.
+
+    A checkpoint keeps the constraints of the plan it replaces; over the rounds of a loop they grow
+    exponentially, so none are derived while it is made.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
     use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
 
 
 def parts(spark: SparkSession) -> int:
