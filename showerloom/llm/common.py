@@ -10,8 +10,9 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -51,17 +52,15 @@ def use_checkpoints(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder.
 
-    A checkpoint keeps the constraints of the plan it replaces; over the rounds of a loop they grow
-    exponentially, so none are derived while it is made.
+    A checkpointed frame keeps the size estimate of the plan it replaces.  Joins multiply estimates,
+    so over the rounds of a loop they grow to numbers that take minutes to multiply; the rows
+    are therefore wrapped anew, without an estimate, and AQE decides by the real sizes.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    use_checkpoints(df.sparkSession)
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(name, before)
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    done = df.checkpoint(eager=True)
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def parts(spark: SparkSession) -> int:
