@@ -10,8 +10,8 @@ sequence (scaled forward recursion) plus the words' own terms.
 
 Training: ``PASSES`` full Baum-Welch iterations over every training document; each partition runs
 forward-backward over its texts and emits its expected counts, which are summed by key in Spark.
-The chain starts from a mixture of unigrams fitted on at most ``INIT_DOCS`` documents (smallest id
-hashes), a starting point only.  Counts of words: every training document, summed by hash.
+The chain starts from a mixture of unigrams fitted on about ``INIT_DOCS`` documents (drawn by hash),
+a starting point only.  Counts of words: every training document, summed by hash.
 
 Word counts are looked up in two ways with one result: the ``HEAD`` most frequent words (a fixed
 bound) are broadcast, all others are joined by hash.
@@ -34,12 +34,12 @@ FOLD = 7
 N_CLASSES = 8192
 STATES = 6
 PASSES = 2
-INIT_DOCS = 1500
-HEAD = 1 << 18
+INIT_DOCS = 800
+HEAD = 200_000
 #: pseudo-counts of the class emission, spread by class frequency, and of transitions
 PRIOR_EMIT, PRIOR_TRANS = 50.0, 5.0
 #: tokens of the texts that run side by side
-SIDE_BY_SIDE = 120_000
+SIDE_BY_SIDE = 300_000
 
 
 def encode(texts, cache: HashCache) -> list[np.ndarray]:
@@ -77,11 +77,13 @@ class Chain:
         of_doc = np.concatenate([np.arange(k) for k in live])
         flat, begin = np.concatenate(seqs), np.cumsum(lens) - lens
         cls = flat[begin[of_doc] + np.repeat(np.arange(len(live)), live)]
-        e = self.emit[cls]
-        alpha, scale = np.empty_like(e), np.empty(len(e))
-        state = self.start
+        kind = np.float32 if backward else np.float64  # counts need no more; likelihoods do
+        tilt = self.move.astype(kind)
+        e = self.emit.astype(kind)[cls]
+        alpha, scale = np.empty_like(e), np.empty(len(e), kind)
+        state = self.start.astype(kind)
         for f, k in zip(first, live, strict=True):
-            state = (state[:k] @ self.move if f else state) * e[f : f + k]
+            state = (state[:k] @ tilt if f else state) * e[f : f + k]
             c = state.sum(1)
             state = state / c[:, None]
             alpha[f : f + k], scale[f : f + k] = state, c
@@ -92,7 +94,7 @@ class Chain:
         beta = np.ones_like(e)
         for t in range(len(live) - 2, -1, -1):
             f, g, k = first[t], first[t + 1], live[t + 1]
-            beta[f : f + k] = (beta[g : g + k] * weighed[g : g + k]) @ self.move.T
+            beta[f : f + k] = (beta[g : g + k] * weighed[g : g + k]) @ tilt.T
         gamma = alpha * beta
         emit = np.column_stack([np.bincount(cls, gamma[:, s], len(self.emit)) for s in range(gamma.shape[1])])
         later = np.arange(live[0], len(e))
@@ -139,6 +141,19 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most `most` of the most frequent words: all above a count that a histogram gives."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    bins = sorted(counts.groupBy(step.alias("b")).count().collect(), key=lambda r: -r["b"])  # a few hundred at most
+    least, held = 1 << 30, 0
+    for r in bins:
+        held += r["count"]
+        if held > most:
+            break
+        least = r["b"]
+    return counts.where(step >= least)
+
+
 def baum_welch(train: DataFrame, chain: Chain) -> Chain:
     """One iteration over all training texts."""
     held = train.sparkSession.sparkContext.broadcast(chain)  # (N_CLASSES + 1) x STATES numbers
@@ -161,8 +176,8 @@ def baum_welch(train: DataFrame, chain: Chain) -> Chain:
     return Chain.from_counts(got[0], got[1 : 1 + STATES], got[1 + STATES :])
 
 
-def learn(train: DataFrame) -> Chain:
-    few = train.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("text").limit(INIT_DOCS)
+def learn(train: DataFrame, n_docs: int) -> Chain:
+    few = train.where(F.expr(f"pmod(xxhash64(doc_id, text), {max(n_docs, 1)}) < {INIT_DOCS}")).orderBy(F.xxhash64("text")).select("text").limit(2 * INIT_DOCS)
 
     def run(batches):
         cache = HashCache()
@@ -178,10 +193,10 @@ def learn(train: DataFrame) -> Chain:
 def score(documents: DataFrame, train: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score for every document; train: doc_id, text."""
     sc = documents.sparkSession.sparkContext
-    chain = learn(train)
-    counts = cut(count_words(train))
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas().sort_values("word")
     n_docs = train.count()
+    chain = learn(train, n_docs)
+    counts = cut(count_words(train))
+    head = most_frequent(counts, HEAD).toPandas().sort_values("word")
     by_class = counts.groupBy(F.expr(f"CAST(pmod(word, {N_CLASSES}) AS INT)").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas().set_index("k").reindex(range(N_CLASSES), fill_value=0)
     big_n, big_v = int(by_class.n.sum()) + n_docs, int(by_class.v.sum()) + (n_docs > 0)
     own = np.append(np.log10(by_class.n.to_numpy() + by_class.v.to_numpy() + 1.0), 0.0)
