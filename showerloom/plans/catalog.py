@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import reference
+
 
 def queries() -> dict:
-    return {}
+    return dict(reference.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(reference.ORACLE)
