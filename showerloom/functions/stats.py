@@ -85,15 +85,15 @@ def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str,
 
     Below the first share the first value counts; groups whose weights sum to 0 or less get null.
     """
-    order = W.partitionBy(*keys).orderBy(value, tie)
-    run = F.sum(weight).over(order.rowsBetween(W.unboundedPreceding, 0))
-    rows = df.select(*keys, F.col(value).alias("v"), F.col(value).alias(value), F.col(weight).alias(weight), tie)
-    rows = rows.withColumns({"_run": run, "_total": F.sum(weight).over(W.partitionBy(*keys)), "_pv": F.lag("v").over(order), "_k": F.row_number().over(order)})
+    rows = df.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w"), F.col(tie).alias("_t"))
+    order = W.partitionBy(*keys).orderBy("_v", "_t")
+    run = F.sum("_w").over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumns({"_run": run, "_total": F.sum("_w").over(W.partitionBy(*keys)), "_pv": F.lag("_v").over(order), "_k": F.row_number().over(order)})
     rows = rows.withColumn("_c", F.when(F.col("_total") > 0, F.try_divide(F.col("_run"), F.col("_total"))))
-    rows = rows.withColumn("_pc", F.lag("_c").over(order))
+    rows = rows.withColumn("_pc", F.lag("_c").over(W.partitionBy(*keys).orderBy("_k")))
     out = []
     for name, q in quantiles.items():
-        at = F.when(F.col("_pc").isNull() | (F.col("_c") <= F.col("_pc")), F.col("v")).otherwise(F.col("_pv") + (F.lit(q) - F.col("_pc")) * (F.col("v") - F.col("_pv")) / (F.col("_c") - F.col("_pc")))
+        at = F.when(F.col("_pc").isNull() | (F.col("_c") <= F.col("_pc")), F.col("_v")).otherwise(F.col("_pv") + (F.lit(q) - F.col("_pc")) * (F.col("_v") - F.col("_pv")) / (F.col("_c") - F.col("_pc")))
         reached = (F.col("_c") >= q) | (F.col("_c") == 1.0)
         out.append(F.min_by(F.when(reached, at), F.when(reached, F.col("_k"))).alias(name))
     return rows.groupBy(*keys).agg(*out)

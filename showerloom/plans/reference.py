@@ -421,7 +421,7 @@ def color_range(spark, d):
 
 @query("SELECT event_id, step_id, floor((a - floor(a / (2 * pi())) * (2 * pi()) - pi()) * CAST(1000000 AS DOUBLE) + 0.5) / CAST(1000000 AS DOUBLE) AS angle FROM (SELECT event_id, step_id, x / 3 + pi() AS a FROM ecal)")
 def angle_wrap(spark, d):
-    return ecal(spark, d).select("event_id", "step_id", near(F.col(wrapped(F.col("x") / 3)), 6).alias("angle"))
+    return ecal(spark, d).select("event_id", "step_id", near(wrapped(F.col("x") / 3), 6).alias("angle"))
 
 
 @query("SELECT event_id, floor((cos(m)) * CAST(1000000 AS DOUBLE) + 0.5) / CAST(1000000 AS DOUBLE) AS c FROM (SELECT event_id, CASE WHEN sum(energy) > 0 THEN atan2(sum(energy * sin(x)), sum(energy * cos(x))) ELSE 0 END AS m FROM ecal GROUP BY event_id)")
