@@ -17,7 +17,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: texts of one Arrow batch handled together in numpy, in bytes; bounds the temporary arrays
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def ascii_lower(c: Column) -> Column:
@@ -75,7 +75,7 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
 class HashCache(dict):
     """64-bit token hashes; forgets everything when it has grown to `most` tokens."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         from xxhash import xxh3_64_intdigest
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TOKEN, table
+from .common import TOKEN, cut, table
 
 #: first source number of each domain
 DOMAINS = (("web", 0), ("reference", 10), ("forum", 15))
@@ -37,6 +37,8 @@ BUDGET_PERCENT = 80
 MAX_EPOCHS = 4
 SEED = "mix-1"
 LEVELS = ["_domain", "_lang", "_source"]
+#: node tables of up to so many leaves are broadcast; larger ones are joined by shuffle
+FEW_LEAVES = 10_000
 
 
 def domain_of(source: Column) -> Column:
@@ -84,16 +86,17 @@ def mix(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EP
     """docs' rows once per epoch in which they are taken, with _domain, _lang, _source, _tokens, _epoch."""
     names = [F.coalesce(domain_of(F.col("source")), F.lit("")).alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source")]
     rows = docs.select(*docs.columns, *names, F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("_tokens"))
-    leaves = budgets(rows.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens")), percent, max_epochs)
+    leaves = cut(budgets(rows.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens")), percent, max_epochs))
+    few = leaves.count() <= FEW_LEAVES
     mark = F.md5(F.concat_ws("|", F.lit(seed), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
     def placed(leaves):
-        return rows.join(leaves, LEVELS).withColumn("_mark", mark).withColumn("_part", F.substring("_mark", 1, 3))
+        return rows.join(F.broadcast(leaves) if few else leaves, LEVELS).withColumn("_mark", mark).withColumn("_part", F.substring("_mark", 1, 3))
 
     sums = placed(leaves).groupBy(*LEVELS, "_part").agg(F.sum("_tokens").alias("n"), F.first("rest").alias("rest"))
     run = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("_part").rowsBetween(W.unboundedPreceding, 0))
     over = sums.withColumn("run", run).where("run > rest").groupBy(*LEVELS).agg(F.min(F.struct("_part", (F.col("run") - F.col("n")).alias("before"))).alias("end"))
-    leaves = leaves.join(over, LEVELS, "left").select(*LEVELS, "full", "rest", "end")
+    leaves = cut(leaves.join(over, LEVELS, "left").select(*LEVELS, "full", "rest", "end"))
     rows_at = placed(leaves)
     last = rows_at.where("_part = end._part")
     running = F.sum("_tokens").over(W.partitionBy(*LEVELS).orderBy("_mark", F.col("doc_id").asc_nulls_first(), "_tokens").rowsBetween(W.unboundedPreceding, 0))
