@@ -8,6 +8,7 @@ only); in SQL it is ``WORDS`` below.  A null text counts as empty.
 from __future__ import annotations
 
 import tempfile
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, SparkSession
@@ -18,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: texts of one Arrow batch handled together in numpy, in bytes; bounds the temporary arrays
 BLOCK_BYTES = 2 << 20
+#: rows that a task of a graph round should hold
+ROWS_PER_TASK = 100_000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -99,17 +102,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the chain of pointers is composed.  Rows per round never exceed the edges.  Each round is a
     grouped minimum and equi-joins, so a hub's edges are pre-aggregated, never gathered.
     """
+    def few(n: int) -> int:
+        return max(1, ceil(n / ROWS_PER_TASK))  # tasks for at most n rows, so that late rounds are not many empty files
+
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    n = e.count()
+    tasks = first = few(2 * n)
     labels = None
-    while not e.isEmpty():
+    while n:
+        e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        up = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks))
         if labels is None:
             labels = up.select(F.col("u").alias("id"), F.col("m").alias("component_id"))
         else:
-            labels = cut(labels.join(up.withColumnRenamed("u", "component_id"), "component_id", "left").select("id", F.coalesce("m", "component_id").alias("component_id")))
+            moved = labels.join(up.withColumnRenamed("u", "component_id"), "component_id", "left").select("id", F.coalesce("m", "component_id").alias("component_id"))
+            labels = cut(moved.coalesce(first))
         e = e.join(up.withColumnRenamed("m", "mu"), "u").join(up.select(F.col("u").alias("v"), F.col("m").alias("mv")), "v")
-        e = cut(e.select(F.least("mu", "mv").alias("u"), F.greatest("mu", "mv").alias("v")).where("u <> v").distinct())
+        e = cut(e.select(F.least("mu", "mv").alias("u"), F.greatest("mu", "mv").alias("v")).where("u <> v").distinct().coalesce(tasks))
+        n = e.count()
+        tasks = few(2 * n)
     if labels is None:
         return edges.select(F.col(a).alias("id"), F.col(a).alias("component_id")).where(F.lit(False))
     return labels
