@@ -12,7 +12,7 @@ of scores reproduces, so the fold replays the merges over the same edges: the be
 joins two neighbours (leftmost on ties) until none is left.  Both equal the reference library's
 output for their model type.
 
-The words of a bounded sample of documents (``HEAD`` most frequent) are encoded once by the lattice
+The words of a sample of a fixed number of documents (``HEAD`` most frequent) are encoded once by the lattice
 and broadcast; all other words of a document are encoded beside it, after one shuffle of the
 documents by row.  What is in the head changes the speed only.  A run of over ``MAX_FOLD``
 characters without a cut is segmented by the same rule in Python with a heap (BPE) or a table
@@ -30,6 +30,7 @@ import hashlib
 import heapq
 import re
 import struct
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +38,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, table
+from .common import cut, parts, table
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MAX_FOLD = 96
-SAMPLE_DOCS, HEAD = 20_000, 300_000
+COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}+|.", re.S)
+#: longest word of the fold: its cuts are the bits of a long
+MAX_FOLD = 60
+SAMPLE_DOCS, HEAD = 20_000, 400_000
 MOST_PIECES = 1 << 20
 UNIGRAM, BPE = 1, 2
 #: type numbers of pieces in the model file
@@ -124,11 +128,13 @@ class Model:
 
     def coarse(self, text: str) -> list[str]:
         """Words up to the next U+2581 run; no piece may have it behind another character."""
-        return re.findall(rf"{SPACE}*[^{SPACE}]+|{SPACE}+", (SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else []
+        return COARSE.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else []
 
     def fine(self, word: str) -> list[str]:
         """The word in parts that no piece spans."""
-        runs = re.findall(rf"{SPACE}*[^\W\d_]+|{SPACE}+|.", word, re.S)
+        runs = FINE.findall(word)
+        if len(runs) == 1 and len(word) <= MAX_FOLD:
+            return runs
         out: list[str] = []
         for r in runs:
             if out and out[-1][-1] + r[0] in self.inside:
@@ -202,127 +208,130 @@ class Model:
         return out
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str]) -> DataFrame:
-    """keys, word, edges (i, j, score): the pieces of two or more characters at their places."""
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str], edge: Column) -> DataFrame:
+    """keys, word, edges: the pieces of two or more characters at their places i, j, as `edge`."""
     n = F.char_length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 2, F.least(n, i + longest)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    rows = words.where(n >= 2).select(*keys, "word", F.explode(spans).alias("s")).select(*keys, "word", "s.i", "s.j", F.expr("substring(word, s.i + 1, s.j - s.i)").alias("piece"))
-    found = rows.join(F.broadcast(pieces), "piece")
-    return found.groupBy(*keys, "word").agg(F.collect_list(F.struct("i", "j", "score")).alias("edges"))
+    rows = words.where(n >= 2).select(*keys, "word", F.explode(F.sequence(F.lit(0), n - 2)).alias("i"))
+    rows = rows.select(*keys, "word", "i", F.explode(F.sequence(F.col("i") + 2, F.least(n, F.col("i") + longest))).alias("j"))
+    found = rows.withColumn("piece", F.expr("substring(word, i + 1, j - i)")).join(F.broadcast(pieces), "piece")
+    return found.groupBy(*keys, "word").agg(F.collect_list(edge).alias("edges"))
 
 
 def merge_fold(edges: Column, n: Column) -> Column:
-    """Cuts (0 .. n) after replaying the merges in order of score, then place."""
-    at = lambda i, j: i * 4096 + j
-    table_ = F.map_from_entries(F.transform(edges, lambda e: F.struct(at(e["i"], e["j"]).alias("k"), e["score"].alias("v"))))
+    """Cuts as bits 0 .. n of a long after replaying the merges in order of rank, then place.
+
+    edges: rank << 16 | i << 8 | j.  A merge of i .. j is open while both ends and exactly one place
+    between them are cuts; making it clears that one.
+    """
+    one = F.lit(1).cast("long")
+    bit = lambda k: F.call_function("shiftleft", one, k.cast("int"))
+    i, j = (lambda e: F.shiftright(e, 8).bitwiseAND(255)), (lambda e: e.bitwiseAND(255))
+    masks = F.transform(F.sort_array(edges), lambda e: F.struct((bit(j(e)) * 2 - bit(i(e))).alias("all"), (bit(i(e)) + bit(j(e))).alias("ends")))
 
     def step(acc, _):
-        b, m = acc["b"], acc["m"]
-        options = F.transform(b, lambda x, k: F.when((k > 0) & (k < F.size(b) - 1), F.struct(F.try_element_at(m, at(F.get(b, k - 1), F.get(b, k + 1))).alias("s"), (-k).alias("k"))))
-        best = F.array_max(F.filter(options, lambda o: o["s"].isNotNull()))
-        cut_ = F.get(F.transform(F.array(best), lambda o: F.when(o.isNull(), b).otherwise(F.filter(b, lambda x, k: k != -o["k"]))), F.lit(0))
-        return F.struct(m.alias("m"), cut_.alias("b"))
+        m, es = acc["m"], acc["es"]
+        open_ = F.filter(es, lambda e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["all"])) == 3))
+        inner = F.get(F.transform(F.slice(open_, 1, 1), lambda e: e["all"] - e["ends"]), F.lit(0))
+        return F.struct(es.alias("es"), m.bitwiseAND(F.bitwise_not(F.coalesce(inner, F.lit(0).cast("long")))).alias("m"))
 
-    start = F.struct(table_.alias("m"), F.sequence(F.lit(0), n).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda acc: acc["b"])
+    start = F.struct(masks.alias("es"), (bit(n) * 2 - 1).alias("m"))
+    return F.aggregate(F.sequence(F.lit(1), F.least(n - 1, F.size(edges))), start, step, lambda acc: acc["m"])
 
 
 def viterbi_fold(edges: Column, n: Column, low: float) -> Column:
-    """Cuts (0 .. n) of the best-scored path; edges must hold the single characters too."""
+    """Cuts as bits 0 .. n of a long of the best-scored path; edges (i, j, score) hold the single characters too."""
     row = lambda score, back: F.struct(score.cast("double").alias("score"), back.cast("int").alias("back"))
 
     def step(acc, j):
         prior = acc["p"]
         here = F.filter(acc["e"], lambda e: e["j"] == j)
-        options = F.transform(here, lambda e: row(F.get(prior, e["i"])["score"] + e["score"], e["i"]))
-        fallback = row(F.get(prior, j - 1)["score"] + F.lit(low), j - 1)
-        best = F.array_max(F.transform(F.concat(options, F.array(fallback)), lambda o: F.struct(o["score"].alias("score"), (-o["back"]).alias("back"))))
+        options = F.transform(here, lambda e: row(F.get(prior, e["i"])["score"] + e["score"], -e["i"]))
+        fallback = row(F.get(prior, j - 1)["score"] + F.lit(low), 1 - j)
+        best = F.array_max(F.concat(options, F.array(fallback)))
         return F.struct(acc["e"].alias("e"), F.concat(prior, F.array(row(best["score"], -best["back"]))).alias("p"))
 
     start = F.struct(edges.alias("e"), F.array(row(F.lit(0.0), F.lit(0))).alias("p"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
     def walk(acc):
         p = acc["p"]
-        back = F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda c, _: F.when(F.element_at(c, -1) > 0, F.concat(c, F.array(F.get(p, F.element_at(c, -1))["back"]))).otherwise(c))
-        return F.reverse(back)
+        pos = F.struct(n.cast("int").alias("at"), bit(n).alias("m"))
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, walk)
+        def back(c, _):
+            before = F.get(p, c["at"])["back"]
+            return F.struct(before.alias("at"), c["m"].bitwiseOR(bit(before)).alias("m"))
 
+        return F.aggregate(F.sequence(F.lit(1), n), pos, back, lambda c: c["m"])
 
-def fold(edges: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """keys, word, cuts."""
-    n = F.char_length("word")
-    if model.kind == BPE:
-        cuts = merge_fold(F.col("edges"), n)
-    else:
-        low = min(model.scores.values(), default=0.0) - 10
-        cuts = viterbi_fold(F.col("edges"), n, low)
-    return edges.select(*keys, "word", cuts.alias("cuts"))
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, walk)
 
 
 def lattice_words(words: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """keys, word, cuts of words of 2 to MAX_FOLD characters; words without any edge are left out."""
-    spark = words.sparkSession
-    pieces = spark.createDataFrame(pd.DataFrame({"piece": list(model.scores), "score": list(model.scores.values())}), "piece string, score double")
+    """keys, word, cuts (bits) of words of 2 to MAX_FOLD characters; words without any edge are left out."""
+    spark, n = words.sparkSession, F.char_length("word")
+    table_ = pd.DataFrame({"piece": list(model.scores), "score": list(model.scores.values())})
+    table_["rank"] = table_.score.rank(method="dense", ascending=False).astype("int64")
+    pieces = spark.createDataFrame(table_, "piece string, score double, rank long")
+    several = pieces.where(F.char_length("piece") > 1)
     if model.kind == BPE:
-        pieces = pieces.where(F.char_length("piece") > 1)
-        return fold(lattice(words, pieces, model.longest, keys), model, keys)
-    got = lattice(words, pieces.where(F.char_length("piece") > 1), model.longest, keys)
-    singles = {p: s for p, s in model.scores.items() if len(p) == 1}
-    chars = spark.createDataFrame(pd.DataFrame({"c": list(singles) or [""], "s": list(singles.values()) or [0.0]}), "c string, s double")
-    one = got.select(*keys, "word", F.posexplode(F.split("word", "")).alias("i", "c")).where("c <> ''").join(F.broadcast(chars), "c")
-    one = one.groupBy(*keys, "word").agg(F.collect_list(F.struct("i", (F.col("i") + 1).alias("j"), F.col("s").alias("score"))).alias("more"))
+        edge = F.expr("shiftleft(rank, 16) + i * 256 + j")
+        return lattice(words, several.select("piece", "rank"), model.longest, keys, edge).select(*keys, "word", merge_fold(F.col("edges"), n).alias("cuts"))
+    got = lattice(words, several.select("piece", "score"), model.longest, keys, F.struct("i", "j", "score"))
+    chars = pieces.where(F.char_length("piece") == 1).select(F.col("piece").alias("c"), "score")
+    one = got.select(*keys, "word", F.posexplode(F.split("word", "")).alias("i", "c")).join(F.broadcast(chars), "c")
+    one = one.groupBy(*keys, "word").agg(F.collect_list(F.struct("i", (F.col("i") + 1).alias("j"), "score")).alias("more"))
     both = got.join(one, [*keys, "word"], "left").withColumn("edges", F.concat("edges", F.coalesce("more", F.array().cast("array<struct<i:int,j:int,score:double>>"))))
-    return fold(both, model, keys)
+    low = min(model.scores.values(), default=0.0) - 10
+    return both.select(*keys, "word", viterbi_fold(F.col("edges"), n, low).alias("cuts"))
 
 
-def pieces_of(word: str, cuts) -> list[str]:
-    return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def pieces_of(word: str, cuts: int) -> list[str]:
+    at = [i for i in range(len(word) + 1) if cuts >> i & 1]
+    return [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-class Words:
-    """Ids of words, packed as int32: the broadcast head, and words met lately."""
+class Words(dict):
+    """Ids of words, packed as int32: the broadcast head, and up to `most` words met lately."""
 
-    def __init__(self, model: Model, head: dict[str, bytes], most: int = 100_000):
-        self.model, self.head, self.most, self.seen = model, head, most, {}
-        self.single: dict[str, bytes] = {}
+    def __init__(self, model: Model, head: dict[str, bytes], most: int = 50_000):
+        super().__init__(head)
+        self.model, self.most, self.own, self.lately = model, most, {}, []
 
-    def part(self, w: str, own: dict[str, bytes] | None) -> bytes | None:
-        if (got := self.head.get(w)) is not None or (own and (got := own.get(w)) is not None):
+    def part(self, w: str) -> bytes | None:
+        """Ids of a word without cuts; None if only the lattice can tell."""
+        if (got := self.get(w)) is not None or (got := self.own.get(w)) is not None:
             return got
         if len(w) > MAX_FOLD:
             return np.array(self.model.spell(self.model.segment(w)), "<i4").tobytes()
-        if len(w) == 1 or own is not None:  # a word without an edge is its characters
-            return np.array(self.model.spell(list(w)), "<i4").tobytes()
-        return None
+        return np.array(self.model.spell([w]), "<i4").tobytes() if len(w) == 1 else None
 
     def missing(self, text: str | None) -> list[str]:
+        """The text's words that need the lattice."""
         lost = set()
-        for c in set(self.model.coarse(text or "")):
-            if c in self.head or c in self.seen:
-                continue
-            fine = self.model.fine(c)
-            got = [self.part(w, None) for w in fine]
-            if None in got:
-                lost.update(w for w, g in zip(fine, got, strict=True) if g is None)
-            else:
-                self.keep(c, b"".join(got))
+        for c in [c for c in set(self.model.coarse(text or "")) if c not in self]:
+            lost.update(w for w in self.model.fine(c) if self.part(w) is None)
         return sorted(lost)
 
-    def keep(self, c: str, ids: bytes) -> None:
-        if len(self.seen) >= self.most:
-            self.seen.clear()
-        self.seen[c] = ids
+    def __missing__(self, c: str) -> bytes:
+        out, lost = [], False
+        for w in self.model.fine(c):
+            got = self.part(w)
+            if got is None:  # the lattice gave no edge: its characters
+                got = np.array(self.model.spell(list(w)), "<i4").tobytes()
+            out.append(got)
+        ids = b"".join(out)
+        if len(self.lately) >= self.most:
+            for x in self.lately:
+                del self[x]
+            self.lately = []
+        self.lately.append(c)
+        self[c] = ids
+        return ids
 
     def encode(self, text: str | None, own: dict[str, bytes]) -> bytes:
-        out, head, seen = [], self.head, self.seen
-        for c in self.model.coarse(text or ""):
-            got = head.get(c) or seen.get(c)
-            if got is None:
-                got = b"".join(self.part(w, own) for w in self.model.fine(c))
-                self.keep(c, got)
-            out.append(got)
-        return b"".join(out)
+        """Ids of the text; own: its words from the lattice."""
+        self.own = own
+        return b"".join(map(self.__getitem__, self.model.coarse(text or "")))
 
 
 _worker: dict = {}
@@ -330,26 +339,47 @@ _worker: dict = {}
 
 def _words(held) -> Words:
     """One table per Python worker and broadcast."""
-    if _worker.get("id") != id(held.value):
-        _worker.update(id=id(held.value), words=Words(*held.value))
+    if _worker.get("value") is not held.value:
+        _worker.update(value=held.value, words=Words(*held.value))
     return _worker["words"]
 
 
 def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, head: int = HEAD) -> dict[str, bytes]:
-    """Encoded words of at most sample_docs documents, at most `head` of them."""
+    """The `head` most frequent words of about sample_docs documents, encoded."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"word": [w for t in pdf.text if t for c in model.coarse(t) for w in model.fine(c) if 2 <= len(w) <= MAX_FOLD]}, dtype="str")
-
-    few = docs.select("text").orderBy(F.xxhash64("text")).limit(sample_docs)
-    words = few.mapInPandas(run, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(head).select("word")
-    got = lattice_words(words, model, []).toPandas()
-    return {w: np.array(model.spell(pieces_of(w, c)), "<i4").tobytes() for w, c in zip(got.word, got.cuts, strict=True)}
+            total: Counter = Counter()
+            for t in pdf.text:
+                total.update(model.coarse(t or ""))
+            yield pd.DataFrame({"word": list(total), "n": list(total.values())}).astype({"word": "str", "n": "int64"})
 
+    def fine(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"word": list({w for c in pdf.word for w in model.fine(c) if 2 <= len(w) <= MAX_FOLD})}, dtype="str")
 
-def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = SAMPLE_DOCS, head: int = HEAD) -> DataFrame:
-    """docs with a binary column of its piece ids, as little-endian int32."""
+    def spelled(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"word": pdf.word, "ids": [np.array(model.spell(pieces_of(w, c)), "<i4").tobytes() for w, c in zip(pdf.word, pdf.cuts, strict=True)]})
+
+    n = max(docs.count(), 1)
+    few = docs.select("text", F.monotonically_increasing_id().alias("i")).where(F.expr(f"pmod(xxhash64(i), {n}) < {sample_docs}"))
+    # a table of a fixed size, whatever the corpus
+    top = cut(few.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head).select("word"))
+    parts_ = top.repartition(parts(docs.sparkSession)).mapInPandas(fine, "word string").distinct()
+    rows = lattice_words(parts_, model, []).mapInPandas(spelled, "word string, ids binary").toArrow()
+    words = Words(model, dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)), most=head + 1)
+    for c in top.toArrow()["word"].to_pylist():
+        words[c]  # put together from its parts
+    return dict(words)
+
+
+def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = SAMPLE_DOCS, head: int = HEAD, finish=None, kind: str = "binary") -> DataFrame:
+    """docs with a column of its piece ids, packed as little-endian int32.
+
+    finish(texts, packed), where given, makes the column (of the given type) from both within the
+    same Python function.
+    """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((model, head_words(docs, model, sample_docs, head)))
 
@@ -358,20 +388,23 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = S
         words = _words(held)
         return pd.Series([words.missing(t) for t in texts], dtype=object)
 
-    @F.pandas_udf("binary")
-    def encoded(texts: pd.Series, own: pd.Series, cuts: pd.Series) -> pd.Series:
+    def encoded(texts: pd.Series, own: pd.Series, cuts: pd.Series):
         words, model_ = _words(held), held.value[0]
         done = []
         for t, ws, cs in zip(texts, own, cuts, strict=True):
             known = {} if ws is None else {w: np.array(model_.spell(pieces_of(w, c)), "<i4").tobytes() for w, c in zip(ws, cs, strict=True)}
             done.append(words.encode(t, known))
-        return pd.Series(done, dtype=object)
+        return pd.Series(done, dtype=object) if finish is None else finish(texts, done)
 
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).repartition(parts(spark), "_rid")
-    tail = rows.select("_rid", F.explode(missing("text")).alias("word"))
-    cut_words = lattice_words(tail, model, ["_rid"]).groupBy("_rid").agg(F.collect_list(F.struct("word", "cuts")).alias("_t"))
-    both = rows.join(cut_words, "_rid", "left")
-    return both.select(*docs.columns, encoded("text", F.col("_t.word"), F.col("_t.cuts")).alias(out))
+    # documents and their missing words are shuffled by row; all that follows is grouped and joined within the partitions
+    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
+    n = parts(spark)
+    lost = rows.select("_rid", missing("text").alias("_lost")).repartition(n, "_rid")
+    cut_words = lattice_words(lost.select("_rid", F.explode("_lost").alias("word")), model, ["_rid"]).groupBy("_rid").agg(F.collect_list(F.struct("word", "cuts")).alias("_t"))
+    both = rows.repartition(n, "_rid").join(cut_words, "_rid", "left")
+    encoded.__annotations__["return"] = pd.DataFrame if "," in kind else pd.Series
+    run = F.pandas_udf(encoded, kind)
+    return both.select(*docs.columns, run("text", F.col("_t.word"), F.col("_t.cuts")).alias(out))
 
 
 def decode_ids(ids: np.ndarray, model: Model) -> str:
@@ -392,15 +425,13 @@ def unpack(c: str) -> Column:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids as little-endian int32), round_trip (decoding gives the text)."""
     model = Model.load(model_file)
-    held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("n_pieces long, ids_sha256 string, round_trip boolean")
-    def digest(texts: pd.Series, packed: pd.Series) -> pd.DataFrame:
-        out = [(len(b) // 4, hashlib.sha256(b).hexdigest(), decode_ids(np.frombuffer(b, "<i4").tolist(), held.value) == (t or "").replace(SPACE, " ")) for t, b in zip(texts, packed, strict=True)]
+    def digest(texts, packed):
+        out = [(len(b) // 4, hashlib.sha256(b).hexdigest(), decode_ids(np.frombuffer(b, "<i4").tolist(), model) == (t or "").replace(SPACE, " ")) for t, b in zip(texts, packed, strict=True)]
         return pd.DataFrame(out, columns=["n_pieces", "ids_sha256", "round_trip"])
 
-    got = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return got.select("doc_id", digest("text", "ids").alias("d")).select("doc_id", "d.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, model, "d", finish=digest, kind="n_pieces long, ids_sha256 string, round_trip boolean").select("doc_id", "d.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
