@@ -46,7 +46,7 @@ COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}+|.", re.S)
 #: longest word of the fold: its cuts are the bits of a long
 MAX_FOLD = 60
-SAMPLE_DOCS, HEAD = 20_000, 400_000
+SAMPLE_DOCS, HEAD = 20_000, 150_000
 MOST_PIECES = 1 << 20
 UNIGRAM, BPE = 1, 2
 #: type numbers of pieces in the model file
@@ -293,7 +293,7 @@ def pieces_of(word: str, cuts: int) -> list[str]:
 class Words(dict):
     """Ids of words, packed as int32: the broadcast head, and up to `most` words met lately."""
 
-    def __init__(self, model: Model, head: dict[str, bytes], most: int = 50_000):
+    def __init__(self, model: Model, head: dict[str, bytes], most: int = 20_000):
         super().__init__(head)
         self.model, self.most, self.own, self.lately = model, most, {}, []
 
@@ -334,16 +334,6 @@ class Words(dict):
         return b"".join(map(self.__getitem__, self.model.coarse(text or "")))
 
 
-_worker: dict = {}
-
-
-def _words(held) -> Words:
-    """One table per Python worker and broadcast."""
-    if _worker.get("value") is not held.value:
-        _worker.update(value=held.value, words=Words(*held.value))
-    return _worker["words"]
-
-
 def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, head: int = HEAD) -> dict[str, bytes]:
     """The `head` most frequent words of about sample_docs documents, encoded."""
 
@@ -369,9 +359,9 @@ def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, he
     parts_ = top.repartition(parts(docs.sparkSession)).mapInPandas(fine, "word string").distinct()
     rows = lattice_words(parts_, model, []).mapInPandas(spelled, "word string, ids binary").toArrow()
     words = Words(model, dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)), most=head + 1)
-    for c in top.toArrow()["word"].to_pylist():
-        words[c]  # put together from its parts
-    return dict(words)
+    wanted = top.toArrow()["word"].to_pylist()
+    single = {p: np.array([i], "<i4").tobytes() for p, i in model.ids.items() if len(p) == 1}
+    return single | {c: words[c] for c in wanted}  # put together from their parts
 
 
 def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = SAMPLE_DOCS, head: int = HEAD, finish=None, kind: str = "binary") -> DataFrame:
@@ -381,18 +371,18 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = S
     same Python function.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((model, head_words(docs, model, sample_docs, head)))
+    held = spark.sparkContext.broadcast(Words(model, head_words(docs, model, sample_docs, head)))  # one copy per Python worker
 
     @F.pandas_udf("array<string>")
     def missing(texts: pd.Series) -> pd.Series:
-        words = _words(held)
+        words = held.value
         return pd.Series([words.missing(t) for t in texts], dtype=object)
 
     def encoded(texts: pd.Series, own: pd.Series, cuts: pd.Series):
-        words, model_ = _words(held), held.value[0]
+        words = held.value
         done = []
         for t, ws, cs in zip(texts, own, cuts, strict=True):
-            known = {} if ws is None else {w: np.array(model_.spell(pieces_of(w, c)), "<i4").tobytes() for w, c in zip(ws, cs, strict=True)}
+            known = {} if ws is None else {w: np.array(words.model.spell(pieces_of(w, c)), "<i4").tobytes() for w, c in zip(ws, cs, strict=True)}
             done.append(words.encode(t, known))
         return pd.Series(done, dtype=object) if finish is None else finish(texts, done)
 
