@@ -46,7 +46,7 @@ COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}+|.", re.S)
 #: longest word of the fold: its cuts are the bits of a long
 MAX_FOLD = 60
-SAMPLE_DOCS, HEAD = 20_000, 150_000
+SAMPLE_DOCS, HEAD = 10_000, 150_000
 MOST_PIECES = 1 << 20
 UNIGRAM, BPE = 1, 2
 #: type numbers of pieces in the model file
@@ -339,10 +339,11 @@ def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, he
 
     def run(batches):
         for pdf in batches:
-            total: Counter = Counter()
-            for t in pdf.text:
-                total.update(model.coarse(t or ""))
-            yield pd.DataFrame({"word": list(total), "n": list(total.values())}).astype({"word": "str", "n": "int64"})
+            for at in range(0, len(pdf), 300):  # counts of few texts at a time keep the worker small
+                total: Counter = Counter()
+                for t in pdf.text.iloc[at : at + 300]:
+                    total.update(model.coarse(t or ""))
+                yield pd.DataFrame({"word": list(total), "n": list(total.values())}).astype({"word": "str", "n": "int64"})
 
     def fine(batches):
         for pdf in batches:
@@ -402,16 +403,6 @@ def decode_ids(ids: np.ndarray, model: Model) -> str:
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
-def unpack(c: str) -> Column:
-    """A pandas UDF column: the packed ids as array<int>."""
-
-    @F.pandas_udf("array<int>")
-    def run(packed: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(b, "<i4") for b in packed], dtype=object)
-
-    return run(c)
-
-
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids as little-endian int32), round_trip (decoding gives the text)."""
     model = Model.load(model_file)
@@ -426,8 +417,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
     """doc_id, lang, source, n_chars, n_pieces, ids of every document."""
-    got = encode(docs, Model.load(model_file), "_ids")
-    return got.select("doc_id", "lang", "source", "n_chars", F.expr("CAST(octet_length(_ids) / 4 AS BIGINT)").alias("n_pieces"), unpack("_ids").alias("ids"))
+    def unpacked(texts, packed):
+        ids = [np.frombuffer(b, "<i4") for b in packed]
+        return pd.DataFrame({"n_pieces": [len(i) for i in ids], "ids": ids})
+
+    got = encode(docs, Model.load(model_file), "_d", finish=unpacked, kind="n_pieces long, ids array<int>")
+    return got.select("doc_id", "lang", "source", "n_chars", "_d.n_pieces", "_d.ids")
 
 
 QUERIES = {"op10_sentencepiece": op10_sentencepiece}
