@@ -46,7 +46,7 @@ COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}+|.", re.S)
 #: longest word of the fold: its cuts are the bits of a long
 MAX_FOLD = 60
-SAMPLE_DOCS, HEAD = 10_000, 150_000
+SAMPLE_DOCS, HEAD = 10_000, 100_000
 MOST_PIECES = 1 << 20
 UNIGRAM, BPE = 1, 2
 #: type numbers of pieces in the model file
@@ -389,7 +389,7 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = S
 
     # documents and their missing words are shuffled by row; all that follows is grouped and joined within the partitions
     rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    n = parts(spark)
+    n = 3 * parts(spark)  # small Arrow batches: a worker holds its texts, their ids and the head at once
     lost = rows.select("_rid", missing("text").alias("_lost")).repartition(n, "_rid")
     cut_words = lattice_words(lost.select("_rid", F.explode("_lost").alias("word")), model, ["_rid"]).groupBy("_rid").agg(F.collect_list(F.struct("word", "cuts")).alias("_t"))
     both = rows.repartition(n, "_rid").join(cut_words, "_rid", "left")
