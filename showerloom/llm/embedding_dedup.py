@@ -1,11 +1,15 @@
 """Embedding near-dedup: ITQ codes, multi-index Hamming tables, exact reranking.
 
-A rotation that balances binary codes is learned on a bounded sample (``SAMPLE`` vectors drawn by
-hash; all vectors are indexed): unit vectors are centred, and alternately coded by sign and turned by
-the orthogonal matrix that best fits the codes.  A table's key is a seeded subset of b code bits,
-b growing with log2 of the number of vectors so that buckets keep their size; the number of tables
-follows from b so that a pair at the threshold angle is missed with probability MISS at most
-(angle / pi per bit).
+Rotations that balance binary codes are learned on a bounded sample (``SAMPLE`` vectors drawn by
+hash; all vectors are indexed): unit vectors are coded by sign and turned by the orthogonal matrix
+that best fits the codes, in turn.  A table's key is b code bits; no bit serves two tables, and each
+64 bits come from a rotation learned from another random start.
+
+How often linked vectors share no table is measured, not derived: around the sample's vectors, pairs
+at exactly the threshold cosine are made by turning a vector in a random direction and towards another
+vector, and the sample's own pairs just over the threshold join them.  Tables are added until of each
+kind a share MISS at most is missed.  Whether the mean is taken off first (codes are more even, but
+the angle of a pair widens) and b follow from the measured cost: rows times tables, and pairs that meet.
 
 Equal vectors are one class from the start.  Buckets are dealt into pairs of blocks of at most about
 ``BLOCK`` classes; a group multiplies its blocks, keeps cosines >= threshold in float64 on the
@@ -21,8 +25,6 @@ are ignored.
 
 from __future__ import annotations
 
-from math import acos, ceil, log, log2, pi
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,39 +35,103 @@ from .vectors import matrix, usable
 
 SAMPLE, ROUNDS, MISS, BLOCK, SEED = 5000, 30, 0.01, 2048, 17
 THRESHOLD = 0.9
+#: bits of a table's key; own pairs of the sample that are enough to measure by
+LEAST_BITS, MOST_BITS, ENOUGH = 4, 48, 500
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def learn_rotation(x: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): the sign of (unit(x) - mean) @ projection is the code."""
+def learn_rotation(x: np.ndarray, bits: int = 64, seed: int = 0, centred: bool = True, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection): the sign of (unit(x) - mean) @ projection is the code; mean is 0 if not centred."""
     u = unit(x)
-    mean = u.mean(0)
+    mean = u.mean(0) * centred
     c = u - mean
-    _, _, axes = np.linalg.svd(c, full_matrices=False)
-    axes = axes[:bits].T
+    axes = np.linalg.eigh(c.T @ c)[1][:, ::-1][:, :bits]
     y = c @ axes
-    turn = np.linalg.qr(np.random.default_rng(SEED).normal(size=(axes.shape[1],) * 2))[0]
-    for _ in range(ROUNDS):
+    turn = np.linalg.qr(np.random.default_rng((SEED, seed)).normal(size=(axes.shape[1],) * 2))[0]
+    for _ in range(rounds):
         code = np.where(y @ turn >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(code.T @ y)
         turn = (left @ right).T
     return mean, axes @ turn
 
 
-def plan(n: int, bits: int, threshold: float, miss: float = MISS) -> list[np.ndarray]:
-    """Bit subsets of the tables for n vectors."""
-    b = min(bits, max(4, ceil(log2(max(n, 2))) - 7))
-    same = (1 - acos(min(1.0, threshold)) / pi) ** b
-    count = 1 if same >= 1 else max(1, ceil(log(miss) / log(1 - same)))
-    rng = np.random.default_rng((SEED, 1))
-    picks: list[np.ndarray] = []
-    while len(picks) < count:  # each pass over a shuffled code uses every bit once
-        order = rng.permutation(bits)
-        picks += [order[i : i + b] for i in range(0, bits - b + 1, b)]
-    return picks[:count]
+def random_rotation(d: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of random directions about 0, whose bits differ with probability angle / pi for every pair."""
+    return np.zeros(d), np.linalg.qr(np.random.default_rng((SEED, seed, 1)).normal(size=(d, d)))[0][:, :64]
+
+
+def threshold_pairs(x: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Kinds of unit vector pairs at the threshold around those of x; and x's own just over it, if ENOUGH."""
+    rng = np.random.default_rng((SEED, 2))
+    u = unit(x)[rng.integers(0, len(x), SAMPLE)]
+    noise = rng.normal(size=u.shape)
+    kinds = []
+    for way in (noise, unit(x)[rng.integers(0, len(x), SAMPLE)] + 1e-6 * noise):
+        way = way - (way * u).sum(1, keepdims=True) * u
+        way /= np.maximum(np.sqrt((way * way).sum(1, keepdims=True)), 1e-300)
+        kinds.append((u, unit(threshold * u + np.sqrt(max(0.0, 1 - threshold**2)) * way)))
+    u, near = unit(x), []
+    for at in range(0, len(u), 500):
+        s = u[at : at + 500] @ u.T
+        i, j = np.nonzero((s >= threshold) & (s <= threshold + (1 - threshold) / 5))
+        these = np.column_stack([i + at, j])[i + at < j]
+        near.append(these[rng.permutation(len(these))[:SAMPLE]])
+    own = np.concatenate(near)
+    if len(own) >= ENOUGH:
+        own = own[rng.permutation(len(own))[:SAMPLE]]
+        kinds.append((u[own[:, 0]], u[own[:, 1]]))
+    return kinds
+
+
+def bits_of(u: np.ndarray, rotation: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return (u - rotation[0]) @ rotation[1] >= 0
+
+
+def keys_of(bit: np.ndarray, b: int) -> np.ndarray:
+    """A column per table: keys of b bits each."""
+    count = bit.shape[1] // b
+    return bit[:, : count * b].reshape(len(bit), count, b) @ (np.int64(1) << np.arange(b, dtype=np.int64))
+
+
+def tables_needed(differ: list[np.ndarray], b: int, miss: float) -> float:
+    """Independent tables of b bits until each kind is missed at most that often; differ: shares of unequal bits."""
+    for count in np.unique(np.geomspace(1, 1 << 14, 150).astype(int)):
+        if all(((1 - (1 - q) ** b) ** count).mean() <= miss for q in differ):
+            return float(count)
+    return np.inf
+
+
+def plan(x: np.ndarray, n: int, threshold: float, miss: float = MISS) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """(b, rotations) for n vectors like those of the sample x; learned on one half, measured on the other."""
+    x, other = (x[::2], x[1::2]) if len(x) > 1 else (x, x)  # rotations fit the vectors they are learned on too well
+    u, pairs = unit(x), threshold_pairs(other, threshold)
+    options = []
+    for centred in (True, False):
+        trial = [learn_rotation(x, seed=i, centred=centred) for i in range(2)]
+        differ = [np.mean([(bits_of(y, r) != bits_of(z, r)).mean(1) for r in trial], 0) for y, z in pairs]
+        codes = [bits_of(u, r) for r in trial]
+        for b in range(LEAST_BITS, max(LEAST_BITS, min(MOST_BITS, codes[0].shape[1])) + 1):
+            b = min(b, codes[0].shape[1])
+            count = tables_needed(differ, b, miss)
+            shared = []
+            for key in np.hstack([keys_of(c, b) for c in codes]).T:
+                m = np.unique(key, return_counts=True)[1]
+                shared.append((m * (m - 1.0)).sum() / max(1, len(u) * (len(u) - 1.0)))
+            # bytes of a row in a table, and vectors it is compared with there
+            options.append((count * (8 * (x.shape[1] + count) + n * max(np.mean(shared), 0.5**b)), b, not centred, count))
+    _, b, plain, count = min(options)
+    rotations, left, made = [], [np.ones(len(y), bool) for y, _ in pairs], 0
+    while not rotations or any(m.sum() + 2 * np.sqrt(m.sum()) > miss * len(m) for m in left):  # by two standard errors
+        at = len(rotations)
+        # where learned rotations come out alike, random ones go on
+        rotations.append(learn_rotation(x, seed=at, centred=not plain) if made <= 2 * count else random_rotation(x.shape[1], at))
+        for m, (y, z) in zip(left, pairs, strict=True):
+            m &= ~(keys_of(bits_of(y, rotations[-1]), b) == keys_of(bits_of(z, rotations[-1]), b)).any(1)
+        made += rotations[-1][1].shape[1] // b
+    return b, rotations
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -100,17 +166,14 @@ def link_groups(classes: DataFrame, threshold: float) -> DataFrame:
     """
     sc = classes.sparkSession.sparkContext
     some = classes.orderBy(F.xxhash64("cid")).select("v").limit(SAMPLE).toPandas()
-    mean, axes = learn_rotation(matrix(some.v))
-    picks = plan(classes.count(), axes.shape[1], threshold)
-    held = sc.broadcast((mean, axes, picks))
+    held = sc.broadcast(plan(matrix(some.v), classes.count(), threshold))
 
     def code(batches):
-        mean, axes, picks = held.value
+        b, rotations = held.value
         for pdf in batches:
             if len(pdf):
-                bit = (unit(matrix(pdf.v)) - mean) @ axes >= 0
-                keys = [bit[:, p] @ (np.int64(1) << np.arange(len(p), dtype=np.int64)) for p in picks]
-                yield pdf.assign(keys=list(np.column_stack(keys)))
+                u = unit(matrix(pdf.v))
+                yield pdf.assign(keys=list(np.hstack([keys_of(bits_of(u, r), b) for r in rotations])))
 
     coded = classes.select("cid", "v", "m").mapInPandas(code, "cid long, v array<double>, m long, keys array<long>")
     entries = coded.select("*", F.posexplode("keys").alias("t", "key"))

@@ -171,6 +171,29 @@ def test_embedding_links_against_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(vectors(spark, x).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0.0, 1.0, 3.0])
+def test_embedding_tables_meet_pairs_at_the_threshold(shift):
+    rng = np.random.default_rng(4)
+    some = lambda: rng.normal(size=(3000, 64)) + shift * 8 * np.eye(64)[0]
+    x, u = some(), embedding_dedup.unit(some())
+    for n in (10_000, 100_000_000):
+        b, rotations = embedding_dedup.plan(x, n, 0.9)
+        for way in (rng.normal(size=u.shape), embedding_dedup.unit(some())):
+            y = 0.9 * u + math.sqrt(0.19) * embedding_dedup.unit(way - (way * u).sum(1, keepdims=True) * u)
+            hit = [(embedding_dedup.keys_of(embedding_dedup.bits_of(u, r), b) == embedding_dedup.keys_of(embedding_dedup.bits_of(y, r), b)).any(1) for r in rotations]
+            assert np.any(hit, 0).mean() >= 0.98
+
+
+def test_embedding_links_with_a_common_direction(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 32)) + 2.5 * math.sqrt(32) * np.eye(32)[0]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors(spark, x)).collect()}
+    u = embedding_dedup.unit(x)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    found = np.array([got[i] for i in range(1200)])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
+
+
 # near-duplicate documents
 
 def brute(texts, width, percent=80):
