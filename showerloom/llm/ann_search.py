@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Inner product becomes angle: data vectors are scaled by the largest norm and given one more
-coordinate that makes them unit, queries are scaled to unit.  Each of ``TABLES`` tables rotates the
+Rows and queries are hashed by direction, so no long vector moves the others' buckets and a row is met
+as often as its angle to the query allows.  Rows are split into norm ranges (powers of two of the median);
+those of the longer ranges of at most ``BLOCK`` rows, whose products are large at any angle, are compared
+with every query.  Each of ``TABLES`` tables rotates the
 (zero-padded) vectors by three rounds of random signs and a fast Hadamard transform and takes the
 nearest signed axis as bucket.  A query probes its ``PROBES`` nearest axes per table.  Tables over
 ``WIDE`` rows use two axes per bucket and more probes.
@@ -10,8 +12,9 @@ Rows and queries meet by equi-join on (table, bucket); buckets are dealt into bl
 ``BLOCK`` rows and queries, so a hot bucket is many small groups.  A group reranks its candidates
 exactly in float64 and hands on 20 per query.  Each query also meets a sample of at most ``SAMPLE``
 rows (broadcast) and first its own bucket of each table; its 20th best product so far bounds the true
-one from below, so the groups of all other probes hand on nothing beneath it.  Queries that found fewer than 20 are compared with all rows, in blocks.  Only
-the sample and one norm reach the driver.
+one from below, so the groups of all other probes hand on nothing beneath it.  Queries of whose 20 best
+the tables met fewer than 20, the rest being known from the sample alone, are compared with all rows, in
+blocks.  Only the sample, one norm and the sizes of the longer norm ranges reach the driver.
 
 Edge cases: unusable vectors (see ``vectors.usable``) and rows without an id take no part; rows with
 the same id are rows of their own, and only the query's own row is no candidate of it; ties go to
@@ -56,12 +59,11 @@ def signed_axes(unit: np.ndarray, t: int, f: int) -> np.ndarray:
     return np.hstack([x, -x])
 
 
-def lifted(x: np.ndarray, most: float | None) -> np.ndarray:
-    """Unit vectors: of data when the largest norm is given, else of queries."""
+def directions(x: np.ndarray) -> np.ndarray:
+    """Unit vectors, with a coordinate more."""
+    x = x / np.abs(x).max(1, keepdims=True)
     norm = np.sqrt((x * x).sum(1, keepdims=True))
-    if most is None:
-        return np.hstack([x / norm, np.zeros_like(norm)])
-    return np.hstack([x / most, np.sqrt(np.maximum(0, 1 - (norm / most) ** 2))])
+    return np.hstack([x / norm, np.zeros_like(norm)])
 
 
 def buckets(unit: np.ndarray, t: int, functions: int, probes: int) -> np.ndarray:
@@ -78,7 +80,7 @@ def buckets(unit: np.ndarray, t: int, functions: int, probes: int) -> np.ndarray
     return key
 
 
-def hashed(rows: DataFrame, most: float | None, functions: int, probes: int, tables: int, sample=None, k: int = 0) -> DataFrame:
+def hashed(rows: DataFrame, functions: int, probes: int, tables: int, sample=None, k: int = 0) -> DataFrame:
     """rows (_rid, id, v, tau), once per table and probed bucket, with t, probe (0: nearest), bucket; tau raised by the sample."""
 
     def run(batches):
@@ -86,7 +88,7 @@ def hashed(rows: DataFrame, most: float | None, functions: int, probes: int, tab
             if len(pdf):
                 x = matrix(pdf.v)
                 tau = pdf.tau if sample is None else np.maximum(pdf.tau, bounds(x, sample.value[1], k))
-                unit = lifted(x, most)
+                unit = directions(x)
                 yield pdf.assign(tau=tau, keys=list(np.hstack([buckets(unit, t, functions, probes) for t in range(tables)])))
 
     per = rows.mapInPandas(run, "_rid long, id long, v array<double>, tau double, keys array<long>")
@@ -155,7 +157,8 @@ def rerank(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def best(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id", "rid")
-    return found.dropDuplicates(["q_rid", "rid"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    once = found.groupBy("q_rid", "rid").agg(*(F.max(c).alias(c) for c in ("query_id", "vec_id", "score", "met")))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, tables: int = TABLES, functions: int | None = None, probes: int | None = None) -> DataFrame:
@@ -163,25 +166,30 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     rows = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL"), "v")
     rows = cut(rows.withColumn("_rid", F.monotonically_increasing_id()))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, most = rows.agg(F.count("*"), F.max(norm)).first()
+    n, middle = rows.agg(F.count("*"), F.percentile_approx(norm, 0.5)).first()
+    span = F.floor(F.log2(norm / F.lit(middle)) + 0.5)
+    long_ = [r["span"] for r in rows.where(norm > F.lit(middle)).groupBy(span.alias("span")).count().where(f"span > 0 AND count <= {BLOCK}").collect()]
     functions = functions or (1 if n <= WIDE else 2)
     probes = probes or (PROBES if functions == 1 else WIDE_PROBES)
     nothing = F.lit(-float("inf")).alias("tau")
     data, queries = rows.select("_rid", "id", "v", nothing), rows.where("q").select("_rid", "id", "v", nothing)
     some = data.orderBy(F.xxhash64("_rid")).limit(SAMPLE).toPandas()
     sample = vectors.sparkSession.sparkContext.broadcast((some._rid.to_numpy(), matrix(some.v), some.id.to_numpy()))
-    index = hashed(data, most, functions, 1, tables)
-    nearest = rerank(index, hashed(queries, None, functions, 1, tables, sample, k), k)
-    first = cut(best(nearest.unionByName(from_sample(queries, sample, k)), k))
+    index = hashed(data.where(F.coalesce(~span.isin(long_), F.lit(True))), functions, 1, tables)
+    met = lambda x: x.withColumn("met", F.lit(True))
+    whole = [F.lit(-1).alias("t"), F.lit(0).cast("long").alias("bucket")]
+    nearest = met(rerank(index, hashed(queries, functions, 1, tables, sample, k), k))
+    if long_:
+        nearest = nearest.unionByName(met(rerank(data.where(span.isin(long_)).select("*", *whole), queries.select("*", *whole), k)))
+    first = cut(best(nearest.unionByName(from_sample(queries, sample, k).withColumn("met", F.lit(False))), k))
     so_far = first.where(F.col("rank") == k).select(F.col("q_rid").alias("_rid"), (F.col("score") - 1e-9 * F.abs("score")).alias("tau"))
     bounded = queries.drop("tau").join(so_far, "_rid", "left").select("_rid", "id", "v", F.coalesce("tau", nothing).alias("tau"))
-    further = rerank(index, hashed(bounded, None, functions, probes, tables, sample, k).where("probe > 0"), k)
+    further = met(rerank(index, hashed(bounded, functions, probes, tables, sample, k).where("probe > 0"), k))
     found = cut(best(further.unionByName(first.drop("rank")), k))
-    # queries with too few candidates are compared with all rows, in blocks
-    short = queries.join(found.groupBy(F.col("q_rid").alias("_rid")).count().where(F.col("count") >= min(k, n - 1)), "_rid", "left_anti")
+    # queries whose best the tables did not meet are compared with all rows, in blocks
+    short = queries.join(found.where("met").groupBy(F.col("q_rid").alias("_rid")).count().where(F.col("count") >= min(k, n - 1)), "_rid", "left_anti")
     if n > 1 and not short.isEmpty():
-        whole = [F.lit(-1).alias("t"), F.lit(0).cast("long").alias("bucket")]
-        more = rerank(data.select("*", *whole), short.select("*", *whole), k)
+        more = met(rerank(data.select("*", *whole), short.select("*", *whole), k))
         found = best(found.drop("rank").unionByName(more), k)
     return found.select("query_id", "rank", "vec_id", "score")
 

@@ -153,6 +153,30 @@ def test_search_of_few(spark):
     assert ann_search.search(vectors(spark, x).limit(0), F.lit(True)).count() == 0 and ann_search.search(vectors(spark, x[:1]), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["one long", "lognormal", "even"])
+def test_search_without_help_of_the_sample(spark, monkeypatch, norms):
+    monkeypatch.setattr(ann_search, "SAMPLE", 30)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= {"one long": np.where(np.arange(3000) == 7, 1000, 1), "lognormal": rng.lognormal(0, 1, 3000), "even": np.ones(3000)}[norms][:, None]
+    got = Counter()
+    for r in ann_search.search(vectors(spark, x), F.col("vec_id") % 100 == 0, probes=2, tables=4).collect():
+        s = x @ x[r.query_id]
+        s[r.query_id] = -np.inf
+        got[r.query_id] += r.score >= np.sort(s)[-20] - 1e-12
+    assert len(got) == 30 and sum(got.values()) >= 0.5 * 600 and (norms == "even" or sum(got.values()) >= 0.8 * 600), got
+
+
+def test_search_of_queries_that_meet_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ann_search, "SAMPLE", 30)
+    x = np.random.default_rng(7).normal(size=(2000, 16)) * 0.05 + 1
+    x[0] = -np.random.default_rng(8).normal(size=16) ** 2 - 1
+    got = [r.vec_id for r in ann_search.search(vectors(spark, x), F.col("vec_id") == 0, probes=1, tables=2).orderBy("rank").collect()]
+    s = np.einsum("ij,j->i", x, x[0])
+    assert got == [i for i in np.lexsort((np.arange(2000), -s)) if i][:20]
+
+
 def test_embedding_links_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(2)
