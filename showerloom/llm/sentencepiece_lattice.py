@@ -164,6 +164,10 @@ class Model:
                 out.append(self.unknown)
         return out
 
+    def has_edge(self, w: str) -> bool:
+        """Whether the lattice has a piece of two or more characters in the word."""
+        return any(w[i:j] in self.scores for i in range(len(w) - 1) for j in range(i + 2, min(len(w), i + self.longest) + 1))
+
     def segment(self, w: str) -> list[str]:
         """The word's pieces, for words too long for the fold."""
         return self._viterbi(w) if self.kind == UNIGRAM else self._merge(w)
@@ -290,48 +294,49 @@ def pieces_of(word: str, cuts: int) -> list[str]:
     return [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-class Words(dict):
-    """Ids of words, packed as int32: the broadcast head, and up to `most` words met lately."""
+class Words:
+    """Ids of words, packed as int32: the broadcast head, which nothing changes."""
 
-    def __init__(self, model: Model, head: dict[str, bytes], most: int = 20_000):
-        super().__init__(head)
-        self.model, self.most, self.own, self.lately = model, most, {}, []
+    def __init__(self, model: Model, head: dict[str, bytes]):
+        self.model, self.head = model, head
 
     def part(self, w: str) -> bytes | None:
         """Ids of a word without cuts; None if only the lattice can tell."""
-        if (got := self.get(w)) is not None or (got := self.own.get(w)) is not None:
+        if (got := self.head.get(w)) is not None:
             return got
         if len(w) > MAX_FOLD:
             return np.array(self.model.spell(self.model.segment(w)), "<i4").tobytes()
         return np.array(self.model.spell([w]), "<i4").tobytes() if len(w) == 1 else None
 
     def missing(self, text: str | None) -> list[str]:
-        """The text's words that need the lattice."""
+        """The text's words that need the lattice, whatever was encoded before."""
         lost = set()
-        for c in [c for c in set(self.model.coarse(text or "")) if c not in self]:
+        for c in [c for c in set(self.model.coarse(text or "")) if c not in self.head]:
             lost.update(w for w in self.model.fine(c) if self.part(w) is None)
         return sorted(lost)
 
-    def __missing__(self, c: str) -> bytes:
-        out, lost = [], False
+    def word(self, c: str, own: dict[str, bytes]) -> bytes:
+        """Ids of a word; own: its parts from the lattice."""
+        out = []
         for w in self.model.fine(c):
             got = self.part(w)
-            if got is None:  # the lattice gave no edge: its characters
+            if got is None and (got := own.get(w)) is None:  # the lattice gave no edge: its characters
+                if self.model.has_edge(w):
+                    raise ValueError(f"the lattice was not asked for {w!r}")
                 got = np.array(self.model.spell(list(w)), "<i4").tobytes()
             out.append(got)
-        ids = b"".join(out)
-        if len(self.lately) >= self.most:
-            for x in self.lately:
-                del self[x]
-            self.lately = []
-        self.lately.append(c)
-        self[c] = ids
-        return ids
+        return b"".join(out)
 
-    def encode(self, text: str | None, own: dict[str, bytes]) -> bytes:
-        """Ids of the text; own: its words from the lattice."""
-        self.own = own
-        return b"".join(map(self.__getitem__, self.model.coarse(text or "")))
+    def encode(self, text: str | None, own: dict[str, bytes], lately: dict[str, bytes], most: int = 20_000) -> bytes:
+        """Ids of the text; own: its words from the lattice, all of missing(); lately: up to `most` words, the caller's own."""
+        out = []
+        for c in self.model.coarse(text or ""):
+            if (ids := self.head.get(c)) is None and (ids := lately.get(c)) is None:
+                if len(lately) >= most:
+                    lately.clear()
+                ids = lately[c] = self.word(c, own)
+            out.append(ids)
+        return b"".join(out)
 
 
 def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, head: int = HEAD) -> dict[str, bytes]:
@@ -359,10 +364,10 @@ def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, he
     top = cut(few.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head).select("word"))
     parts_ = top.repartition(parts(docs.sparkSession)).mapInPandas(fine, "word string").distinct()
     rows = lattice_words(parts_, model, []).mapInPandas(spelled, "word string, ids binary").toArrow()
-    words = Words(model, dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)), most=head + 1)
+    words, own = Words(model, {}), dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True))
     wanted = top.toArrow()["word"].to_pylist()
     single = {p: np.array([i], "<i4").tobytes() for p, i in model.ids.items() if len(p) == 1}
-    return single | {c: words[c] for c in wanted}  # put together from their parts
+    return single | {c: words.word(c, own) for c in wanted}  # put together from their parts
 
 
 def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = SAMPLE_DOCS, head: int = HEAD, finish=None, kind: str = "binary") -> DataFrame:
@@ -381,10 +386,10 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = S
 
     def encoded(texts: pd.Series, own: pd.Series, cuts: pd.Series):
         words = held.value
-        done = []
+        done, lately = [], {}
         for t, ws, cs in zip(texts, own, cuts, strict=True):
             known = {} if ws is None else {w: np.array(words.model.spell(pieces_of(w, c)), "<i4").tobytes() for w, c in zip(ws, cs, strict=True)}
-            done.append(words.encode(t, known))
+            done.append(words.encode(t, known, lately))
         return pd.Series(done, dtype=object) if finish is None else finish(texts, done)
 
     # documents and their missing words are shuffled by row; all that follows is grouped and joined within the partitions

@@ -411,6 +411,19 @@ def test_encoding_equals_the_library(spark):
     assert spl.encode(df.limit(0), model).count() == 0
 
 
+def test_missing_words_do_not_depend_on_what_was_encoded():
+    model = spl.Model.load(spl.MODEL_FILE)
+    text = "strange unheard words"
+    words = spl.Words(model, {})
+    lost = words.missing(text)
+    own = {w: np.array(model.spell(model.segment(w)), "<i4").tobytes() for w in lost}
+    lately = {}
+    assert len(lost) == 3 and words.encode(text, own, lately) == words.encode(text, {}, lately)
+    assert words.missing(text) == lost
+    with pytest.raises(ValueError):
+        words.encode(text, {}, {})
+
+
 def test_viterbi_fold_against_table(spark):
     scores = {"a": -2.0, "b": -2.5, "c": -3.0, "ab": -3.1, "bc": -3.3, "abc": -4.9, "ca": -3.6, "aa": -3.2, "▁": -2.0, "▁a": -2.7, "▁ab": -3.9}
     model = spl.Model({p: i + 1 for i, p in enumerate(scores)}, scores, None, 0, spl.UNIGRAM, True, [b"?", *(p.replace("▁", " ").encode() for p in scores)])
