@@ -8,7 +8,8 @@ All other urls get their host's verdict.  Hosts are linked by the absolute ``hre
 (links within a host aside; repeated links add weight).  Trust is PageRank personalised on the hosts
 of allowed urls, distrust the same on reversed links from the hosts of blocked urls, each seed
 weighted by its urls.  Both use x = (1 - d) s + d M'x without a jump from dead ends; scaled to sum 1
-that is the fixed point of the variant in which dead ends jump to the seeds.  A host is blocked
+that is the fixed point of the variant in which dead ends jump to the seeds.  Rounds go on until
+what all further ones could add to any host is below a tenth of ``MARGIN``.  A host is blocked
 where distrust exceeds trust by more than ``MARGIN``.
 
 Only aggregates per (host, host) and per host are shuffled; no table is broadcast by hint and the
@@ -22,6 +23,8 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ RULES = ((BLOCK, "net", "/"), (ALLOW, "example.net", "/en/"), (BLOCK, "example.c
 DAMPING, ROUNDS, MARGIN = 0.85, 12, 1e-9
 URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = """(?is)href\\s*=\\s*["']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\\s>]+)"""
-#: rounds between checkpoints
+#: rounds between checkpoints and tests of convergence
 CUT_EVERY = 4
 
 
@@ -58,20 +61,29 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select(F.col("host").alias("src"), ascii_lower(F.col("dst")).alias("dst")).where("src <> dst AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, rank) from edges (src, dst, n) and seeds (kind, host, n): forward for allow, reversed for block."""
+def host_ranks(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
+    """(kind, host, rank) from edges (src, dst, n) and seeds (kind, host, n): forward for allow, reversed for block.
+
+    rounds: None for as many as it takes.  Ranks only grow, and what CUT_EVERY rounds add in all falls
+    by DAMPING ** CUT_EVERY at least, which bounds all that follows.
+    """
     both = edges.select(F.lit(ALLOW).alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit(BLOCK).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     both = cut(both.select("kind", "src", "dst", (F.col("n") / F.sum("n").over(W.partitionBy("kind", "src"))).alias("p")))
     start = cut(seeds.select("kind", "host", ((1 - DAMPING) * F.col("n") / F.sum("n").over(W.partitionBy("kind"))).alias("rank")))
-    rank = start
-    for i in range(rounds):
+    rank, total, fall = start, {}, DAMPING**CUT_EVERY
+    for i in count() if rounds is None else range(rounds):
         flow = both.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(DAMPING) * F.col("p") * F.col("rank")).alias("rank"))
         rank = start.unionByName(flow).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        rank = cut(rank) if i % CUT_EVERY == CUT_EVERY - 1 else rank
+        if i % CUT_EVERY == CUT_EVERY - 1:
+            rank, before = cut(rank), total
+            if rounds is None:
+                total = {r["kind"]: r["total"] for r in rank.groupBy("kind").agg(F.sum("rank").alias("total")).collect()}
+                if all((t - before.get(kind, 1 - DAMPING)) * fall / (1 - fall) < MARGIN * t / 10 for kind, t in total.items()):
+                    break
     return rank
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page (page_id, url, html)."""
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", "html", host.alias("host"), path.alias("path"))

@@ -72,6 +72,16 @@ def test_distrust_flows_back_and_trust_forward(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "allow"}
 
 
+def test_distrust_reaches_hosts_far_from_the_seed(spark):
+    rows = [(0, "http://bad.net/x", "")] + [(i, f"http://h{i}.io/", f"<a href='//{'bad.net' if i == 1 else f'h{i - 1}.io'}/'>") for i in range(1, 21)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.verdict for r in url_filter.judge(df).collect()} == {"block"}
+    ring = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("allow", "a", 1)], "kind string, host string, n long")
+    got = {r.host: r["rank"] for r in url_filter.host_ranks(ring, seeds, None).collect()}
+    assert math.isclose(got["a"], 0.15 / (1 - 0.85**2), abs_tol=1e-9) and math.isclose(got["a"] + got["b"], 1, abs_tol=1e-9)
+
+
 def test_ranks_against_dense_iteration(spark):
     rng = random.Random(3)
     hosts = [f"h{i}" for i in range(12)]
