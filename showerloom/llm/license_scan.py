@@ -10,7 +10,8 @@ left out before hashing, which changes no result.
 
 Everything is built-in functions; the template tables are constants of the program.
 
-Edge cases: null text and texts of under five words have no shingles and no match; a license said
+Edge cases: null text and texts of under five words have no shingles and no match; a template of under five words is an
+error; a license said
 several times is one row, with its first best window; repeated rows are found each; a text may hold
 several licenses; an empty table gives no rows; other columns are ignored.
 """
@@ -59,6 +60,8 @@ def shingle_hash(w: Column, i: Column) -> Column:
 def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, list[int]]:
     """(license, m, items, size) and all shingle hashes, hashed by the same expressions as documents."""
     rows = [(name, *size_class(len(s)), s) for name, text in templates.items() if (s := template_shingles(text))]
+    if short := sorted(templates.keys() - {r[0] for r in rows}):
+        raise ValueError(f"templates of under {WIDTH} words cannot be found: {', '.join(short)}")
     df = spark.createDataFrame(rows, "license string, m int, length int, step int, shingles array<string>")
     df = df.withColumn("items", F.transform("shingles", lambda s: shingle_hash(F.split(s, " "), F.lit(0)))).select("license", "m", "length", "step", "items", F.size("items").alias("size"))
     return df, sorted({h for r in df.select("items").collect() for h in r["items"]})  # constants of the program

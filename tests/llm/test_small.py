@@ -118,6 +118,11 @@ def test_licenses(spark):
     assert license_scan.scan(docs(spark, [None]).limit(0)).count() == 0
 
 
+def test_short_license_templates_are_refused(spark):
+    with pytest.raises(ValueError, match="ARR"):
+        license_scan.scan(docs(spark, TEXTS), templates={"ARR": "All rights reserved.", **license_scan.TEMPLATES})
+
+
 def test_license_query_against_sql(spark, small, duck, same):
     same(license_scan.op3_license_scan(spark, small), duck, license_scan.ORACLE["op3_license_scan"])
 
