@@ -8,20 +8,31 @@ vocabulary's, checked, so it is broadcast), edges are grouped by word, and a Spa
 
 The fold follows the model's own type.  A unigram model takes the Viterbi fold: best sum of scores
 over the edges, position by position.  A BPE model defines its result by merge order, which no sum
-of scores reproduces, so the fold replays the merges over the same edges: the best-scored edge that
+of scores reproduces, so its fold replays the merges over the same edges: the best-scored edge that
 joins two neighbours (leftmost on ties) until none is left.  Both equal the reference library's
 output for their model type.
 
-The words of a sample of a fixed number of documents (``HEAD`` most frequent) are encoded once by the lattice
-and broadcast; all other words of a document are encoded beside it, after one shuffle of the
-documents by row.  What is in the head changes the speed only.  A run of over ``MAX_FOLD``
-characters without a cut is segmented by the same rule in Python with a heap (BPE) or a table
-(unigram), as a fold over it would be quadratic.
+One pass over the edges by rank replays the merges wherever every piece in the lattice comes out of
+its own text by such a pass.  (An edge opened late would have both ends uncrossed, so what lies
+between them was merged as in the piece's own text, and the piece was joined when its rank came.)
+Pieces for which that fails are marked in the table; words with such an edge look for the best open
+edge again after each merge.
+
+Each distinct word of the corpus goes through the lattice about once.  Documents are dealt by a hash
+of their whole row into blocks of about ``BLOCK`` bytes of text, so that blocks are the same whenever
+a lost task is run again.  A block asks for its words in packets by word hash, the lattice answers
+each word to the blocks that asked for it (in lists of at most ``ASKING`` blocks), and documents meet
+the answers of their block.  An answer that is missing is an error, never a guess.  The ``HEAD``
+most frequent words of a sample of a fixed number of documents are encoded by the lattice first and
+broadcast: they change the speed only.  A run of over ``MAX_FOLD`` characters without a cut is
+segmented by the same rule in Python with a heap (BPE) or a table (unigram), as a fold over it would
+be quadratic and its cuts don't fit the bits of a long.
 
 Edge cases: null or empty text has no pieces and decodes to ""; characters outside the table become
 byte pieces (or the unknown id where the model has none); U+2581 in a text decodes as a space (the
-format's own rule); repeated rows are encoded each; an empty table gives no rows; other columns are
-kept by ``encode``.
+format's own rule); a very long text makes its block as long; repeated rows are encoded each; an
+empty table gives no rows; other columns are kept by ``encode``, but one with the name of its output
+is replaced.
 """
 
 from __future__ import annotations
@@ -30,22 +41,28 @@ import hashlib
 import heapq
 import re
 import struct
+import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, table
+from .common import cut, free_name, parts, table
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}+|.", re.S)
-#: longest word of the fold: its cuts are the bits of a long
+#: longest word of the fold: its cuts are the bits of a long, its places 6 bits of an edge
 MAX_FOLD = 60
+#: bytes of text in a block of documents; blocks in one answer of the lattice
+BLOCK, ASKING = 8 << 20, 4096
 SAMPLE_DOCS, HEAD = 10_000, 100_000
 MOST_PIECES = 1 << 20
 UNIGRAM, BPE = 1, 2
@@ -79,6 +96,15 @@ def _fields(data: bytes):
             at += n
 
 
+def key_of(word: str) -> str:
+    """A word's key: what stands behind its one U+2581, or a space and the word."""
+    return word[1:] if len(word) > 1 and word[0] == SPACE and word[1] != SPACE else " " + word
+
+
+def word_of(key: str) -> str:
+    return key[1:] if key[0] == " " else SPACE + key
+
+
 @dataclass
 class Model:
     """A piece table: ids by piece, scores by piece, bytes, unknown id, type, dummy prefix."""
@@ -126,12 +152,36 @@ class Model:
             raise ValueError("unsupported model")
         return Model(ids, scores, [by[i] for i in range(256)] if len(by) == 256 else None, unknown, kind, prefix, texts)
 
-    def coarse(self, text: str) -> list[str]:
-        """Words up to the next U+2581 run; no piece may have it behind another character."""
-        return COARSE.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else []
+    def keys(self, text: str | None) -> list[str]:
+        """Words up to the next run of spaces, by key; no piece may have U+2581 behind another character."""
+        t = (text or "").replace(SPACE, " ")
+        if self.prefix and t and "  " not in t and t[0] != " " and t[-1] != " ":
+            return t.split(" ")
+        return [key_of(c) for c in COARSE.findall((" " * self.prefix + t).replace(" ", SPACE))] if t else []
+
+    @cached_property
+    def late(self) -> frozenset[str]:
+        """Pieces that one pass over the edges of their own text, by rank, doesn't put together."""
+        out = []
+        for piece, own in self.scores.items():
+            n = len(piece)
+            if n < 3:
+                continue
+            edges = sorted((-self.scores[x], i, j) for i in range(n - 1) for j in range(i + 2, n + 1) if (x := piece[i:j]) in self.scores and (i or j < n))
+            cuts, done = set(range(n + 1)), []
+            for rank, i, j in edges:
+                between = [k for k in range(i + 1, j) if k in cuts]
+                if i in cuts and j in cuts and len(between) == 1:
+                    cuts.discard(between[0])
+                    done.append(rank)
+            if len(cuts) != 3 or any(rank >= -own for rank in done):
+                out.append(piece)
+        return frozenset(out)
 
     def fine(self, word: str) -> list[str]:
         """The word in parts that no piece spans."""
+        if word[1:].isalpha() and len(word) <= MAX_FOLD and (word[0] == SPACE or word[0].isalpha()):
+            return [word]
         runs = FINE.findall(word)
         if len(runs) == 1 and len(word) <= MAX_FOLD:
             return runs
@@ -164,10 +214,6 @@ class Model:
                 out.append(self.unknown)
         return out
 
-    def has_edge(self, w: str) -> bool:
-        """Whether the lattice has a piece of two or more characters in the word."""
-        return any(w[i:j] in self.scores for i in range(len(w) - 1) for j in range(i + 2, min(len(w), i + self.longest) + 1))
-
     def segment(self, w: str) -> list[str]:
         """The word's pieces, for words too long for the fold."""
         return self._viterbi(w) if self.kind == UNIGRAM else self._merge(w)
@@ -212,38 +258,64 @@ class Model:
         return out
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str], edge: Column) -> DataFrame:
-    """keys, word, edges: the pieces of two or more characters at their places i, j, as `edge`."""
+def lattice(words: DataFrame, pieces: DataFrame, least: int, longest: int, keys: list[str], carry: list[str], edge: Column) -> DataFrame:
+    """keys, word, carry, edges: the pieces of least or more characters at their places i, j, as `edge`.
+
+    Words have two characters at least; one without an edge keeps its row (i = 0, j = least).
+    """
     n = F.char_length("word")
-    rows = words.where(n >= 2).select(*keys, "word", F.explode(F.sequence(F.lit(0), n - 2)).alias("i"))
-    rows = rows.select(*keys, "word", "i", F.explode(F.sequence(F.col("i") + 2, F.least(n, F.col("i") + longest))).alias("j"))
-    found = rows.withColumn("piece", F.expr("substring(word, i + 1, j - i)")).join(F.broadcast(pieces), "piece")
-    return found.groupBy(*keys, "word").agg(F.collect_list(edge).alias("edges"))
+    rows = words.select(*keys, "word", *carry, F.explode(F.sequence(F.lit(0), n - least)).alias("i"))
+    rows = rows.select("*", F.explode(F.sequence(F.col("i") + least, F.least(n, F.col("i") + longest))).alias("j"))
+    found = rows.withColumn("piece", F.expr("substring(word, i + 1, j - i)")).join(F.broadcast(pieces.withColumn("is_piece", F.lit(True))), "piece", "left")
+    found = found.where(f"is_piece OR (i = 0 AND j = {least})")
+    return found.groupBy(*keys, "word").agg(*(F.first(c).alias(c) for c in carry), F.collect_list(F.when(F.col("is_piece"), edge)).alias("edges"))
 
 
-def merge_fold(edges: Column, n: Column) -> Column:
-    """Cuts as bits 0 .. n of a long after replaying the merges in order of rank, then place.
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
-    edges: rank << 16 | i << 8 | j.  A merge of i .. j is open while both ends and exactly one place
-    between them are cuts; making it clears that one.
-    """
-    one = F.lit(1).cast("long")
-    bit = lambda k: F.call_function("shiftleft", one, k.cast("int"))
-    i, j = (lambda e: F.shiftright(e, 8).bitwiseAND(255)), (lambda e: e.bitwiseAND(255))
-    masks = F.transform(F.sort_array(edges), lambda e: F.struct((bit(j(e)) * 2 - bit(i(e))).alias("all"), (bit(i(e)) + bit(j(e))).alias("ends")))
+
+#: an edge of a BPE lattice: rank << 13 | i << 7 | j << 1 | late
+BPE_EDGE = "shiftleft(rank, 13) + i * 128 + j * 2 + late"
+
+
+def _masks(e: Column) -> tuple[Column, Column]:
+    """Bits i .. j and bits i, j of an edge."""
+    i, j = _bit(F.shiftright(e, 7).bitwiseAND(63)), _bit(F.shiftright(e, 1).bitwiseAND(63))
+    return j * 2 - i, i + j
+
+
+def _open(cuts: Column, every: Column, ends: Column) -> Column:
+    """Whether both ends and exactly one place between them are cuts."""
+    return (cuts.bitwiseAND(ends) == ends) & (F.bit_count(cuts.bitwiseAND(every)) == 3)
+
+
+def rank_fold(edges: Column, n: Column) -> Column:
+    """Cuts as bits 0 .. n of a long after one pass over the edges by rank, then place; none may be late."""
+
+    def step(cuts, e):
+        every, ends = _masks(e)
+        return F.when(_open(cuts, every, ends), cuts.bitwiseAND(F.bitwise_not(every - ends))).otherwise(cuts)
+
+    return F.aggregate(F.sort_array(edges), _bit(n) * 2 - 1, step)
+
+
+def merge_fold(edges: Column, n: Column) -> Column:
+    """The same for all edges: the first open edge by rank, then place, is merged, again and again."""
+    masks = F.transform(F.sort_array(edges), lambda e: F.struct(_masks(e)[0].alias("all"), _masks(e)[1].alias("ends")))
 
     def step(acc, _):
         m, es = acc["m"], acc["es"]
-        open_ = F.filter(es, lambda e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["all"])) == 3))
+        open_ = F.filter(es, lambda e: _open(m, e["all"], e["ends"]))
         inner = F.get(F.transform(F.slice(open_, 1, 1), lambda e: e["all"] - e["ends"]), F.lit(0))
         return F.struct(es.alias("es"), m.bitwiseAND(F.bitwise_not(F.coalesce(inner, F.lit(0).cast("long")))).alias("m"))
 
-    start = F.struct(masks.alias("es"), (bit(n) * 2 - 1).alias("m"))
+    start = F.struct(masks.alias("es"), (_bit(n) * 2 - 1).alias("m"))
     return F.aggregate(F.sequence(F.lit(1), F.least(n - 1, F.size(edges))), start, step, lambda acc: acc["m"])
 
 
 def viterbi_fold(edges: Column, n: Column, low: float) -> Column:
-    """Cuts as bits 0 .. n of a long of the best-scored path; edges (i, j, score) hold the single characters too."""
+    """Cuts as bits 0 .. n of a long of the best-scored path; edges: i, j, score."""
     row = lambda score, back: F.struct(score.cast("double").alias("score"), back.cast("int").alias("back"))
 
     def step(acc, j):
@@ -255,38 +327,35 @@ def viterbi_fold(edges: Column, n: Column, low: float) -> Column:
         return F.struct(acc["e"].alias("e"), F.concat(prior, F.array(row(best["score"], -best["back"]))).alias("p"))
 
     start = F.struct(edges.alias("e"), F.array(row(F.lit(0.0), F.lit(0))).alias("p"))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
     def walk(acc):
         p = acc["p"]
-        pos = F.struct(n.cast("int").alias("at"), bit(n).alias("m"))
+        pos = F.struct(n.cast("int").alias("at"), _bit(n).alias("m"))
 
         def back(c, _):
             before = F.get(p, c["at"])["back"]
-            return F.struct(before.alias("at"), c["m"].bitwiseOR(bit(before)).alias("m"))
+            return F.struct(before.alias("at"), c["m"].bitwiseOR(_bit(before)).alias("m"))
 
         return F.aggregate(F.sequence(F.lit(1), n), pos, back, lambda c: c["m"])
 
     return F.aggregate(F.sequence(F.lit(1), n), start, step, walk)
 
 
-def lattice_words(words: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """keys, word, cuts (bits) of words of 2 to MAX_FOLD characters; words without any edge are left out."""
-    spark, n = words.sparkSession, F.char_length("word")
+def lattice_words(words: DataFrame, model: Model, keys: list[str], carry: list[str]) -> DataFrame:
+    """keys, word, carry, cuts (bits) of words of 2 to MAX_FOLD characters, each once."""
+    n = F.char_length("word")
     table_ = pd.DataFrame({"piece": list(model.scores), "score": list(model.scores.values())})
     table_["rank"] = table_.score.rank(method="dense", ascending=False).astype("int64")
-    pieces = spark.createDataFrame(table_, "piece string, score double, rank long")
-    several = pieces.where(F.char_length("piece") > 1)
+    table_["late"] = table_.piece.isin(model.late).astype("int64") if model.kind == BPE else 0
+    pieces = words.sparkSession.createDataFrame(table_, "piece string, score double, rank long, late long")
     if model.kind == BPE:
-        edge = F.expr("shiftleft(rank, 16) + i * 256 + j")
-        return lattice(words, several.select("piece", "rank"), model.longest, keys, edge).select(*keys, "word", merge_fold(F.col("edges"), n).alias("cuts"))
-    got = lattice(words, several.select("piece", "score"), model.longest, keys, F.struct("i", "j", "score"))
-    chars = pieces.where(F.char_length("piece") == 1).select(F.col("piece").alias("c"), "score")
-    one = got.select(*keys, "word", F.posexplode(F.split("word", "")).alias("i", "c")).join(F.broadcast(chars), "c")
-    one = one.groupBy(*keys, "word").agg(F.collect_list(F.struct("i", (F.col("i") + 1).alias("j"), "score")).alias("more"))
-    both = got.join(one, [*keys, "word"], "left").withColumn("edges", F.concat("edges", F.coalesce("more", F.array().cast("array<struct<i:int,j:int,score:double>>"))))
-    low = min(model.scores.values(), default=0.0) - 10
-    return both.select(*keys, "word", viterbi_fold(F.col("edges"), n, low).alias("cuts"))
+        got = lattice(words, pieces.where(F.char_length("piece") > 1).select("piece", "rank", "late"), 2, model.longest, keys, carry, F.expr(BPE_EDGE))
+        late = F.exists("edges", lambda e: e.bitwiseAND(1) == 1)
+        cuts = F.when(late, merge_fold(F.col("edges"), n)).otherwise(rank_fold(F.col("edges"), n))
+    else:
+        got = lattice(words, pieces.select("piece", "score"), 1, model.longest, keys, carry, F.struct("i", "j", "score"))
+        cuts = viterbi_fold(F.col("edges"), n, min(model.scores.values(), default=0.0) - 10)
+    return got.select(*keys, "word", *carry, cuts.alias("cuts"))
 
 
 def pieces_of(word: str, cuts: int) -> list[str]:
@@ -295,112 +364,157 @@ def pieces_of(word: str, cuts: int) -> list[str]:
 
 
 class Words:
-    """Ids of words, packed as int32: the broadcast head, which nothing changes."""
+    """Ids of words by key, packed as int32: the broadcast head, which nothing changes."""
 
-    def __init__(self, model: Model, head: dict[str, bytes]):
-        self.model, self.head = model, head
+    def __init__(self, model: Model, head: dict[str, bytes], packets: int = 1):
+        self.model, self.head, self.packets = model, head, packets
+
+    def pack(self, pieces: list[str]) -> bytes:
+        return np.array(self.model.spell(pieces), "<i4").tobytes()
 
     def part(self, w: str) -> bytes | None:
         """Ids of a word without cuts; None if only the lattice can tell."""
-        if (got := self.head.get(w)) is not None:
+        if (got := self.head.get(key_of(w))) is not None:
             return got
         if len(w) > MAX_FOLD:
-            return np.array(self.model.spell(self.model.segment(w)), "<i4").tobytes()
-        return np.array(self.model.spell([w]), "<i4").tobytes() if len(w) == 1 else None
+            return self.pack(self.model.segment(w))
+        return self.pack([w]) if len(w) == 1 else None
+
+    def packet(self, w: str) -> int:
+        return zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.packets
 
-    def missing(self, text: str | None) -> list[str]:
-        """The text's words that need the lattice, whatever was encoded before."""
+    def missing(self, keys: set[str]) -> list[str]:
+        """The words that these need from the lattice, by packet."""
         lost = set()
-        for c in [c for c in set(self.model.coarse(text or "")) if c not in self.head]:
-            lost.update(w for w in self.model.fine(c) if self.part(w) is None)
-        return sorted(lost)
+        for k in keys:
+            if k not in self.head:
+                lost.update(w for w in self.model.fine(word_of(k)) if self.part(w) is None)
+        return sorted(lost, key=lambda w: (self.packet(w), w))
 
-    def word(self, c: str, own: dict[str, bytes]) -> bytes:
-        """Ids of a word; own: its parts from the lattice."""
+    def ids(self, key: str, own: dict[str, bytes]) -> bytes:
+        """Ids of a word; own: the answers of the lattice, all of missing()."""
         out = []
-        for w in self.model.fine(c):
-            got = self.part(w)
-            if got is None and (got := own.get(w)) is None:  # the lattice gave no edge: its characters
-                if self.model.has_edge(w):
-                    raise ValueError(f"the lattice was not asked for {w!r}")
-                got = np.array(self.model.spell(list(w)), "<i4").tobytes()
+        for w in self.model.fine(word_of(key)):
+            if (got := self.part(w)) is None and (got := own.get(w)) is None:
+                raise ValueError(f"the lattice gave no answer for {w!r}")
             out.append(got)
         return b"".join(out)
 
-    def encode(self, text: str | None, own: dict[str, bytes], lately: dict[str, bytes], most: int = 20_000) -> bytes:
-        """Ids of the text; own: its words from the lattice, all of missing(); lately: up to `most` words, the caller's own."""
-        out = []
-        for c in self.model.coarse(text or ""):
-            if (ids := self.head.get(c)) is None and (ids := lately.get(c)) is None:
-                if len(lately) >= most:
-                    lately.clear()
-                ids = lately[c] = self.word(c, own)
-            out.append(ids)
-        return b"".join(out)
+    def encode(self, texts: list[str | None], own: dict[str, bytes]) -> list[bytes]:
+        """Ids of the texts of a block."""
+        split = list(map(self.model.keys, texts))
+        known = {k: got if (got := self.head.get(k)) is not None else self.ids(k, own) for k in set().union(*split)}
+        return [b"".join(map(known.__getitem__, keys)) for keys in split]
 
 
 def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, head: int = HEAD) -> dict[str, bytes]:
-    """The `head` most frequent words of about sample_docs documents, encoded."""
+    """Ids of the `head` most frequent words of about sample_docs documents, and of their parts, by key."""
 
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 300):  # counts of few texts at a time keep the worker small
                 total: Counter = Counter()
                 for t in pdf.text.iloc[at : at + 300]:
-                    total.update(model.coarse(t or ""))
+                    total.update(model.keys(t))
                 yield pd.DataFrame({"word": list(total), "n": list(total.values())}).astype({"word": "str", "n": "int64"})
 
     def fine(batches):
         for pdf in batches:
-            yield pd.DataFrame({"word": list({w for c in pdf.word for w in model.fine(c) if 2 <= len(w) <= MAX_FOLD})}, dtype="str")
-
-    def spelled(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"word": pdf.word, "ids": [np.array(model.spell(pieces_of(w, c)), "<i4").tobytes() for w, c in zip(pdf.word, pdf.cuts, strict=True)]})
+            yield pd.DataFrame({"word": list({w for k in pdf.word for w in model.fine(word_of(k)) if 2 <= len(w) <= MAX_FOLD})}, dtype="str")
 
     n = max(docs.count(), 1)
     few = docs.select("text", F.monotonically_increasing_id().alias("i")).where(F.expr(f"pmod(xxhash64(i), {n}) < {sample_docs}"))
     # a table of a fixed size, whatever the corpus
     top = cut(few.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head).select("word"))
     parts_ = top.repartition(parts(docs.sparkSession)).mapInPandas(fine, "word string").distinct()
-    rows = lattice_words(parts_, model, []).mapInPandas(spelled, "word string, ids binary").toArrow()
-    words, own = Words(model, {}), dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True))
-    wanted = top.toArrow()["word"].to_pylist()
-    single = {p: np.array([i], "<i4").tobytes() for p, i in model.ids.items() if len(p) == 1}
-    return single | {c: words.word(c, own) for c in wanted}  # put together from their parts
+    rows = lattice_words(parts_, model, [], []).select("word", "cuts").toArrow()
+    words = Words(model, {key_of(p): np.array([i], "<i4").tobytes() for p, i in model.ids.items() if len(p) == 1})
+    own = {w: words.pack(pieces_of(w, c)) for w, c in zip(rows["word"].to_pylist(), rows["cuts"].to_pylist(), strict=True)}
+    made = {k: words.ids(k, own) for k in top.toArrow()["word"].to_pylist()}  # put together from their parts
+    return words.head | {key_of(w): ids for w, ids in own.items()} | made
+
 
+def answers(found: DataFrame, held, block: str) -> DataFrame:
+    """(block, packed): ids of asked words, from (word, cuts, at: blocks and the word's number there)."""
 
-def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = SAMPLE_DOCS, head: int = HEAD, finish=None, kind: str = "binary") -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            words, at = held.value, batch.column("at")
+            ids = [words.pack(pieces_of(w, c)) for w, c in zip(batch.column("word").to_pylist(), batch.column("cuts").to_pylist(), strict=True)]
+            lists = np.diff(at.offsets.to_numpy())
+            rows = at.flatten()
+            blocks, number, word = rows.field("b").to_numpy(), rows.field("k").to_numpy(), np.repeat(np.arange(len(ids)), lists)
+            order = np.argsort(blocks, kind="stable")
+            ends = np.flatnonzero(np.diff(blocks[order], append=np.int64(-1)))
+            names, packed, first = [], [], 0
+            for end in ends + 1:
+                own = order[first:end]
+                some = [ids[i] for i in word[own]]
+                names.append(blocks[own[0]])
+                packed.append(b"".join([np.array([len(own), *map(len, some)], "<i4").tobytes(), number[own].astype("<i4").tobytes(), *some]))
+                first = end
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in packed], pa.binary()), pa.array(list(map(len, packed)), pa.int64())], [block, "packed", "size"])
+
+    return found.select("word", "cuts", "at").mapInArrow(run, f"`{block}` long, packed binary, size long")
+
+
+def answered(packets, sizes, lost: list[str]) -> dict[str, bytes]:
+    """Ids of the words that a block asked for."""
+    own: dict[str, bytes] = {}
+    for packed, size in zip(packets, sizes, strict=True):
+        data = pa.decompress(packed, size, "zstd", asbytes=True)
+        n = int(np.frombuffer(data, "<i4", 1)[0])
+        stops = np.cumsum(np.frombuffer(data, "<i4", n, 4)) + 4 + 8 * n
+        start = 4 + 8 * n
+        for k, stop in zip(np.frombuffer(data, "<i4", n, 4 + 4 * n).tolist(), stops.tolist(), strict=True):
+            own[lost[k]] = data[start:stop]
+            start = stop
+    if len(own) != len(lost):
+        raise ValueError(f"{len(lost) - len(own)} words without an answer of the lattice")
+    return own
+
+
+def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = SAMPLE_DOCS, head: int = HEAD, block_bytes: int = BLOCK, finish=None, kind: str = "binary") -> DataFrame:
     """docs with a column of its piece ids, packed as little-endian int32.
 
-    finish(texts, packed), where given, makes the column (of the given type) from both within the
-    same Python function.
+    finish(texts, packed), where given, makes the column (an Arrow array of the given type) from both
+    within the same Python function.  docs is read several times: a table, or a frame cut from its plan.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(Words(model, head_words(docs, model, sample_docs, head)))  # one copy per Python worker
-
-    @F.pandas_udf("array<string>")
-    def missing(texts: pd.Series) -> pd.Series:
+    block = free_name("_block", [*docs.columns, out])
+    rows = docs.select(*(c for c in docs.columns if c != out))
+    n_blocks = ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) / block_bytes)
+    packets = 8 * parts(spark)
+    held = spark.sparkContext.broadcast(Words(model, head_words(docs, model, sample_docs, head), packets))  # one copy per Python worker
+    rows = rows.withColumn(block, F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}), {n_blocks})"))
+
+    def ask(rows: pa.Table) -> pa.Table:
         words = held.value
-        return pd.Series([words.missing(t) for t in texts], dtype=object)
-
-    def encoded(texts: pd.Series, own: pd.Series, cuts: pd.Series):
+        keys: set[str] = set()
+        for t in rows["text"].to_pylist():
+            keys.update(words.model.keys(t))
+        lost = words.missing(keys)
+        numbers = np.fromiter(map(words.packet, lost), np.int64, len(lost))
+        first = np.flatnonzero(np.diff(numbers, prepend=-1))
+        texts = [" ".join(lost[a:b]) for a, b in zip(first, [*first, len(lost)][1:], strict=True)]  # no word holds a space
+        at = rows[block][0].as_py() if len(rows) else 0
+        return pa.table({"p": pa.array(numbers[first], pa.int64()), "b": pa.array([at] * len(first), pa.int64()), "first": pa.array(first, pa.int64()), "words": pa.array(texts, pa.string())})
+
+    asked = rows.groupBy(block).applyInArrow(ask, "p long, b long, first long, words string").repartition(parts(spark), "p")
+    asked = asked.select("p", "b", "first", F.posexplode(F.split("words", " ")).alias("k", "word"))
+    asked = asked.groupBy("p", "word", F.expr(f"b DIV {ASKING}").alias("chunk")).agg(F.collect_list(F.struct("b", (F.col("first") + F.col("k")).cast("int").alias("k"))).alias("at"))
+    got = answers(lattice_words(asked, model, ["p", "chunk"], ["at"]), held, block)
+
+    def meet(rows: pa.Table, got: pa.Table) -> pa.Table:
         words = held.value
-        done, lately = [], {}
-        for t, ws, cs in zip(texts, own, cuts, strict=True):
-            known = {} if ws is None else {w: np.array(words.model.spell(pieces_of(w, c)), "<i4").tobytes() for w, c in zip(ws, cs, strict=True)}
-            done.append(words.encode(t, known, lately))
-        return pd.Series(done, dtype=object) if finish is None else finish(texts, done)
-
-    # documents and their missing words are shuffled by row; all that follows is grouped and joined within the partitions
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    n = 3 * parts(spark)  # small Arrow batches: a worker holds its texts, their ids and the head at once
-    lost = rows.select("_rid", missing("text").alias("_lost")).repartition(n, "_rid")
-    cut_words = lattice_words(lost.select("_rid", F.explode("_lost").alias("word")), model, ["_rid"]).groupBy("_rid").agg(F.collect_list(F.struct("word", "cuts")).alias("_t"))
-    both = rows.repartition(n, "_rid").join(cut_words, "_rid", "left")
-    encoded.__annotations__["return"] = pd.DataFrame if "," in kind else pd.Series
-    run = F.pandas_udf(encoded, kind)
-    return both.select(*docs.columns, run("text", F.col("_t.word"), F.col("_t.cuts")).alias(out))
+        texts = rows["text"].to_pylist()
+        lost = words.missing(set().union(*map(words.model.keys, texts)))
+        packed = words.encode(texts, answered(got["packed"].to_pylist(), got["size"].to_pylist(), lost))
+        column = pa.array(packed, pa.binary()) if finish is None else finish(texts, packed)
+        return rows.drop_columns([block]).append_column(out, column)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(block).schema), f"`{out}` {kind}"])
+    return rows.groupBy(block).cogroup(got.groupBy(block)).applyInArrow(meet, schema)
 
 
 def decode_ids(ids: np.ndarray, model: Model) -> str:
@@ -408,26 +522,34 @@ def decode_ids(ids: np.ndarray, model: Model) -> str:
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=4)
+def load_model(path: str) -> Model:
+    return Model.load(path)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids as little-endian int32), round_trip (decoding gives the text)."""
-    model = Model.load(model_file)
+    model = load_model(model_file)
 
     def digest(texts, packed):
-        out = [(len(b) // 4, hashlib.sha256(b).hexdigest(), decode_ids(np.frombuffer(b, "<i4").tolist(), model) == (t or "").replace(SPACE, " ")) for t, b in zip(texts, packed, strict=True)]
-        return pd.DataFrame(out, columns=["n_pieces", "ids_sha256", "round_trip"])
+        back = [decode_ids(np.frombuffer(b, "<i4").tolist(), model) == (t or "").replace(SPACE, " ") for t, b in zip(texts, packed, strict=True)]
+        columns = [pa.array([len(b) // 4 for b in packed], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in packed], pa.string()), pa.array(back, pa.bool_())]
+        return pa.StructArray.from_arrays(columns, ["n_pieces", "ids_sha256", "round_trip"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, model, "d", finish=digest, kind="n_pieces long, ids_sha256 string, round_trip boolean").select("doc_id", "d.*")
+    return encode(docs, model, "d", finish=digest, kind="struct<n_pieces: bigint, ids_sha256: string, round_trip: boolean>").select("doc_id", "d.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
     """doc_id, lang, source, n_chars, n_pieces, ids of every document."""
+    keep = ["doc_id", "lang", "source", "n_chars"]
+
     def unpacked(texts, packed):
-        ids = [np.frombuffer(b, "<i4") for b in packed]
-        return pd.DataFrame({"n_pieces": [len(i) for i in ids], "ids": ids})
+        offsets = np.r_[0, np.cumsum([len(b) // 4 for b in packed], dtype=np.int64)]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
-    got = encode(docs, Model.load(model_file), "_d", finish=unpacked, kind="n_pieces long, ids array<int>")
-    return got.select("doc_id", "lang", "source", "n_chars", "_d.n_pieces", "_d.ids")
+    got = encode(docs.select(*keep, "text"), load_model(model_file), "ids", finish=unpacked, kind="array<int>")
+    return got.select(*keep, F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
 QUERIES = {"op10_sentencepiece": op10_sentencepiece}

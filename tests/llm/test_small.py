@@ -414,39 +414,75 @@ def test_language_model(spark, monkeypatch, head):
 
 # sentencepiece
 
-def test_encoding_equals_the_library(spark):
+ODD = [*TEXTS, " ", "   lead", "tail  ", "a" * 200, "日本語テキスト", "naïve café — “quoted” 1234567 x²+y²", "\u2581odd", "<s>[INST]</s>", "two  spaces and\u2581 mixed \u2581\u2581ones", "ab\x00cd e\nf\n\ng"]
+
+
+@pytest.mark.parametrize("block_bytes", [spl.BLOCK, 400])
+def test_encoding_equals_the_library(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(spl, "ASKING", 2 if block_bytes == 400 else 4096)
     sentencepiece = pytest.importorskip("sentencepiece")
     model = spl.Model.load(spl.MODEL_FILE)
     lib = sentencepiece.SentencePieceProcessor(model_file=spl.MODEL_FILE)
-    texts = [*TEXTS, " ", "   lead", "tail  ", "a" * 200, "日本語テキスト", "naïve café — “quoted” 1234567 x²+y²", "\u2581odd", "<s>[INST]</s>"]
-    df = docs(spark, texts, **{k: v for k, v in CLASH.items() if k not in ("ids", "_rid")})
-    for r in spl.encode(df, model, sample_docs=3, head=20).collect():
+    df = docs(spark, [*ODD, *ODD[:9]], **CLASH).withColumns({"_block": F.lit(9), "p": F.lit("x"), "big": F.col("doc_id") + 2**60, "two words": F.lit(None).cast("timestamp")})
+    got = spl.encode(df.unionByName(df.limit(5)), model, sample_docs=3, head=20, block_bytes=block_bytes)
+    assert sorted(got.columns) == sorted(df.columns) and len(rows := got.collect()) == df.count() + 5
+    for r in rows:
         ids = np.frombuffer(r.ids, "<i4").tolist()
         assert ids == lib.encode(r.text or "") and spl.decode_ids(ids, model) == (r.text or "").replace("\u2581", " ")
+        assert (r._rid, r._block, r.big) == (1, 9, r.doc_id + 2**60)
     assert spl.encode(df.limit(0), model).count() == 0
 
 
-def test_missing_words_do_not_depend_on_what_was_encoded():
+def test_lost_answers_are_errors():
     model = spl.Model.load(spl.MODEL_FILE)
-    text = "strange unheard words"
-    words = spl.Words(model, {})
-    lost = words.missing(text)
-    own = {w: np.array(model.spell(model.segment(w)), "<i4").tobytes() for w in lost}
-    lately = {}
-    assert len(lost) == 3 and words.encode(text, own, lately) == words.encode(text, {}, lately)
-    assert words.missing(text) == lost
+    words = spl.Words(model, {}, 3)
+    lost = words.missing({"strange", "unheard", "words", " \u2581\u2581x", "a"})
+    assert len(lost) == 5 and words.missing({"strange"}) == ["\u2581strange"]
+    own = {w: words.pack(model.segment(w)) for w in lost}
+    assert words.encode(["strange unheard words"], own) == [b"".join(own["\u2581" + w] for w in ("strange", "unheard", "words"))]
+    with pytest.raises(ValueError):
+        words.encode(["strange unheard words"], {})
     with pytest.raises(ValueError):
-        words.encode(text, {}, {})
+        spl.answered([], [], lost)
+
+
+def bpe(scores):
+    return spl.Model({p: i + 1 for i, p in enumerate(scores)}, scores, None, 0, spl.BPE, True, [b"?", *(p.replace("▁", " ").encode() for p in scores)])
+
+
+def test_folds_of_tables_with_late_pieces(spark):
+    rng = random.Random(2)
+    for trial in range(3):
+        names = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(25)}
+        model = bpe({p: -float(rng.randrange(12)) for p in sorted(names)})
+        words = {"".join(rng.choice("abcx") for _ in range(rng.randint(2, 14))) for _ in range(150)}
+        rows = spl.lattice_words(spark.createDataFrame([(w,) for w in words], "word string"), model, [], []).collect()
+        assert model.late and {r.word: spl.pieces_of(r.word, r.cuts) for r in rows} == {w: model.segment(w) for w in words}, trial
+
+
+def test_one_pass_is_exact_without_late_pieces():
+    model = spl.Model.load(spl.MODEL_FILE)
+    assert not model.late
+    rng = random.Random(3)
+    pieces = [p for p in model.scores if len(p) > 1]
+    for _ in range(3000):
+        w = "".join(rng.choice(pieces)[: rng.randint(1, 6)] for _ in range(rng.randint(1, 6)))
+        cuts = set(range(len(w) + 1))
+        for _, i, j in sorted((-model.scores[w[i:j]], i, j) for i in range(len(w)) for j in range(i + 2, len(w) + 1) if w[i:j] in model.scores):
+            if i in cuts and j in cuts and len(inner := [k for k in cuts if i < k < j]) == 1:
+                cuts.remove(inner[0])
+        at = sorted(cuts)
+        assert [w[a:b] for a, b in zip(at, at[1:], strict=False)] == model.segment(w)
 
 
 def test_viterbi_fold_against_table(spark):
     scores = {"a": -2.0, "b": -2.5, "c": -3.0, "ab": -3.1, "bc": -3.3, "abc": -4.9, "ca": -3.6, "aa": -3.2, "▁": -2.0, "▁a": -2.7, "▁ab": -3.9}
     model = spl.Model({p: i + 1 for i, p in enumerate(scores)}, scores, None, 0, spl.UNIGRAM, True, [b"?", *(p.replace("▁", " ").encode() for p in scores)])
     rng = random.Random(1)
-    words = {"".join(rng.choice("abcx▁") for _ in range(rng.randint(2, 12))) for _ in range(60)}
-    got = spl.lattice_words(spark.createDataFrame([(w,) for w in words], "word string"), model, []).collect()
+    words = {"".join(rng.choice("abcx▁") for _ in range(rng.randint(2, 12))) for _ in range(60)} | {"xx"}
+    got = spl.lattice_words(spark.createDataFrame([(w,) for w in words], "word string"), model, [], []).collect()
     total = lambda ps: sum(scores.get(p, -14.9 + 0.0) for p in ps)
-    assert got and all(math.isclose(total(spl.pieces_of(r.word, r.cuts)), total(model.segment(r.word))) for r in got)
+    assert {r.word for r in got} == words and all(math.isclose(total(spl.pieces_of(r.word, r.cuts)), total(model.segment(r.word))) for r in got)
 
 
 # pipeline
