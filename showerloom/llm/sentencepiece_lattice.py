@@ -15,7 +15,7 @@ output for their model type.
 One pass over the edges by rank replays the merges wherever every piece in the lattice comes out of
 its own text by such a pass.  (An edge opened late would have both ends uncrossed, so what lies
 between them was merged as in the piece's own text, and the piece was joined when its rank came.)
-Pieces for which that fails are marked in the table; words with such an edge look for the best open
+Pieces for which that fails, as it does for runs of spaces of one score, are marked in the table; words with such an edge look for the best open
 edge again after each merge.
 
 Each distinct word of the corpus goes through the lattice about once.  Documents are dealt by a hash
