@@ -7,10 +7,13 @@ only); in SQL it is ``WORDS`` below.  A null text counts as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from math import ceil
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
@@ -46,10 +49,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """The session's own checkpoint folder; a temporary one only where none is named (tests)."""
+    """The session's own checkpoint folder, which all hosts share; a temporary one only on a local master, where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -74,6 +80,13 @@ def free_name(name: str, taken) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: it is kept for later tasks and may idle beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,8 +17,9 @@ Word counts are looked up in two ways with one result: the ``HEAD`` most frequen
 bound) are broadcast, all others are joined by hash.
 
 Edge cases: null text is empty: a single end mark; a null doc_id counts as a training row; repeated
-rows are scored each; with no training tokens all counts are 0 and the chain is uniform; an empty
-table gives no rows.
+rows are scored each; equal texts score alike; a very long text is one sequence of its own, whose
+arrays grow with it (24 numbers a token in training, 6 in scoring); with no training tokens all counts
+are 0 and the chain is uniform; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashCache, crc_mod, cut, table, tokens, with_row_id
+from .common import HashCache, crc_mod, cut, give_back, table, tokens, with_row_id
 
 FOLD = 7
 N_CLASSES = 8192
@@ -80,13 +81,15 @@ class Chain:
         kind = np.float32 if backward else np.float64  # counts need no more; likelihoods do
         tilt = self.move.astype(kind)
         e = self.emit.astype(kind)[cls]
-        alpha, scale = np.empty_like(e), np.empty(len(e), kind)
+        alpha, scale = np.empty_like(e) if backward else None, np.empty(len(e), kind)
         state = self.start.astype(kind)
         for f, k in zip(first, live, strict=True):
             state = (state[:k] @ tilt if f else state) * e[f : f + k]
             c = state.sum(1)
             state = state / c[:, None]
-            alpha[f : f + k], scale[f : f + k] = state, c
+            scale[f : f + k] = c
+            if backward:
+                alpha[f : f + k] = state
         ll = np.bincount(of_doc, np.log(scale), len(seqs))
         if not backward:
             return ll, None
@@ -169,6 +172,7 @@ def baum_welch(train: DataFrame, chain: Chain) -> Chain:
             start, move, emit = total
             every = np.vstack([start[None], move, emit])
             yield pd.DataFrame({"k": np.arange(len(every)), **{f"s{i}": every[:, i] for i in range(STATES)}})
+        give_back()
 
     cols = [f"s{i}" for i in range(STATES)]
     summed = train.select("text").mapInPandas(run, "k int, " + ", ".join(f"{c} double" for c in cols)).groupBy("k").agg(*(F.sum(c).alias(c) for c in cols))
@@ -176,8 +180,8 @@ def baum_welch(train: DataFrame, chain: Chain) -> Chain:
     return Chain.from_counts(got[0], got[1 : 1 + STATES], got[1 + STATES :])
 
 
-def learn(train: DataFrame, n_docs: int) -> Chain:
-    few = train.where(F.expr(f"pmod(xxhash64(doc_id, text), {max(n_docs, 1)}) < {INIT_DOCS}")).orderBy(F.xxhash64("text")).select("text").limit(2 * INIT_DOCS)
+def learn(train: DataFrame, n_docs: int, id_col: str = "doc_id") -> Chain:
+    few = train.where(F.expr(f"pmod(xxhash64(`{id_col}`, text), {max(n_docs, 1)}) < {INIT_DOCS}")).orderBy(F.xxhash64("text")).select("text").limit(2 * INIT_DOCS)
 
     def run(batches):
         cache = HashCache()
@@ -191,10 +195,11 @@ def learn(train: DataFrame, n_docs: int) -> Chain:
 
 
 def score(documents: DataFrame, train: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score, score for every document; train: doc_id, text."""
+    """id, n_tokens, n_known, train_tokens, base_score, score for every document; train: id, text; other columns are left out."""
+    documents, train = documents.select(id_col, "text"), train.select(id_col, "text")
     sc = documents.sparkSession.sparkContext
     n_docs = train.count()
-    chain = learn(train, n_docs)
+    chain = learn(train, n_docs, id_col)
     counts = cut(count_words(train))
     head = most_frequent(counts, HEAD).toPandas().sort_values("word")
     by_class = counts.groupBy(F.expr(f"CAST(pmod(word, {N_CLASSES}) AS INT)").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas().set_index("k").reindex(range(N_CLASSES), fill_value=0)
@@ -220,6 +225,7 @@ def score(documents: DataFrame, train: DataFrame, id_col: str = "doc_id") -> Dat
                 logs.append(float(weight[at[hit]].sum()))
                 tails.append(h[~hit])
             yield pd.DataFrame({"_rid": pdf._rid, "id": pdf.id, "n_tokens": [len(s) for s in seqs], "head_known": known, "head_logs": logs, "chain": ll - [own[s].sum() for s in seqs], "tail": tails})
+        give_back()
 
     kind = documents.schema[id_col].dataType.simpleString()
     rows = with_row_id(documents.select(F.col(id_col).alias("id"), "text")).select("_rid", "id", "text")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashCache, components, cut, table, tokens
+from .common import HashCache, components, cut, free_name, give_back, table, tokens
 
 BANDS, ROWS = 30, 6
 K = BANDS * ROWS
@@ -93,9 +93,15 @@ def sketch(docs: DataFrame, key: str, width: int) -> DataFrame:
     def run(batches):
         cache = HashCache()
         for pdf in batches:
-            sets = [shingles(cache.of(tokens(t)), width) for t in pdf.text]
-            bands = [band_keys(signature(s)) if len(s) else None for s in sets]
-            yield pd.DataFrame({"key": pdf.key, "n_shingles": [len(s) for s in sets], "text_hash": pdf.text_hash, "cls": [digest(s) if len(s) else None for s in sets], "bands": bands})
+            sizes, names, bands = [], [], []
+            for t in pdf.text:
+                s = shingles(cache.of(tokens(t)), width)
+                sizes.append(len(s))
+                names.append(digest(s) if len(s) else None)
+                bands.append(band_keys(signature(s)) if len(s) else None)
+            yield pd.DataFrame({"key": pdf.key, "n_shingles": sizes, "text_hash": pdf.text_hash, "cls": names, "bands": bands})
+        cache.clear()
+        give_back()
 
     rows = docs.select(F.col(key).alias("key"), "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInPandas(run, f"key {kind}, n_shingles long, text_hash long, cls binary, bands array<long>")
@@ -108,9 +114,14 @@ def payload(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         cache = HashCache()
         for pdf in batches:
             pdf = pdf.drop_duplicates("cls")
-            sets = [shingles(cache.of(tokens(t)), width) for t in pdf.text]
-            keep = [digest(s) == bytes(c) for s, c in zip(sets, pdf.cls, strict=True)]
-            yield pd.DataFrame({"cls": pdf.cls[keep], "sig": [signature(s).tobytes() for s, k in zip(sets, keep, strict=True) if k], "items": [s.tobytes() for s, k in zip(sets, keep, strict=True) if k]})
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
+                sets = [shingles(cache.of(tokens(t)), width) for t in part.text]
+                keep = [digest(s) == bytes(c) for s, c in zip(sets, part.cls, strict=True)]
+                sets = [s for s, k in zip(sets, keep, strict=True) if k]
+                yield pd.DataFrame({"cls": part.cls[keep], "sig": [signature(s).tobytes() for s in sets], "items": [s.tobytes() for s in sets]})
+        cache.clear()
+        give_back()
 
     found = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash")
     return found.select("text", "cls").mapInPandas(run, "cls binary, sig binary, items binary").dropDuplicates(["cls"])
@@ -244,9 +255,10 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without near-duplicates (five-word shingles): of each component the smallest (doc_id, row) stays."""
-    keyed = docs.select("*", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.monotonically_increasing_id().alias("row")).alias("_key"))
-    kept = near_duplicates(keyed.select("_key", "text"), "_key").where("_key = component").select("_key")
-    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
+    key = free_name("_key", docs.columns)
+    keyed = docs.select("*", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.monotonically_increasing_id().alias("row")).alias(key))
+    kept = near_duplicates(keyed.select(key, "text"), key).where(F.col(key) == F.col("component")).select(key)
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 QUERIES = {"op7_minhash_dedup": op7_minhash_dedup}

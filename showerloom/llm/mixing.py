@@ -16,8 +16,9 @@ only documents with those digits are sorted.
 
 Edge cases: null or unlisted languages, sources and domains are nodes with weight 1 (null is the
 node ""); weight 0 leaves a node out; null or empty texts have no tokens and cost nothing; a null
-doc_id is hashed as ""; repeated rows count each; an empty table gives no rows; other columns are
-carried along.
+doc_id is hashed as ""; repeated rows count each, ties of their running sums in any order; a very
+long text is one document of many tokens; an empty table gives no rows; other columns are carried
+along, but ``mix`` replaces those with the names it returns (``MADE``); the stage keeps these too.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TOKEN, cut, table
+from .common import TOKEN, cut, free_name, table
 
 #: first source number of each domain
 DOMAINS = (("web", 0), ("reference", 10), ("forum", 15))
@@ -37,6 +38,9 @@ BUDGET_PERCENT = 80
 MAX_EPOCHS = 4
 SEED = "mix-1"
 LEVELS = ["_domain", "_lang", "_source"]
+#: columns that ``mix`` returns, and those that it joins on the way
+MADE = (*LEVELS, "_tokens", "_epoch")
+INNER = ("_mark", "_part", "_run", "_inside", "full", "rest", "end", "tokens", "budget")
 #: node tables of up to so many leaves are broadcast; larger ones are joined by shuffle
 FEW_LEAVES = 10_000
 
@@ -82,8 +86,19 @@ def budgets(leaves: DataFrame, percent: int, max_epochs: int) -> DataFrame:
     return leaves.select(*LEVELS, "tokens", F.col("_b").alias("budget"), full.alias("full")).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with other names for columns that the work itself needs, and the way back."""
+    names = {c: free_name(f"kept_{c}", docs.columns) for c in docs.columns if c.lower() in {*MADE, *INNER}}
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def mix(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs' rows once per epoch in which they are taken, with _domain, _lang, _source, _tokens, _epoch."""
+    """docs' rows once per epoch in which they are taken, with _domain, _lang, _source, _tokens, _epoch (in place of docs' own)."""
+    docs, back = set_aside(docs.drop(*(c for c in docs.columns if c.lower() in MADE)))
+    return dealt(docs, percent, max_epochs, seed).withColumnsRenamed(back)
+
+
+def dealt(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     names = [F.coalesce(domain_of(F.col("source")), F.lit("")).alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source")]
     rows = docs.select(*docs.columns, *names, F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("_tokens"))
     leaves = cut(budgets(rows.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens")), percent, max_epochs))
@@ -113,7 +128,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs in the target mixture; a document taken in several epochs comes as often."""
-    return mix(docs).select(*docs.columns)
+    rows, back = set_aside(docs)
+    return dealt(rows).select(*rows.columns).withColumnsRenamed(back)
 
 
 QUERIES = {"op8_mixing": op8_mixing}

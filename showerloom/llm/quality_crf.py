@@ -7,13 +7,15 @@ line length (bytes + 1).  Lines are what ``split("\\n")`` gives, so every text h
 Training: document labels are given to all lines of a document (weak supervision) and the
 conditional likelihood is maximised by L-BFGS on the driver, over at most ``max_docs`` labelled
 documents (the smallest hashes of their ids, so the choice does not depend on order or
-partitions).  The fit alone leaves out documents with more than ``max_lines`` lines.  Scoring has
-no bounds: every line of every text is used; features are computed in numpy over blocks of text.
+partitions).  The fit alone leaves out documents with more than ``max_lines`` lines or ``max_bytes``
+bytes.  Scoring has no bounds: every line of every text is used; features are computed in numpy over
+blocks of text, a text longer than a block being a block of its own.
 
 Edge cases: null or empty text is one empty line and gets a score too; a null doc_id is scored but
 never learned from, and held_out is false; repeated documents are scored each; repeated labels of
 a document count by their mean (1 if at least one half); without any usable label every score is
-0.5; an empty table gives no rows; labels, lang, source and doc_id are never inputs.
+0.5; an empty table gives no rows; other columns are kept, whatever their names, and labels, lang,
+source and doc_id are never inputs.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, crc_mod, table
+from .common import BLOCK_BYTES, crc_mod, free_name, give_back, table
 
 THRESHOLD = 0.7
 FOLD = 4
@@ -181,17 +183,21 @@ def _bytes(texts) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def train(documents: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: int = 500) -> dict | None:
+def train(documents: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: int = 500, max_bytes: int = 1 << 20) -> dict | None:
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
     known = known.where(crc_mod(F.col("doc_id"), FOLD) != 2)
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))  # at most max_docs rows
 
     def features(batches):
         for pdf in batches:
-            x, _, n = line_features(_bytes(pdf.text))
-            yield pd.DataFrame({"good": pdf.good, "n": n, "x": [a.astype("f4").tobytes() for a in np.split(x, np.cumsum(n)[:-1])]})
-
-    few = (F.length("text") - F.length(F.translate("text", "\n", "")) < max_lines) | F.col("text").isNull()
+            texts = _bytes(pdf.text)
+            for s in blocks(texts):
+                x, _, n = line_features(texts[s])
+                yield pd.DataFrame({"good": pdf.good.iloc[s], "n": n, "x": [a.astype("f4").tobytes() for a in np.split(x, np.cumsum(n)[:-1])]})
+        give_back()
+
+    lines = F.length("text") - F.length(F.translate("text", "\n", ""))
+    few = ((F.octet_length("text") <= max_bytes) & (lines < max_lines)) | F.col("text").isNull()
     got = documents.select("doc_id", "text").where(few).join(chosen, "doc_id").select("text", "good").mapInPandas(features, "good int, n int, x binary").toPandas()
     if not len(got):
         return None
@@ -208,6 +214,7 @@ def score_texts(texts: list[bytes], model: dict | None) -> np.ndarray:
         good, _, _ = marginals(x @ model["w"] + model["b"], n, model["trans"])
         doc = np.repeat(np.arange(len(n)), n)
         out[s] = np.bincount(doc, good * weight, len(n)) / np.bincount(doc, weight, len(n))
+    give_back()
     return np.clip(out, 0, 1)
 
 
@@ -232,9 +239,7 @@ def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier calls good; their columns stay as they are."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    name = "_quality"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("_quality", docs.columns)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:

@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, parts, table
+from .common import cut, free_name, give_back, parts, table
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -62,7 +62,7 @@ FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}+|.", re.S)
 #: longest word of the fold: its cuts are the bits of a long, its places 6 bits of an edge
 MAX_FOLD = 60
 #: bytes of text in a block of documents; blocks in one answer of the lattice
-BLOCK, ASKING = 8 << 20, 4096
+BLOCK, ASKING = 4 << 20, 4096
 SAMPLE_DOCS, HEAD = 10_000, 100_000
 MOST_PIECES = 1 << 20
 UNIGRAM, BPE = 1, 2
@@ -374,42 +374,62 @@ class Words:
 
     def part(self, w: str) -> bytes | None:
         """Ids of a word without cuts; None if only the lattice can tell."""
-        if (got := self.head.get(key_of(w))) is not None:
+        if (got := self.head.get(w[1:] if w[0] == SPACE and w[1:2] not in ("", SPACE) else " " + w)) is not None:
             return got
         if len(w) > MAX_FOLD:
             return self.pack(self.model.segment(w))
         return self.pack([w]) if len(w) == 1 else None
 
-    def packet(self, w: str) -> int:
-        return zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.packets
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The words that these need from the lattice, by packet."""
-        lost = set()
+    def parts(self, key: str) -> list[str]:
+        """The word of a key in parts that no piece spans; the common kinds without a regular expression."""
+        if len(key) < MAX_FOLD and key[0] != " ":
+            if key.isalpha():
+                return [SPACE + key]
+            end = key[-1]
+            if not end.isalnum() and key[:-1].isalpha() and key[-2:] not in self.model.inside:
+                return [SPACE + key[:-1], end]
+        return self.model.fine(word_of(key))
+
+    def missing(self, texts: list[str | None]) -> tuple[dict[str, list[str]], list[str]]:
+        """(parts of all words of the texts that are not in the head, by key; parts that need the lattice, by packet)."""
+        keys: set[str] = set()
+        for t in texts:
+            keys.update(self.model.keys(t))
+        parts_, lost = {}, set()
         for k in keys:
             if k not in self.head:
-                lost.update(w for w in self.model.fine(word_of(k)) if self.part(w) is None)
-        return sorted(lost, key=lambda w: (self.packet(w), w))
+                parts_[k] = ps = self.parts(k)
+                for w in ps:
+                    if len(w) > 1 and w not in lost and self.part(w) is None:
+                        lost.add(w)
+        ordered = sorted(lost)
+        return parts_, [ordered[i] for i in np.argsort(self.packets_of(ordered), kind="stable").tolist()]
 
-    def ids(self, key: str, own: dict[str, bytes]) -> bytes:
+    def packets_of(self, lost: list[str]) -> np.ndarray:
+        return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.packets for w in lost), np.int64, len(lost))
+
+    def ids(self, parts_: list[str], own: dict[str, bytes]) -> bytes:
         """Ids of a word; own: the answers of the lattice, all of missing()."""
+        if len(parts_) == 1 and (got := own.get(parts_[0])) is not None:
+            return got
         out = []
-        for w in self.model.fine(word_of(key)):
-            if (got := self.part(w)) is None and (got := own.get(w)) is None:
+        for w in parts_:
+            if (got := own.get(w)) is None and (got := self.part(w)) is None:
                 raise ValueError(f"the lattice gave no answer for {w!r}")
             out.append(got)
         return b"".join(out)
 
-    def encode(self, texts: list[str | None], own: dict[str, bytes]) -> list[bytes]:
-        """Ids of the texts of a block."""
-        split = list(map(self.model.keys, texts))
-        known = {k: got if (got := self.head.get(k)) is not None else self.ids(k, own) for k in set().union(*split)}
-        return [b"".join(map(known.__getitem__, keys)) for keys in split]
+    def encode(self, texts: list[str | None], parts_: dict[str, list[str]], own: dict[str, bytes]) -> list[bytes]:
+        """Ids of the texts of a block; parts_ from missing()."""
+        rare, head = {k: self.ids(ps, own) for k, ps in parts_.items()}, self.head.get
+        return [b"".join([ids if (ids := head(k)) is not None else rare[k] for k in self.model.keys(t)]) for t in texts]
 
 
 def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, head: int = HEAD) -> dict[str, bytes]:
     """Ids of the `head` most frequent words of about sample_docs documents, and of their parts, by key."""
 
+    bare = Words(model, {})
+
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 300):  # counts of few texts at a time keep the worker small
@@ -420,7 +440,7 @@ def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, he
 
     def fine(batches):
         for pdf in batches:
-            yield pd.DataFrame({"word": list({w for k in pdf.word for w in model.fine(word_of(k)) if 2 <= len(w) <= MAX_FOLD})}, dtype="str")
+            yield pd.DataFrame({"word": list({w for k in pdf.word for w in bare.parts(k) if 2 <= len(w) <= MAX_FOLD})}, dtype="str")
 
     n = max(docs.count(), 1)
     few = docs.select("text", F.monotonically_increasing_id().alias("i")).where(F.expr(f"pmod(xxhash64(i), {n}) < {sample_docs}"))
@@ -430,7 +450,7 @@ def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, he
     rows = lattice_words(parts_, model, [], []).select("word", "cuts").toArrow()
     words = Words(model, {key_of(p): np.array([i], "<i4").tobytes() for p, i in model.ids.items() if len(p) == 1})
     own = {w: words.pack(pieces_of(w, c)) for w, c in zip(rows["word"].to_pylist(), rows["cuts"].to_pylist(), strict=True)}
-    made = {k: words.ids(k, own) for k in top.toArrow()["word"].to_pylist()}  # put together from their parts
+    made = {k: words.ids(words.parts(k), own) for k in top.toArrow()["word"].to_pylist()}  # put together from their parts
     return words.head | {key_of(w): ids for w, ids in own.items()} | made
 
 
@@ -490,14 +510,12 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = S
 
     def ask(rows: pa.Table) -> pa.Table:
         words = held.value
-        keys: set[str] = set()
-        for t in rows["text"].to_pylist():
-            keys.update(words.model.keys(t))
-        lost = words.missing(keys)
-        numbers = np.fromiter(map(words.packet, lost), np.int64, len(lost))
+        lost = words.missing(rows["text"].to_pylist())[1]
+        numbers = words.packets_of(lost)
         first = np.flatnonzero(np.diff(numbers, prepend=-1))
         texts = [" ".join(lost[a:b]) for a, b in zip(first, [*first, len(lost)][1:], strict=True)]  # no word holds a space
         at = rows[block][0].as_py() if len(rows) else 0
+        give_back()
         return pa.table({"p": pa.array(numbers[first], pa.int64()), "b": pa.array([at] * len(first), pa.int64()), "first": pa.array(first, pa.int64()), "words": pa.array(texts, pa.string())})
 
     asked = rows.groupBy(block).applyInArrow(ask, "p long, b long, first long, words string").repartition(parts(spark), "p")
@@ -506,11 +524,12 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = S
     got = answers(lattice_words(asked, model, ["p", "chunk"], ["at"]), held, block)
 
     def meet(rows: pa.Table, got: pa.Table) -> pa.Table:
-        words = held.value
-        texts = rows["text"].to_pylist()
-        lost = words.missing(set().union(*map(words.model.keys, texts)))
-        packed = words.encode(texts, answered(got["packed"].to_pylist(), got["size"].to_pylist(), lost))
+        words, texts = held.value, rows["text"].to_pylist()
+        parts_, lost = words.missing(texts)
+        packed = words.encode(texts, parts_, answered(got["packed"].to_pylist(), got["size"].to_pylist(), lost))
         column = pa.array(packed, pa.binary()) if finish is None else finish(texts, packed)
+        del texts, parts_, lost, packed
+        give_back()
         return rows.drop_columns([block]).append_column(out, column)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(block).schema), f"`{out}` {kind}"])

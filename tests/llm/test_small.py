@@ -27,6 +27,7 @@ def docs(spark, texts, **extra):
 
 
 TEXTS = [None, "", " \n\t ", "one", "one two", "The cat. Sat\non the mat.", "The cat. Sat\non the mat.", LONG, "é ü 😀 \x00", "a\n\n\nb"]
+INNER = {"full": 5, "end": 6, "_epoch": 7, "_domain": "x", "_Part": 9, "rest": 1, "tokens": 2}
 CLASH = {"_rid": 1, "cls": 2, "key": 3, "_tokens": 4, "ids": 5, "_quality": 6, "id": 7, "v": 8}
 
 
@@ -276,7 +277,7 @@ def test_pruning_bound():
 
 def test_dedup_stage_keeps_one_of_each(spark):
     texts = ["a b c d e f g"] * 3 + [None, None, "", "x y z q r s t u"]
-    df = docs(spark, texts).unionByName(docs(spark, texts[:1])).withColumn("doc_id", F.when(F.col("doc_id") == 1, None).otherwise(F.col("doc_id")))
+    df = docs(spark, texts, _key=1, component=2, **CLASH).unionByName(docs(spark, texts[:1], _key=1, component=2, **CLASH)).withColumn("doc_id", F.when(F.col("doc_id") == 1, None).otherwise(F.col("doc_id")))
     out = minhash_dedup.dedup_stage(spark, df, "")
     assert out.columns == df.columns and sorted(str(r.text) for r in out.collect()) == sorted(["a b c d e f g", "None", "None", "", "x y z q r s t u"])
 
@@ -294,7 +295,10 @@ def test_components(spark):
 def test_mixing_against_greedy(spark):
     rng = random.Random(8)
     texts = [" ".join(["w"] * rng.randrange(0, 30)) for _ in range(120)] + [None, ""]
-    df = docs(spark, texts, **{k: v for k, v in CLASH.items() if not k.startswith("_")})
+    df = docs(spark, texts, **CLASH, **INNER)
+    staged = mixing.mixing_stage(spark, df, "")
+    assert staged.columns == df.columns and all((r._tokens, r.full, r.end, r._epoch) == (4, 5, 6, 7) for r in staged.collect())
+    assert {(r.full, r._rid) for r in mixing.mix(df).collect()} == {(5, 1)}
     got = mixing.mix(df, percent=60, max_epochs=2, seed="s").collect()
     rows = [(r.doc_id, next((n for n, f in reversed(mixing.DOMAINS) if (r.source or "x")[-1].isdigit() and int(r.source[3:]) >= f), ""), r.lang or "", r.source or "", len((r.text or "").split())) for r in df.collect()]
     weights = (mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, mixing.SOURCE_WEIGHTS)
@@ -362,7 +366,7 @@ def test_quality_learns_and_scores_everything(spark):
     rng = random.Random(4)
     good = ["\n".join("The " + " ".join(rng.choice(["house", "is", "a", "tree", "of", "water"]) for _ in range(8)) + "." for _ in range(rng.randrange(1, 5))) for _ in range(80)]
     bad = [t.replace(" ", "### ") for t in good[:40]]
-    df = docs(spark, good + bad + TEXTS, **{k: v for k, v in CLASH.items() if k != "_quality"})
+    df = docs(spark, good + bad + TEXTS, **CLASH)
     labels = spark.createDataFrame([(i, int(i < 80)) for i in range(120)] + [(None, 0), (3, None)], "doc_id long, quality int")
     got = {r.doc_id: r.quality_score for r in quality_crf.score(df, quality_crf.train(df, labels)).collect()}
     test = [i for i in range(120) if zlib.crc32(str(i).encode()) % 4 == 2]
@@ -398,7 +402,7 @@ def test_language_model(spark, monkeypatch, head):
     monkeypatch.setattr(lm_score, "HEAD", head)
     rng = random.Random(9)
     texts = [" ".join(rng.choice(["ab", "cd", "Ef"] if i % 2 else ["xx", "yy", "zz"]) for _ in range(30)) for i in range(60)] + TEXTS
-    df = docs(spark, texts, **{k: v for k, v in CLASH.items() if k != "id"}).select("doc_id", "text")
+    df = docs(spark, texts, **CLASH, n_tokens=1, chain=2)
     got = {r.doc_id: r for r in lm_score.score(df, df.where("doc_id % 5 <> 0")).collect()}
     toks = [[*(t or "").encode().lower().split(), None] for t in texts]
     c = Counter(w for i, t in enumerate(toks) if i % 5 for w in t)
@@ -436,16 +440,24 @@ def test_encoding_equals_the_library(spark, monkeypatch, block_bytes):
 def test_lost_answers_are_errors():
     model = spl.Model.load(spl.MODEL_FILE)
     words = spl.Words(model, {}, 3)
-    lost = words.missing({"strange", "unheard", "words", " \u2581\u2581x", "a"})
-    assert len(lost) == 5 and words.missing({"strange"}) == ["\u2581strange"]
+    parts, lost = words.missing(["strange unheard words", "strange", "\u2581\u2581x a", None, ""])
+    assert set(lost) == {"\u2581strange", "\u2581unheard", "\u2581words", "\u2581\u2581\u2581x", "\u2581a"} and lost == sorted(lost, key=lambda w: (zlib.crc32(w.encode()) % 3, w))
     own = {w: words.pack(model.segment(w)) for w in lost}
-    assert words.encode(["strange unheard words"], own) == [b"".join(own["\u2581" + w] for w in ("strange", "unheard", "words"))]
+    assert words.encode(["strange unheard words"], parts, own) == [b"".join(own["\u2581" + w] for w in ("strange", "unheard", "words"))]
     with pytest.raises(ValueError):
-        words.encode(["strange unheard words"], {})
+        words.encode(["strange unheard words"], parts, {})
     with pytest.raises(ValueError):
         spl.answered([], [], lost)
 
 
+def test_parts_without_a_pattern_are_those_of_the_pattern():
+    model = spl.Model.load(spl.MODEL_FILE)
+    words, rng = spl.Words(model, {}), random.Random(7)
+    for _ in range(5000):
+        key = "".join(rng.choice("abcZé²½٣12_.,%'\n\x00日") for _ in range(rng.randint(1, 6))) + rng.choice(["", ".", ",", "\n", "'", "s"])
+        assert words.parts(key) == model.fine("\u2581" + key)
+
+
 def bpe(scores):
     return spl.Model({p: i + 1 for i, p in enumerate(scores)}, scores, None, 0, spl.BPE, True, [b"?", *(p.replace("▁", " ").encode() for p in scores)])
 
