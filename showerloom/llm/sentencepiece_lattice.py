@@ -20,7 +20,7 @@ edge again after each merge.
 
 Each distinct word of the corpus goes through the lattice about once.  Documents are dealt by a hash
 of their whole row into blocks of about ``BLOCK`` bytes of text, so that blocks are the same whenever
-a lost task is run again.  A block asks for its words in packets by word hash, the lattice answers
+a lost task is run again, and shuffled compressed.  A block asks for its words in packets by word hash, the lattice answers
 each word to the blocks that asked for it (in lists of at most ``ASKING`` blocks), and documents meet
 the answers of their block.  An answer that is missing is an error, never a guess.  The ``HEAD``
 most frequent words of a sample of a fixed number of documents are encoded by the lattice first and
@@ -52,6 +52,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, free_name, give_back, parts, table
 
@@ -494,23 +495,43 @@ def answered(packets, sizes, lost: list[str]) -> dict[str, bytes]:
     return own
 
 
-def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = SAMPLE_DOCS, head: int = HEAD, block_bytes: int = BLOCK, finish=None, kind: str = "binary") -> DataFrame:
-    """docs with a column of its piece ids, packed as little-endian int32.
+def zipped(rows: DataFrame, size: str) -> DataFrame:
+    """rows with text compressed (zstd) and its size in bytes, as documents are shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            at, texts = batch.schema.get_field_index("text"), [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+            packed = pa.array([None if t is None else pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())
+            sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield batch.set_column(at, "text", packed).append_column(size, sizes)
+
+    fields = [T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in rows.schema]
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField(size, T.LongType())]))
+
+
+def unzipped(packed: pa.ChunkedArray, sizes: pa.ChunkedArray) -> list[str | None]:
+    return [None if b is None else pa.decompress(b, n, "zstd", asbytes=True).decode() for b, n in zip(packed.to_pylist(), sizes.to_pylist(), strict=True)]
+
+
+def encode(docs: DataFrame, model: Model, out: str = "ids", keep: list[str] | None = None, sample_docs: int = SAMPLE_DOCS, head: int = HEAD, block_bytes: int = BLOCK, finish=None, kind: str = "binary") -> DataFrame:
+    """docs (or the columns `keep` of it) with a column of its piece ids, packed as little-endian int32.
 
     finish(texts, packed), where given, makes the column (an Arrow array of the given type) from both
     within the same Python function.  docs is read several times: a table, or a frame cut from its plan.
     """
     spark = docs.sparkSession
     block = free_name("_block", [*docs.columns, out])
+    size = free_name("_size", [*docs.columns, block, out])
     rows = docs.select(*(c for c in docs.columns if c != out))
+    kept = rows.select(*(rows.columns if keep is None else keep)).schema
     n_blocks = ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) / block_bytes)
     packets = 8 * parts(spark)
     held = spark.sparkContext.broadcast(Words(model, head_words(docs, model, sample_docs, head), packets))  # one copy per Python worker
-    rows = rows.withColumn(block, F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}), {n_blocks})"))
+    rows = zipped(rows.withColumn(block, F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}), {n_blocks})")), size)
 
     def ask(rows: pa.Table) -> pa.Table:
         words = held.value
-        lost = words.missing(rows["text"].to_pylist())[1]
+        lost = words.missing(unzipped(rows["text"], rows[size]))[1]
         numbers = words.packets_of(lost)
         first = np.flatnonzero(np.diff(numbers, prepend=-1))
         texts = [" ".join(lost[a:b]) for a, b in zip(first, [*first, len(lost)][1:], strict=True)]  # no word holds a space
@@ -524,15 +545,16 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", sample_docs: int = S
     got = answers(lattice_words(asked, model, ["p", "chunk"], ["at"]), held, block)
 
     def meet(rows: pa.Table, got: pa.Table) -> pa.Table:
-        words, texts = held.value, rows["text"].to_pylist()
+        words, texts = held.value, unzipped(rows["text"], rows[size])
         parts_, lost = words.missing(texts)
         packed = words.encode(texts, parts_, answered(got["packed"].to_pylist(), got["size"].to_pylist(), lost))
         column = pa.array(packed, pa.binary()) if finish is None else finish(texts, packed)
+        done = pa.table([pa.array(texts, pa.string()) if f.name == "text" else rows[f.name] for f in kept] + [column], [*kept.names, out])
         del texts, parts_, lost, packed
         give_back()
-        return rows.drop_columns([block]).append_column(out, column)
+        return done
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(block).schema), f"`{out}` {kind}"])
+    schema = T.StructType([*kept, T.StructField(out, T._parse_datatype_string(kind))])
     return rows.groupBy(block).cogroup(got.groupBy(block)).applyInArrow(meet, schema)
 
 
@@ -556,7 +578,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL
         return pa.StructArray.from_arrays(columns, ["n_pieces", "ids_sha256", "round_trip"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, model, "d", finish=digest, kind="struct<n_pieces: bigint, ids_sha256: string, round_trip: boolean>").select("doc_id", "d.*")
+    return encode(docs, model, "d", ["doc_id"], finish=digest, kind="struct<n_pieces: bigint, ids_sha256: string, round_trip: boolean>").select("doc_id", "d.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
@@ -567,7 +589,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, model_file:
         offsets = np.r_[0, np.cumsum([len(b) // 4 for b in packed], dtype=np.int64)]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
-    got = encode(docs.select(*keep, "text"), load_model(model_file), "ids", finish=unpacked, kind="array<int>")
+    got = encode(docs.select(*keep, "text"), load_model(model_file), "ids", keep, finish=unpacked, kind="array<int>")
     return got.select(*keep, F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
