@@ -31,8 +31,8 @@ def minus(a: Vec, b: Vec) -> Vec:
 
 
 def layer_of(cell_id: Column) -> Column:
-    """Bits 19 to 27 of the readout id."""
-    return F.shiftright(cell_id, 19).bitwiseAND(511)
+    """Bits 19 to 27 of the readout id; a missing id is an error, as layers cannot be told apart without it."""
+    return F.coalesce(F.shiftright(cell_id, 19).bitwiseAND(511), F.raise_error(F.lit("cell_id is missing")).cast("long"))
 
 
 def bin_of(value: Column, width) -> Column:
@@ -40,6 +40,11 @@ def bin_of(value: Column, width) -> Column:
     return F.floor(value / width + F.lit(0.5)).cast("long")
 
 
+def settled(value: Column) -> Column:
+    """The nearest multiple of 1e-9, so that equal points compare equal however their sums were ordered."""
+    return F.floor(value * 1e9 + 0.5) / 1e9
+
+
 def wrapped(angle: Column) -> Column:
     """The angle in [-pi, pi)."""
     return F.pmod(angle + F.lit(pi), F.lit(2 * pi)) - F.lit(pi)

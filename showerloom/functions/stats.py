@@ -12,9 +12,9 @@ from .geometry import Vec, cross, dot, norm, scaled
 
 
 def weighted_mean(value, weight) -> Column:
-    """sum(w v) / sum(w); the plain mean where the weights sum to 0 or less."""
+    """sum(w v) / sum(w); the plain mean where the weights sum to 0 or less; equal values are their own mean exactly."""
     v, w = (F.col(c) if isinstance(c, str) else c for c in (value, weight))
-    return F.when(F.sum(w) > 0, F.try_divide(F.sum(w * v), F.sum(w))).otherwise(F.avg(v))
+    return F.when(F.min(v) == F.max(v), F.min(v)).when(F.sum(w) > 0, F.try_divide(F.sum(w * v), F.sum(w))).otherwise(F.avg(v))
 
 
 def circular_mean(angle: str, weight: str) -> Column:
@@ -24,11 +24,10 @@ def circular_mean(angle: str, weight: str) -> Column:
 
 
 def fd_width(value: str) -> Column:
-    """Freedman-Diaconis width 2 IQR n^(-1/3), with the population deviation for IQR <= 0; null: none."""
+    """Freedman-Diaconis width 2 s n^(-1/3), s: IQR or, where that is 0, the population deviation; null without spread."""
     iqr = F.percentile(value, 0.75) - F.percentile(value, 0.25)
-    spread = F.when(iqr > 0, iqr * 2).otherwise(F.stddev_pop(value))
-    width = spread * F.pow(F.count(value).cast("double"), F.lit(-1.0 / 3))
-    return F.when((F.count(value) > 1) & (spread > 0), F.when(iqr > 0, width).otherwise(spread))
+    spread = F.when(iqr > 0, iqr).otherwise(F.stddev_pop(value))
+    return F.when((F.count(value) > 1) & (spread > 0), spread * 2 * F.pow(F.count(value).cast("double"), F.lit(-1.0 / 3)))
 
 
 def clamped(width: Column, low: float, high: float) -> Column:

@@ -45,7 +45,8 @@ def nearest_higher(rows: DataFrame, dc: float, outlier_factor: float | None = No
     pairs = range_self_join(ranked, LAYER_KEYS, ["fx", "fy"], radius, ["step_id", "rank"], strict=True)
     order = F.row_number().over(W.partitionBy(*LAYER_KEYS, "step_id").orderBy("d2", "other_step_id"))
     near = pairs.where("rank > 0").withColumn("k", order)
-    near = near if exact else near.where(F.col("k") <= F.least(F.col("rank") + 1, F.lit(K_CAP)))
+    if not exact:  # the constant bound lets the window stop early
+        near = near.where(F.col("k") <= K_CAP).where(F.col("k") <= F.col("rank") + 1)
     first = near.where("other_rank < rank").groupBy(*LAYER_KEYS, "step_id").agg(F.min_by(F.struct("other_step_id", "d2"), "k").alias("h"))
     out = ranked.join(first, [*LAYER_KEYS, "step_id"], "left").withColumn("found", F.sqrt("h.d2"))
     fill = F.coalesce(F.max("found").over(W.partitionBy(*LAYER_KEYS)), F.lit(radius))

@@ -19,6 +19,11 @@ def ecal_only(steps: DataFrame) -> DataFrame:
     return steps.where("subdetector = 0")
 
 
+def grid_scan(steps: DataFrame, n: int) -> DataFrame:
+    """Barrel rows of the n smallest event ids of all subdetectors: events are counted before the cut."""
+    return ecal_only(first_n_events(steps, n))
+
+
 def min_group(df: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Rows of groups with at least `least` rows."""
     name = "_group_rows"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cross, dot, minus, norm, scaled, wrapped
+from ..functions.geometry import cross, dot, minus, norm, scaled, settled, wrapped
 from ..functions.stats import circular_mean, covariance, histogram_bin, staged, weighted_mean, weighted_quantiles, with_axis, with_basis
 from .graph import cut_lineage
 
@@ -53,7 +53,7 @@ def fixed_axis(before: DataFrame, direction: tuple[float, float, float]) -> Data
 
 
 def cylindrical(rows: DataFrame, frame: DataFrame) -> DataFrame:
-    """rows with long, r, phi about each event's axis."""
+    """rows with long, r, phi about each event's axis, settled: cuts and bins are held against values of the rows themselves."""
     vec = lambda p: tuple(F.col(f"{p}{k}") for k in "xyz")
     axis = vec("a")
     ref = minus((F.lit(1.0), F.lit(0.0), F.lit(0.0)), scaled(axis, axis[0]))
@@ -67,7 +67,8 @@ def cylindrical(rows: DataFrame, frame: DataFrame) -> DataFrame:
     across = tuple(F.col("_u") * F.col(f"b1{k}") + F.col("_v") * F.col(f"b2{k}") for k in "xyz")
     out = staged(out, {f"_t{k}": c for k, c in zip("xyz", across, strict=True)})
     phi = F.atan2(dot(cross(vec("f"), vec("_t")), axis), dot(vec("_t"), vec("f")))
-    return out.select(*rows.columns, "long", F.sqrt(F.col("_u") * F.col("_u") + F.col("_v") * F.col("_v")).alias("r"), phi.alias("phi"))
+    r = F.sqrt(F.col("_u") * F.col("_u") + F.col("_v") * F.col("_v"))
+    return out.select(*rows.columns, *(settled(c).alias(n) for n, c in (("long", F.col("long")), ("r", r), ("phi", phi))))
 
 
 def phi_centres(rows: DataFrame) -> DataFrame:
@@ -76,12 +77,12 @@ def phi_centres(rows: DataFrame) -> DataFrame:
 
 def centred(rows: DataFrame) -> DataFrame:
     """rows with phi about BEFORE's circular mean."""
-    return rows.join(cut_lineage(phi_centres(rows)), "event_id").withColumn("phi", wrapped(F.col("phi") - F.col("centre"))).drop("centre")
+    return rows.join(cut_lineage(phi_centres(rows)), "event_id").withColumn("phi", settled(wrapped(F.col("phi") - F.col("centre")))).drop("centre")
 
 
 def cut_bounds(rows: DataFrame, low: float = Q_LOW, high: float = Q_HIGH) -> DataFrame:
     """(event_id, long_lo, long_hi, ..): BEFORE's quantiles."""
-    agg = [F.percentile(c, q).alias(f"{c}_{n}") for c in COORDS for n, q in (("lo", low), ("hi", high))]
+    agg = [settled(F.percentile(c, q)).alias(f"{c}_{n}") for c in COORDS for n, q in (("lo", low), ("hi", high))]
     return rows.where(F.col("side") == BEFORE).groupBy("event_id").agg(*agg)
 
 
@@ -100,13 +101,15 @@ def anchored(kept: DataFrame) -> DataFrame:
 
 
 def prepared(before: DataFrame, after: DataFrame, direction: tuple[float, float, float] | None = None, low: float = Q_LOW, high: float = Q_HIGH, anchor: str = "before_min", n_events: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all rows with kept, kept rows anchored)."""
+    """(all rows with kept, kept rows anchored), both written once: every figure of the comparison reads one of them."""
+    if not 0 <= low < high <= 1:
+        raise ValueError("quantiles must satisfy 0 <= low < high <= 1")
     rows = both_sides(before, after, n_events)
     source = rows.where(F.col("side") == BEFORE)
     frame = refined_axis(source) if direction is None else fixed_axis(source, direction)
-    rows = flagged(centred(cylindrical(rows, cut_lineage(frame))), low, high)
+    rows = cut_lineage(flagged(centred(cylindrical(rows, cut_lineage(frame))), low, high))
     kept = rows.where("kept").drop("kept")
-    return rows, anchored(kept) if anchor == "before_min" else kept
+    return rows, cut_lineage(anchored(kept)) if anchor == "before_min" else kept
 
 
 def energy_closure(rows: DataFrame) -> DataFrame:
@@ -127,6 +130,22 @@ def edges(kept: DataFrame) -> DataFrame:
     return kept.groupBy("event_id").agg(*(F.coalesce(one(f, c), F.lit(d)).alias(f"{c}_{n}") for c in ("long", "r") for n, f, d in (("a", F.min, 0.0), ("b", F.max, 1.0))))
 
 
+def limits(low, high) -> tuple:
+    """Bin limits as ``histogram_bin`` takes them: equal ones are widened by one half."""
+    return F.when(low == high, low - 0.5).otherwise(low), F.when(low == high, high + 0.5).otherwise(high)
+
+
+def profile_edges(kept: DataFrame) -> DataFrame:
+    """(event_id, observable, bin, lo, hi): the limits of every bin of ``histograms``."""
+    def all_bins(name, low, high, n):
+        lo, hi = limits(low, high)
+        at = lambda k: lo + (hi - lo) * k / n
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.lit(name).alias("observable"), k.cast("long").alias("bin"), at(k).alias("lo"), at(k + 1).alias("hi")))
+
+    every = (("long", F.col("long_a"), F.col("long_b"), LONG_BINS), ("r", F.col("r_a"), F.col("r_b"), R_BINS), ("log_energy", F.lit(LOGE_LOW), F.lit(LOGE_HIGH), LOGE_BINS))
+    return edges(kept).select("event_id", F.explode(F.concat(*(all_bins(*x) for x in every))).alias("e")).select("event_id", "e.*")
+
+
 def histograms(kept: DataFrame) -> DataFrame:
     """(event_id, side, observable, bin, value): occupied bins of long, r (energy) and log_energy (counts)."""
     rows = kept.join(edges(kept), "event_id")
@@ -145,13 +164,13 @@ def average_profiles(kept: DataFrame, n_events: DataFrame | None = None) -> Data
     long and r are divided by the event's in-range longitudinal energy (else by their own sum, else
     1), log_energy by the number of kept objects.  Events are those with kept rows on any side.
     """
-    h = histograms(kept)
+    h = cut_lineage(histograms(kept))
     own = h.groupBy(*KEYS, "observable").agg(F.sum("value").alias("own"))
     in_range = own.where("observable = 'long'").select(*KEYS, F.col("own").alias("in_range"))
-    objects = kept.groupBy(*KEYS).agg(F.count("*").alias("objects"))
+    objects = cut_lineage(kept.groupBy(*KEYS).agg(F.count("*").alias("objects")))
     scale = F.when(F.col("observable") == "log_energy", F.col("objects").cast("double")).when(F.col("in_range") > 0, F.col("in_range")).when(F.col("own") > 0, F.col("own")).otherwise(1.0)
     shares = h.join(own, [*KEYS, "observable"]).join(objects, KEYS).join(in_range, KEYS, "left").select("side", "observable", "bin", (F.col("value") / scale).alias("share"))
-    events = n_events if n_events is not None else kept.agg(F.countDistinct("event_id").alias("events"))
+    events = n_events if n_events is not None else objects.agg(F.countDistinct("event_id").alias("events"))
     spark = kept.sparkSession
     bins = [(s, o, b) for s in (BEFORE, AFTER) for o, n in (("long", LONG_BINS), ("r", R_BINS), ("log_energy", LOGE_BINS)) for b in range(n)]
     dense = F.broadcast(spark.createDataFrame(bins, "side string, observable string, bin long"))  # 260 rows
@@ -183,9 +202,11 @@ def moment_histograms(moment_rows: DataFrame) -> DataFrame:
 
 def containment(kept: DataFrame) -> DataFrame:
     """(event_id, side, r50, r80, r90, w10, w50, w90): energy quantiles of r and long."""
-    r = weighted_quantiles(kept, KEYS, "r", "energy", {"r50": 0.5, "r80": 0.8, "r90": 0.9})
-    w = weighted_quantiles(kept, KEYS, "long", "energy", {"w10": 0.1, "w50": 0.5, "w90": 0.9})
-    return r.join(w, KEYS)
+    both = F.explode(F.array(*(F.struct(F.lit(c).alias("observable"), F.col(c).alias("v")) for c in ("r", "long")))).alias("o")
+    rows = kept.select(*KEYS, "step_id", "energy", both).select(*KEYS, "step_id", "energy", "o.*")
+    q = weighted_quantiles(rows, [*KEYS, "observable"], "v", "energy", {f"q{k}": k / 100 for k in (10, 50, 80, 90)})
+    of = lambda name, c: F.max(F.when(F.col("observable") == name, F.col(c)))
+    return q.groupBy(*KEYS).agg(*(of("r", f"q{k}").alias(f"r{k}") for k in (50, 80, 90)), *(of("long", f"q{k}").alias(f"w{k}") for k in (10, 50, 90)))
 
 
 def containment_delta(quantiles: DataFrame) -> DataFrame:
@@ -200,3 +221,19 @@ def mean_rms(values: DataFrame, col: str, keys: list[str] | None = None) -> Data
     """(keys, n, mean, rms): mean and sample deviation of finite values."""
     v = F.when(~F.isnan(col) & (F.abs(F.col(col)) < float("inf")), F.col(col))
     return values.groupBy(*(keys or [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("rms"))
+
+
+def report(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """(quantity, n, mean, rms) of closure and f_keep over events, and medians over events of containment and their shift.
+
+    rows, kept: what ``prepared`` gives.  quantity: closure, f_keep_before, f_keep_after, then r50 .. w90
+    with before, after and delta (null for the others).
+    """
+    part = lambda df, c: mean_rms(df, c).select("n", "mean", "rms")
+    none = [F.lit(None).cast("double").alias(c) for c in (BEFORE, AFTER, "delta")]
+    shares = cut_lineage(kept_fraction(rows))
+    out = part(energy_closure(rows), "closure").select(F.lit("closure").alias("quantity"), "*", *none)
+    for side in (BEFORE, AFTER):
+        out = out.unionByName(part(shares.where(F.col("side") == side), "f_keep").select(F.lit(f"f_keep_{side}").alias("quantity"), "*", *none))
+    shift = containment_delta(containment(kept))
+    return out.unionByName(shift.select(F.col("observable").alias("quantity"), F.lit(None).cast("long").alias("n"), *(F.lit(None).cast("double").alias(c) for c in ("mean", "rms")), BEFORE, AFTER, "delta"))

@@ -25,6 +25,15 @@ def view_ranges(points: DataFrame, low: float = 0.02, high: float = 0.98) -> Dat
     return both.withColumn("dtick", step).withColumn("tick0", F.floor(F.col("lo") / F.col("dtick")) * F.col("dtick"))
 
 
+def view_config(points: DataFrame, event_id: int, subdetector: int | None = None, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """(axis, title, lo, hi, tickmode, tick0, dtick, figure): what a 3-d picture of one event needs beside its points."""
+    if not 0 <= low < high <= 1:
+        raise ValueError("quantiles must satisfy 0 <= low < high <= 1")
+    figure = f"Shower 3D \u2014 Event {event_id}" + ("" if subdetector is None else f" (subdet {subdetector})")
+    ranges = view_ranges(points, low, high)
+    return ranges.select("axis", F.concat("axis", F.lit(" [mm]")).alias("title"), "lo", "hi", F.lit("linear").alias("tickmode"), "tick0", "dtick", F.lit(figure).alias("figure"))
+
+
 def tick(span: Column, target: int = 6) -> Column:
     """The smallest of 1, 2, 5, 10 times a power of ten that is at least span / target; 1 for no span."""
     raw = span / target

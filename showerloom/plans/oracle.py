@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from ..sources.steps import STEPS_SQL
 
 K = "event_id, subdetector, layer"
 
 
 def _mean(c: str, w: str = "energy") -> str:
-    return f"CASE WHEN sum({w}) > 0 THEN sum({w} * {c}) / sum({w}) ELSE avg({c}) END"
+    return f"CASE WHEN min({c}) = max({c}) THEN min({c}) WHEN sum({w}) > 0 THEN sum({w} * {c}) / sum({w}) ELSE avg({c}) END"
+
+
+def _settled(v: str) -> str:
+    return f"floor(({v}) * CAST(1e9 AS DOUBLE) + 0.5) / CAST(1e9 AS DOUBLE)"
 
 
 def _axis(source: str) -> str:
@@ -78,7 +84,7 @@ def _dbscan(name: str, rows: str, keys: str, eps: str) -> dict[str, str]:
     }
 
 
-def _clue(name: str, dc: float, factor: float | None, rhoc: float) -> dict[str, str]:
+def _clue(name: str, dc: float, factor: float | None, rhoc: float, cap: str = "k <= least(rank + 1, 128) AND ") -> dict[str, str]:
     radius = (factor or 5.0) * dc / 5.0
     d2 = "(a.fx - b.fx) * (a.fx - b.fx) + (a.fy - b.fy) * (a.fy - b.fy)"
     same = "a.event_id = b.event_id AND a.subdetector = b.subdetector AND a.layer = b.layer"
@@ -87,7 +93,7 @@ def _clue(name: str, dc: float, factor: float | None, rhoc: float) -> dict[str,
         f"{name}_rho": f"SELECT a.event_id, a.subdetector, a.layer, a.step_id, a.fx, a.fy, (count(*) - 1) * CAST(0.5 AS DOUBLE) + 1 AS rho FROM cfeat a JOIN cfeat b ON {same} WHERE {d2} <= CAST({dc / 5.0} AS DOUBLE) * CAST({dc / 5.0} AS DOUBLE) GROUP BY ALL",
         f"{name}_rank": f"SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY rho DESC, step_id) - 1 AS rank FROM {name}_rho",
         f"{name}_near": f"SELECT a.event_id, a.subdetector, a.layer, a.step_id, a.rank, b.step_id AS other, b.rank AS other_rank, {d2} AS d2, row_number() OVER (PARTITION BY a.event_id, a.subdetector, a.layer, a.step_id ORDER BY {d2}, b.step_id) AS k FROM {name}_rank a JOIN {name}_rank b ON {same} WHERE a.rank > 0 AND {d2} < CAST({radius} AS DOUBLE) * CAST({radius} AS DOUBLE)",
-        f"{name}_first": f"SELECT {K}, step_id, arg_min(other, k) AS nh, sqrt(arg_min(d2, k)) AS found FROM {name}_near WHERE k <= least(rank + 1, 128) AND other_rank < rank GROUP BY ALL",
+        f"{name}_first": f"SELECT {K}, step_id, arg_min(other, k) AS nh, sqrt(arg_min(d2, k)) AS found FROM {name}_near WHERE {cap}other_rank < rank GROUP BY ALL",
         f"{name}_peak": f"SELECT r.event_id, r.subdetector, r.layer, r.step_id, rho, rank, coalesce(found, max(found) OVER (PARTITION BY r.event_id, r.subdetector, r.layer), {radius}) AS delta, nh FROM {name}_rank r LEFT JOIN {name}_first f ON r.event_id = f.event_id AND r.step_id = f.step_id",
         f"{name}_raw": f"SELECT *, CASE WHEN rho >= {rhoc} AND delta >= {dc / 5.0} THEN 'seed' {out} ELSE 'follower' END AS raw FROM {name}_peak",
         f"{name}_kind": f"SELECT *, CASE WHEN raw <> 'outlier' AND sum(CASE WHEN raw = 'seed' THEN 1 ELSE 0 END) OVER (PARTITION BY {K}) = 0 AND row_number() OVER (PARTITION BY {K} ORDER BY CASE WHEN raw = 'outlier' THEN 1 ELSE 0 END, rho * delta DESC, step_id) = 1 THEN 'seed' ELSE raw END AS kind FROM {name}_raw",
@@ -149,12 +155,14 @@ CTES: dict[str, str] = {
     "cl_label": _labelled("cl_found"),
     "cl_cloud": _cloud("cl_label"),
     **_clue("co", 5.0, 2.0, 3.0),
+    **_clue("cx", 15.3, None, 5.0, ""),
+    "cx_label": _labelled("cx_found"),
     "bars": "SELECT event_id, quantile_cont(energy, 0.7) AS bar, count(*) AS n FROM ecal GROUP BY event_id",
     "hot": "SELECT e.* FROM ecal e JOIN bars b ON e.event_id = b.event_id WHERE n < 5 OR energy >= bar",
     "frame": _axis("hot"),
     "proj": _project("ecal", "(SELECT event_id, cx, cy, cz, ax, ay, az FROM frame)"),
-    "width": """SELECT event_id, raw_width, coalesce(least(greatest(raw_width, CAST(2 AS DOUBLE)), CAST(10 AS DOUBLE)), CAST(2 AS DOUBLE)) AS w_width FROM (SELECT event_id, CASE WHEN n > 1 AND CASE WHEN iqr > 0 THEN iqr * 2 ELSE sd END > 0 THEN CASE WHEN iqr > 0 THEN iqr * 2 * pow(CAST(n AS DOUBLE), CAST(-1 AS DOUBLE) / 3) ELSE sd END END AS raw_width
- FROM (SELECT event_id, count(*) AS n, quantile_cont(w, 0.75) - quantile_cont(w, 0.25) AS iqr, stddev_pop(w) AS sd FROM proj GROUP BY event_id))""",
+    "width": """SELECT event_id, raw_width, coalesce(least(greatest(raw_width, CAST(2 AS DOUBLE)), CAST(10 AS DOUBLE)), CAST(2 AS DOUBLE)) AS w_width FROM (SELECT event_id, CASE WHEN n > 1 AND s > 0 THEN s * 2 * pow(CAST(n AS DOUBLE), CAST(-1 AS DOUBLE) / 3) END AS raw_width
+ FROM (SELECT event_id, count(*) AS n, CASE WHEN quantile_cont(w, 0.75) > quantile_cont(w, 0.25) THEN quantile_cont(w, 0.75) - quantile_cont(w, 0.25) ELSE stddev_pop(w) END AS s FROM proj GROUP BY event_id))""",
     "celled": "SELECT p.*, w_width, CAST(floor(w / w_width + 0.5) AS BIGINT) AS w_layer, CAST(floor(u / 3 + 0.5) AS BIGINT) AS i, CAST(floor(v / 3 + 0.5) AS BIGINT) AS j FROM proj p JOIN width USING (event_id)",
     "cells": "SELECT event_id, w_layer, i, j, sum(energy) AS energy, count(*) AS hits FROM celled GROUP BY ALL",
     "none_celled": "SELECT *, i AS gi, j AS gj FROM celled",
@@ -170,10 +178,10 @@ CTES: dict[str, str] = {
     "refined": f"SELECT f.event_id, {', '.join(f'CASE WHEN s.n >= 2 THEN s.{p}{k} ELSE f.{p}{k} END AS {p}{k}' for p in 'ca' for k in 'xyz')} FROM first_axis f LEFT JOIN second_axis s ON f.event_id = s.event_id",
     "cyl0": _project("sides", "refined"),
     "cyl1": "SELECT *, w AS long, sqrt(u * u + v * v) AS r, u * e1x + v * e2x AS tx, u * e1y + v * e2y AS ty, u * e1z + v * e2z AS tz, (1 - ax * ax) / rn AS fx, (0 - ay * ax) / rn AS fy, (0 - az * ax) / rn AS fz FROM (SELECT *, CASE WHEN rn0 > 1e-9 THEN rn0 ELSE 1 END AS rn FROM (SELECT *, sqrt((1 - ax * ax) * (1 - ax * ax) + ay * ax * ay * ax + az * ax * az * ax) AS rn0 FROM cyl0))",
-    "cyl": "SELECT side, event_id, step_id, energy, long, r, atan2((fy * tz - fz * ty) * ax + (fz * tx - fx * tz) * ay + (fx * ty - fy * tx) * az, tx * fx + ty * fy + tz * fz) AS phi FROM cyl1",
+    "cyl": f"SELECT side, event_id, step_id, energy, {_settled('long')} AS long, {_settled('r')} AS r, {_settled('atan2((fy * tz - fz * ty) * ax + (fz * tx - fx * tz) * ay + (fx * ty - fy * tx) * az, tx * fx + ty * fy + tz * fz)')} AS phi FROM cyl1",
     "phi0": "SELECT event_id, CASE WHEN sum(energy) > 0 THEN atan2(sum(energy * sin(phi)), sum(energy * cos(phi))) ELSE 0 END AS centre FROM cyl WHERE side = 'before' GROUP BY event_id",
-    "cent": "SELECT c.* EXCLUDE (phi), a - floor(a / (2 * pi())) * (2 * pi()) - pi() AS phi FROM (SELECT c.*, phi - centre + pi() AS a FROM cyl c JOIN phi0 p ON c.event_id = p.event_id) c",
-    "bounds": f"SELECT event_id, {', '.join(f'quantile_cont({c}, {q}) AS {c}_{n}' for c in ('long', 'r', 'phi') for n, q in (('lo', 0.01), ('hi', 0.99)))} FROM cent WHERE side = 'before' GROUP BY event_id",
+    "cent": f"SELECT c.* EXCLUDE (phi), {_settled('a - floor(a / (2 * pi())) * (2 * pi()) - pi()')} AS phi FROM (SELECT c.*, phi - centre + pi() AS a FROM cyl c JOIN phi0 p ON c.event_id = p.event_id) c",
+    "bounds": f"SELECT event_id, {', '.join(f"{_settled(f'quantile_cont({c}, {q})')} AS {c}_{n}" for c in ('long', 'r', 'phi') for n, q in (('lo', 0.01), ('hi', 0.99)))} FROM cent WHERE side = 'before' GROUP BY event_id",
     "flagged": f"SELECT c.side, c.event_id, step_id, energy, long, r, phi, {' AND '.join(f'{c} >= {c}_lo AND {c} <= {c}_hi' for c in ('long', 'r', 'phi'))} AS kept FROM cent c JOIN bounds b ON c.event_id = b.event_id",
     "kept": "SELECT side, event_id, step_id, energy, r, phi, long - coalesce(min(CASE WHEN side = 'before' THEN long END) OVER (PARTITION BY event_id), 0) AS long FROM flagged WHERE kept",
     "lims": f"SELECT event_id, {', '.join(f'''coalesce({f}(CASE WHEN side = 'before' THEN {c} END), {d}) AS {c}_{n}''' for c in ('long', 'r') for n, f, d in (('a', 'min', 0), ('b', 'max', 1)))} FROM kept GROUP BY event_id",
@@ -199,10 +207,24 @@ CTES: dict[str, str] = {
 }
 
 
+def _compared(prefix: str, label: str) -> None:
+    """The validation's relations once more, with a cluster cloud of the barrel as the other side."""
+    chain = ["sides", "cyl0", "cyl1", "cyl", "phi0", "cent", "bounds", "flagged", "kept", "cont_r", "cont_w", "cont", "contl", "closure"]
+    cloud = f"(SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY layer, label) AS step_id, x, y, z, energy FROM ({_cloud(f'(SELECT * FROM {label} WHERE subdetector = 0)')}))"
+    sides = f"SELECT 'before' AS side, event_id, step_id, x, y, z, energy FROM ecal WHERE event_id IN (SELECT event_id FROM {cloud}) UNION ALL SELECT 'after', event_id, CAST(step_id AS BIGINT), x, y, z, energy FROM {cloud}"
+    for name in chain:
+        sql = sides if name == "sides" else CTES[name]
+        for other in chain:
+            sql = re.sub(rf"\b(FROM|JOIN)\s+{other}\b", rf"\1 {prefix}_{other}", sql)
+        CTES[f"{prefix}_{name}"] = sql
+
+
+_compared("vd", "db_label")
+_compared("vc", "cl_label")
+
+
 def with_ctes(final: str) -> str:
     """final behind the expressions that it needs, in order."""
-    import re
-
     needed: list[str] = []
 
     def need(sql: str, own: str = "") -> None:

@@ -20,7 +20,7 @@ from ..operators import validate as va
 from ..operators import view as vw
 from ..operators.graph import cut_lineage
 from ..sources.steps import run_params, steps_view, subdetector_names
-from .oracle import with_ctes
+from .oracle import _wq, with_ctes
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -111,6 +111,11 @@ def ecal_filter(spark, d):
     return ecal(spark, d).select("event_id", "step_id", "subdetector")
 
 
+@query("SELECT event_id, step_id FROM ecal WHERE event_id IN (SELECT DISTINCT event_id FROM steps ORDER BY event_id LIMIT 7)")
+def grid_scan(spark, d):
+    return se.grid_scan(steps_view(spark, d), 7).select("event_id", "step_id")
+
+
 @query("SELECT event_id, step_id, layer FROM feat")
 def min_group_filter(spark, d):
     rows = steps_view(spark, d).withColumn("layer", layer_of(F.col("cell_id")))
@@ -260,6 +265,9 @@ for _n, _f, _c, _t in (("dbscan", db.dbscan, "db", True), ("dbscan_adaptive", db
     _layer_cloud(f"{_n}_cloud", f"{_c}_cloud", _f, _t)
 
 
+_labels("clue_exact", "cx_label", lambda steps: cl.clue(steps, exact=True))
+
+
 @query(f"SELECT {LAYER}, {r('rq')} FROM rq")
 def layer_rq(spark, d):
     return rounded(db.layer_radius(db.features(steps_view(spark, d)))[1], se.LAYER_KEYS, ["rq"])
@@ -315,6 +323,19 @@ def reanchor(spark, d):
     return rounded(kept(spark, d), ["side", "event_id", "step_id"], ["long", "r", "phi"])
 
 
+@query(f"SELECT side, event_id, step_id, {r('long', 'r', 'phi')} FROM flagged WHERE kept")
+def reanchor_none(spark, d):
+    return rounded(va.prepared(ecal(spark, d), after(spark, d), anchor="none")[1], ["side", "event_id", "step_id"], ["long", "r", "phi"])
+
+
+@query(f"""SELECT event_id, observable, bin, {r('lo', 'hi')} FROM (SELECT event_id, observable, bin, a + (b - a) * bin / n AS lo, a + (b - a) * (bin + 1) / n AS hi FROM (
+ SELECT event_id, observable, n, unnest(range(n)) AS bin, CASE WHEN a = b THEN a - 0.5 ELSE a END AS a, CASE WHEN a = b THEN b + 0.5 ELSE b END AS b FROM (
+ SELECT event_id, 'long' AS observable, {va.LONG_BINS} AS n, long_a AS a, long_b AS b FROM lims UNION ALL SELECT event_id, 'r', {va.R_BINS}, r_a, r_b FROM lims
+ UNION ALL SELECT event_id, 'log_energy', {va.LOGE_BINS}, CAST(-8 AS DOUBLE), CAST(2 AS DOUBLE) FROM lims)))""")
+def profile_edges(spark, d):
+    return rounded(va.profile_edges(kept(spark, d)), ["event_id", "observable", "bin"], ["lo", "hi"])
+
+
 def _profile(name, observable):
     def run(spark, d):
         return rounded(va.histograms(kept(spark, d)).where(F.col("observable") == observable), ["event_id", "side", "bin"], ["value"])
@@ -357,7 +378,7 @@ def containment_delta(spark, d):
     return rounded(va.containment_delta(va.containment(kept(spark, d))), ["observable"], ["before", "after", "delta"])
 
 
-@query(f"SELECT event_id, {r('q10', 'q50', 'q90')} FROM (" + __import__("showerloom.plans.oracle", fromlist=["_wq"])._wq("ecal", "event_id", "z", {"q10": 0.1, "q50": 0.5, "q90": 0.9}) + ")")
+@query(f"SELECT event_id, {r('q10', 'q50', 'q90')} FROM (" + _wq("ecal", "event_id", "z", {"q10": 0.1, "q50": 0.5, "q90": 0.9}) + ")")
 def weighted_quantile(spark, d):
     return rounded(weighted_quantiles(ecal(spark, d), ["event_id"], "z", "energy", {"q10": 0.1, "q50": 0.5, "q90": 0.9}), ["event_id"], ["q10", "q50", "q90"])
 
@@ -394,6 +415,28 @@ def cluster_counts(spark, d):
     return db.dbscan(steps_view(spark, d)).groupBy("event_id").agg(F.countDistinct(F.when(F.col("label") != -1, F.struct("layer", "label"))).alias("n_clusters"))
 
 
+def _validated(name, prefix, f):
+    """The report of a comparison with a cluster cloud of the barrel."""
+    def run(spark, d):
+        rows = ecal(spark, d)
+        cloud = rd.point_cloud(f(rows), se.LAYER_KEYS, ["label"], False)
+        cloud = cut_lineage(cloud.withColumn("step_id", F.row_number().over(W.partitionBy("event_id").orderBy("layer", "label")).cast("long")))
+        out = va.report(*va.prepared(rows, cloud))
+        return rounded(out, ["quantity", "n"], ["mean", "rms", "before", "after", "delta"])
+
+    run.__name__ = name
+    half = lambda c: rs(c, 4)
+    stats = lambda q, c, src: f"SELECT '{q}' AS quantity, count({c}) AS n, {half(f'avg({c})')} AS mean, {half(f'stddev_samp({c})')} AS rms, CAST(NULL AS DOUBLE) AS \"before\", CAST(NULL AS DOUBLE) AS \"after\", CAST(NULL AS DOUBLE) AS delta FROM {src}"
+    shares = f"(SELECT event_id, side, CASE WHEN sum(energy) > 0 THEN coalesce(sum(CASE WHEN kept THEN energy END), 0) / sum(energy) END AS f FROM {prefix}_flagged GROUP BY ALL)"
+    return query(f"""{stats('closure', 'closure', f'{prefix}_closure')} UNION ALL {' UNION ALL '.join(stats(f'f_keep_{s}', 'f', f"(SELECT f FROM {shares} WHERE side = '{s}')") for s in ('before', 'after'))}
+ UNION ALL SELECT observable, NULL, NULL, NULL, {half('b')}, {half('a')}, {half('a - b')} FROM (
+ SELECT observable, median(CASE WHEN side = 'before' THEN v END) AS b, median(CASE WHEN side = 'after' THEN v END) AS a FROM {prefix}_contl GROUP BY observable)""")(run)
+
+
+_validated("validate_dbscan", "vd", db.dbscan)
+_validated("validate_clue", "vc", cl.clue)
+
+
 # viewer
 
 def _viewed(spark, d):
@@ -407,6 +450,14 @@ def view_ranges(spark, d):
     return rounded(vw.view_ranges(_viewed(spark, d).withColumn("step_id", F.col("step_id") + apart)), ["axis"], ["lo", "hi", "dtick", "tick0"])
 
 
+@query(f"SELECT axis, axis || ' [mm]' AS title, {r('lo', 'hi')}, 'linear' AS tickmode, {r('tick0', 'dtick')}, 'Shower 3D \u2014 Event ' || (SELECT min(event_id) FROM viewed) AS figure FROM view")
+def view_config(spark, d):
+    rows = _viewed(spark, d)
+    apart = F.when(F.col("side") == "after", 1000000000).otherwise(0)
+    points = rows.withColumn("step_id", F.col("step_id") + apart)
+    return rounded(vw.view_config(points, rows.agg(F.min("event_id")).first()[0]), ["axis", "title", "tickmode", "figure"], ["lo", "hi", "tick0", "dtick"])
+
+
 @query(f"""SELECT v.event_id, v.side, step_id, {r(*XYZ)}, floor((log10(greatest(energy, 1e-9))) * CAST(10000 AS DOUBLE) + 0.5) / CAST(10000 AS DOUBLE) AS log_e,
  floor(((2 + 7 * sqrt(least(greatest(energy / CASE WHEN cap > 0 THEN cap ELSE 1 END, 0), 1))) * CASE WHEN v.side = 'after' THEN CAST(12 AS DOUBLE) / 9 ELSE 1 END) * CAST(10000 AS DOUBLE) + 0.5) / CAST(10000 AS DOUBLE) AS size
  FROM viewed v JOIN (SELECT side, coalesce(quantile_cont(energy, 0.95) FILTER (energy > 0), 1) AS cap FROM viewed GROUP BY side) c ON v.side = c.side""")

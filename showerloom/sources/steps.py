@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +14,7 @@ SCHEMA = T.StructType([
     T.StructField("subdetector", T.IntegerType()), T.StructField("cell_id", T.LongType()), T.StructField("pdg", T.IntegerType()),
 ])
 #: what a missing optional column counts as
-DEFAULTS = {"time": None, "pdg": 0, "subdetector": 0, "cell_id": 0}
+DEFAULTS = {"time": None, "pdg": 0, "subdetector": 0, "cell_id": None}
 
 #: SQL over a `lineitem` relation, the same in Spark and DuckDB but for quoting of "time"
 STEPS_SQL = """
@@ -31,25 +32,30 @@ def steps_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(STEPS_SQL.format(time="`time`").replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)
 
 
-def ensure_columns(df: DataFrame) -> DataFrame:
-    """df in the steps schema: columns cast, optional ones filled, position arrays split."""
+def ensure_columns(df: DataFrame, need: tuple[str, ...] = ()) -> DataFrame:
+    """df in the steps schema: columns cast, optional ones filled, position arrays split.
+
+    need: optional columns that this use cannot do without (cell_id for layers).  Rows without step_id
+    are numbered within their event in the order of their values, which doesn't depend on file splits.
+    """
     if "position" in df.columns:
         df = df.select("*", *(F.col("position")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
-    if missing := [f.name for f in SCHEMA if f.name not in df.columns and f.name not in DEFAULTS and f.name != "step_id"]:
+    if missing := [f.name for f in SCHEMA if f.name not in df.columns and (f.name in need or f.name not in DEFAULTS and f.name != "step_id")]:
         raise ValueError(f"columns missing: {missing}")
     if "step_id" not in df.columns:
-        df = df.withColumn("step_id", F.monotonically_increasing_id())
+        order = [c for c in ("cell_id", "subdetector", "time", "energy", "x", "y", "z", "pdg") if c in df.columns]
+        df = df.withColumn("step_id", F.row_number().over(W.partitionBy("event_id").orderBy(*order)))
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(DEFAULTS[f.name])).cast(f.dataType).alias(f.name) for f in SCHEMA))
 
 
-def read_steps(spark: SparkSession, path: str) -> DataFrame:
+def read_steps(spark: SparkSession, path: str, need: tuple[str, ...] = ()) -> DataFrame:
     """Parquet steps; .h5 files through the Python data source (needs h5py)."""
     if path.endswith((".h5", ".hdf5")):
         from .hdf5 import Hdf5Steps
 
         spark.dataSource.register(Hdf5Steps)
-        return ensure_columns(spark.read.format("hdf5_steps").load(path))
-    return ensure_columns(spark.read.parquet(path))
+        return ensure_columns(spark.read.format("hdf5_steps").load(path), need)
+    return ensure_columns(spark.read.parquet(path), need)
 
 
 def subdetector_names(spark: SparkSession, names: dict[int, str] | None = None) -> DataFrame:
