@@ -6,15 +6,17 @@
 2. Candidates: per round, pairs of a class with a pivot of its bucket, only across components found
    so far.  Round one pairs each class with one pivot, round two with the pivots of all its buckets,
    each drawn by hash.  What still shares a bucket across components is compared exhaustively, but in
-   blocks (``exhaust``) that hand on links alone, so connectivity over all banded candidates is exact
-   while no step makes more rows than there are bucket entries.
+   blocks (``exhaust``) that hand on links alone, so connectivity over all banded candidates is exact.
+   Classes that hang together by such buckets are one family of blocks while at most ``BLOCK``; larger
+   families, which chains of buckets may spread over a corpus, are compared bucket by bucket.
 3. Verification compares the signatures in batches of 30 rows.  With a uniform prior, m agreements
    in n rows leave P(J >= t | m, n) = P(Binomial(n + 1, t) <= m); a pair goes as soon as that is
-   below ``miss``.  Survivors are decided on their full shingle sets.
+   below ``miss``.  Only survivors meet their full shingle sets, which decide.
 4. Links become components by contraction (see ``common.components``).
 
 Edge cases: null or blank text has an empty set and links with nothing (its component is itself);
-with fewer words than a shingle the whole sequence is one shingle; repeated rows are one class; a
+with fewer words than a shingle the whole sequence is one shingle; repeated rows are one class; very
+long texts are hashed whole, and their sets travel whole; a
 null key is smallest among nothing: min() skips it unless the whole component is null; an empty
 table gives no rows; other columns are ignored.
 """
@@ -107,8 +109,11 @@ def sketch(docs: DataFrame, key: str, width: int) -> DataFrame:
     return rows.mapInPandas(run, f"key {kind}, n_shingles long, text_hash long, cls binary, bands array<long>")
 
 
-def payload(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cls, sig, items of the wanted (cls, text_hash) classes."""
+def payload(docs: DataFrame, key: str, wanted: DataFrame, width: int) -> DataFrame:
+    """cls, sig, items of the wanted classes (cls, key, text_hash of one document of each).
+
+    Documents are dealt by key and text, so that copies of one text are spread over the tasks.
+    """
 
     def run(batches):
         cache = HashCache()
@@ -123,7 +128,8 @@ def payload(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         cache.clear()
         give_back()
 
-    found = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash")
+    rows = docs.select("text", F.col(key).alias("k"), F.xxhash64("text").alias("h"))
+    found = rows.join(wanted, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("text_hash")))
     return found.select("text", "cls").mapInPandas(run, "cls binary, sig binary, items binary").dropDuplicates(["cls"])
 
 
@@ -138,7 +144,7 @@ def verify(pairs: DataFrame, held: DataFrame, percent: int, miss: float) -> Data
     """The pairs (a, b) with 100 * intersection >= percent * union."""
     least = least_agreements(percent / 100, miss)
 
-    def run(batches):
+    def likely(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -148,14 +154,19 @@ def verify(pairs: DataFrame, held: DataFrame, percent: int, miss: float) -> Data
                 at = slice(i * BATCH, (i + 1) * BATCH)
                 agree[live] += (x[live, at] == y[live, at]).sum(1)
                 live = live[agree[live] >= m]
-            good = []
-            for i in live:
-                if alike(*(np.frombuffer(pdf[c].iat[i], np.uint64) for c in ("items_a", "items_b")), percent):
-                    good.append(i)
-            yield pdf.iloc[good][["a", "b"]]
+            yield pdf.iloc[live][["a", "b"]]
+
+    def sure(batches):
+        for pdf in batches:
+            good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(pdf.items_a, pdf.items_b, strict=True)]
+            yield pdf.loc[good, ["a", "b"]]
+
+    def sides(pairs, what):
+        side = lambda c: held.select(F.col("cls").alias(c), F.col(what).alias(f"{what}_{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
 
-    side = lambda c: held.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("items").alias(f"items_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a binary, b binary")
+    kept = sides(pairs, "sig").mapInPandas(likely, "a binary, b binary")
+    return sides(kept, "items").mapInPandas(sure, "a binary, b binary")
 
 
 def ordered(x: str, y: str):
@@ -167,18 +178,21 @@ def exhaust(placed: DataFrame, held: DataFrame, percent: int, miss: float) -> Da
 
     placed: bucket, cls, pivot, at (component), main (the bucket's commonest component), for buckets
     with several components.  In such a pair one side is not of the main component; these few are
-    compared with their family (what hangs together by buckets) in blocks of BLOCK x BLOCK classes.
+    compared with their group (a small family, or a bucket of a large one) in blocks of BLOCK x BLOCK
+    classes, pairs of a large family only in the first bucket that they share.
     """
     least = least_agreements(percent / 100, miss)
     family = components(placed.select("pivot", "cls"), "pivot", "cls").withColumnsRenamed({"id": "cls", "component_id": "family"})
-    rows = placed.groupBy("cls").agg(F.first("at").alias("at"), F.max(F.col("at") != F.col("main")).alias("few")).join(family, "cls")
-    sizes = rows.groupBy("family").agg(F.ceil(F.count_if("few") / BLOCK).cast("int").alias("nf"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nm"))
-    rows = rows.join(sizes, "family").join(held, "cls")
+    large = family.groupBy("family").agg((F.count("*") > BLOCK).alias("large"))
+    rows = placed.join(family, "cls").join(large, "family").withColumn("only", F.when(F.col("large"), F.col("bucket")))
+    rows = rows.groupBy("family", "only", "cls").agg(F.first("at").alias("at"), F.max(F.col("at") != F.col("main")).alias("few"))
+    sizes = rows.groupBy("family", "only").agg(F.ceil(F.count_if("few") / BLOCK).cast("int").alias("nf"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nm")).where("nf > 0")
+    rows = rows.join(sizes.withColumnsRenamed({"family": "f", "only": "o"}), F.expr("family = f AND only <=> o")).drop("f", "o").join(held, "cls")
     own = lambda n: F.expr(f"CAST(pmod(xxhash64(cls), {n}) AS INT)")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["family", "fb", "mb", "cls", "at", "few", "sig", "items"]
+    cols = ["family", "only", "fb", "mb", "cls", "at", "few", "sig", "items"]
     few = rows.where("few").withColumn("fb", own("nf")).withColumn("mb", every("nm")).select(cols).toDF(*cols)
-    all_ = rows.where("nf > 0").withColumn("mb", own("nm")).withColumn("fb", every("nf")).select(cols).toDF(*cols)
+    all_ = rows.withColumn("mb", own("nm")).withColumn("fb", every("nf")).select(cols).toDF(*cols)
 
     def run(f: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -187,12 +201,14 @@ def exhaust(placed: DataFrame, held: DataFrame, percent: int, miss: float) -> Da
             fk, mk = (np.array([band_keys(s) for s in x]) for x in (fs, ms))
             names, comp = m.cls.map(bytes).to_numpy(object), m["at"].map(bytes)
             comp_no, comp = pd.factorize(comp)
+            only = None if pd.isna(f["only"].iat[0]) else int(f["only"].iat[0])
             small, sizes_ = m.few.to_numpy(bool), m["items"].map(len).to_numpy() // 8
             for i in range(len(f)):
                 name, at, n = bytes(f.cls.iat[i]), bytes(f["at"].iat[i]), len(f["items"].iat[i]) // 8
                 other = comp_no != (list(comp).index(at) if at in comp else -1)
                 other &= 100 * np.minimum(sizes_, n) >= percent * np.maximum(sizes_, n)
-                other[other] = (mk[other] == fk[i]).any(1)
+                shared = mk[other] == fk[i]
+                other[other] = shared.any(1) if only is None else shared.any(1) & (fk[i][shared.argmax(1)] == only)
                 live = np.flatnonzero(other)
                 live = live[[not small[j] or name < names[j] for j in live]] if len(live) else live
                 agree = np.zeros(len(m), int)
@@ -210,25 +226,26 @@ def exhaust(placed: DataFrame, held: DataFrame, percent: int, miss: float) -> Da
                         b.append(max(name, names[j]))
         return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
-    keys = ["family", "fb", "mb"]
+    keys = ["family", "only", "fb", "mb"]
     return few.groupBy(*keys).cogroup(all_.groupBy(*keys)).applyInPandas(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
     """One row per document: key, n_shingles, component (the smallest key reachable by links)."""
     sketches = cut(sketch(docs, key, width))
-    classes = cut(sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least_key"), F.min("text_hash").alias("text_hash"), F.any_value("bands").alias("bands")))
+    classes = cut(sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("least_key"), F.min(F.struct("key", "text_hash")).alias("one"), F.any_value("bands").alias("bands")))
     postings = classes.select("cls", F.explode("bands").alias("bucket"))
     drawn = F.min_by("cls", F.xxhash64("cls", "bucket"))
     shared = postings.groupBy("bucket").agg(F.count("*").alias("n"), drawn.alias("pivot")).where("n > 1").drop("n")
     buckets = cut(postings.join(shared, "bucket"))
-    held = cut(payload(docs, classes.select("cls", "text_hash").join(buckets.select("cls").distinct(), "cls", "left_semi"), width))
+    held = cut(payload(docs, key, classes.select("cls", "one.key", "one.text_hash").join(buckets.select("cls").distinct(), "cls", "left_semi"), width))
 
     def mixed(links: DataFrame) -> DataFrame:
         """Entries of the buckets that hold several components."""
         groups = components(links).withColumnsRenamed({"id": "cls", "component_id": "at"})
         placed = buckets.join(groups, "cls", "left").withColumn("at", F.coalesce("at", "cls"))
-        several = placed.groupBy("bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.mode("at").alias("main")).where("lo <> hi").select("bucket", "main")
+        counts = placed.groupBy("bucket", "at").agg(F.count("*").alias("n"))
+        several = counts.groupBy("bucket").agg(F.count("*").alias("k"), F.max_by("at", F.struct("n", "at")).alias("main")).where("k > 1").select("bucket", "main")
         return cut(placed.join(several, "bucket"))
 
     tried = cut(buckets.groupBy("cls").agg(F.min("pivot").alias("pivot")).where("pivot <> cls").select(*ordered("pivot", "cls")).distinct())
