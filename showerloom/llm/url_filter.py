@@ -12,7 +12,7 @@ that is the fixed point of the variant in which dead ends jump to the seeds.  Ro
 what all further ones could add to any host is below a tenth of ``MARGIN``.  A host is blocked
 where distrust exceeds trust by more than ``MARGIN``.
 
-Only aggregates per (host, host) and per host are shuffled; no table is broadcast by hint and the
+Only aggregates per (host, host) and per host are shuffled; the one broadcast holds two sums, and the
 join of pages with verdicts can be split by AQE where one host has most pages.
 
 Edge cases: a null url or one without ``://`` has empty host and path, fits no rule and, unless
@@ -26,7 +26,6 @@ from __future__ import annotations
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower, cut, table
@@ -61,6 +60,11 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select(F.col("host").alias("src"), ascii_lower(F.col("dst")).alias("dst")).where("src <> dst AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+def shares(rows: DataFrame, value: str) -> DataFrame:
+    """rows with total, the sum of value over their kind; the kinds are two verdicts, so two sums are broadcast."""
+    return rows.join(F.broadcast(rows.groupBy("kind").agg(F.sum(value).alias("total"))), "kind")
+
+
 def host_ranks(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
     """(kind, host, rank) from edges (src, dst, n) and seeds (kind, host, n): forward for allow, reversed for block.
 
@@ -68,8 +72,9 @@ def host_ranks(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS)
     by DAMPING ** CUT_EVERY at least, which bounds all that follows.
     """
     both = edges.select(F.lit(ALLOW).alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit(BLOCK).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    both = cut(both.select("kind", "src", "dst", (F.col("n") / F.sum("n").over(W.partitionBy("kind", "src"))).alias("p")))
-    start = cut(seeds.select("kind", "host", ((1 - DAMPING) * F.col("n") / F.sum("n").over(W.partitionBy("kind"))).alias("rank")))
+    out = both.groupBy("kind", "src").agg(F.sum("n").alias("out"))
+    both = cut(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("p")))
+    start = cut(shares(seeds, "n").select("kind", "host", ((1 - DAMPING) * F.col("n") / F.col("total")).alias("rank")))
     rank, total, fall = start, {}, DAMPING**CUT_EVERY
     for i in count() if rounds is None else range(rounds):
         flow = both.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(DAMPING) * F.col("p") * F.col("rank")).alias("rank"))
@@ -91,7 +96,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int | None = None) -> DataFrame
     ruled = rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
     seeds = ruled.where("ruled IS NOT NULL").groupBy(F.col("ruled").alias("kind"), "host").agg(F.count("*").alias("n"))
     ranks = host_ranks(links(rows), seeds, rounds)
-    ranks = ranks.withColumn("rank", F.col("rank") / F.sum("rank").over(W.partitionBy("kind")))
+    ranks = shares(ranks, "rank").withColumn("rank", F.col("rank") / F.col("total"))
     lean = F.sum(F.when(F.col("kind") == BLOCK, F.col("rank")).otherwise(-F.col("rank")))
     hosts = ranks.groupBy("host").agg(lean.alias("lean")).where(F.col("lean") > MARGIN).select("host", F.lit(BLOCK).alias("found"))
     return ruled.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "found", F.lit(ALLOW)).alias("verdict"))
