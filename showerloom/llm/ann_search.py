@@ -5,16 +5,20 @@ as often as its angle to the query allows.  Rows are split into norm ranges (pow
 those of the longer ranges of at most ``BLOCK`` rows, whose products are large at any angle, are compared
 with every query.  Each of ``TABLES`` tables rotates the
 (zero-padded) vectors by three rounds of random signs and a fast Hadamard transform and takes the
-nearest signed axis as bucket.  A query probes its ``PROBES`` nearest axes per table.  Tables over
-``WIDE`` rows use two axes per bucket and more probes.
+nearest signed axis as bucket, or the nearest axes of two such rotations.  A query probes its nearest
+buckets of each table.
+
+How many axes and probes is measured at every size of table: the true neighbours of ``TRIALS`` queries drawn
+by hash are found among all rows (one scan), and of ``SETTINGS`` the one is taken that asks for the fewest
+comparisons while its tables meet a share ``AIM`` of these neighbours (the one that meets most, if none does).
+The trials' neighbours choose the setting only and are no results.
 
 Rows and queries meet by equi-join on (table, bucket); buckets are dealt into blocks of at most about
 ``BLOCK`` rows and queries, so a hot bucket is many small groups.  A group reranks its candidates
-exactly in float64 and hands on 20 per query.  Each query also meets a sample of at most ``SAMPLE``
-rows (broadcast) and first its own bucket of each table; its 20th best product so far bounds the true
-one from below, so the groups of all other probes hand on nothing beneath it.  Queries of whose 20 best
-the tables met fewer than 20, the rest being known from the sample alone, are compared with all rows, in
-blocks.  Only the sample, one norm and the sizes of the longer norm ranges reach the driver.
+exactly in float64 and hands on k per query.  Each query first meets its own bucket of each table; its
+k-th best product there bounds the true one from below, so the groups of all other probes hand on nothing
+beneath it.  Queries that met fewer than k rows are compared with all rows, in blocks.
+Only the trials, a sample of ``ROWS`` vectors, one norm and the sizes of the longer norm ranges reach the driver.
 
 Edge cases: unusable vectors (see ``vectors.usable``) and rows without an id take no part; rows with
 the same id are rows of their own, and only the query's own row is no candidate of it; ties go to
@@ -32,9 +36,12 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .vectors import matrix, top_rows, usable
 
-TABLES, PROBES, WIDE_PROBES = 14, 18, 600
-SAMPLE = 2048
-WIDE = 4_000_000
+TABLES = 14
+#: (axes of a bucket, probes of a table)
+SETTINGS = tuple((1, p) for p in (2, 4, 6, 8, 10, 12, 15, 18, 24, 32, 48, 64)) + tuple((2, p) for p in (16, 32, 64, 128, 256, 512, 1024))
+AIM, TRIALS, ROWS = 0.97, 64, 2048
+#: comparisons that cost as much as sending a query to one more bucket
+SENDING = 30
 BLOCK = 4096
 SEED = 11
 
@@ -80,16 +87,14 @@ def buckets(unit: np.ndarray, t: int, functions: int, probes: int) -> np.ndarray
     return key
 
 
-def hashed(rows: DataFrame, functions: int, probes: int, tables: int, sample=None, k: int = 0) -> DataFrame:
-    """rows (_rid, id, v, tau), once per table and probed bucket, with t, probe (0: nearest), bucket; tau raised by the sample."""
+def hashed(rows: DataFrame, functions: int, probes: int, tables: int) -> DataFrame:
+    """rows (_rid, id, v, tau), once per table and probed bucket, with t, probe (0: nearest), bucket."""
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                x = matrix(pdf.v)
-                tau = pdf.tau if sample is None else np.maximum(pdf.tau, bounds(x, sample.value[1], k))
-                unit = directions(x)
-                yield pdf.assign(tau=tau, keys=list(np.hstack([buckets(unit, t, functions, probes) for t in range(tables)])))
+                unit = directions(matrix(pdf.v))
+                yield pdf.assign(keys=list(np.hstack([buckets(unit, t, functions, probes) for t in range(tables)])))
 
     per = rows.mapInPandas(run, "_rid long, id long, v array<double>, tau double, keys array<long>")
     per = per.select("_rid", "id", "v", "tau", "keys", F.posexplode("keys").alias("p", "bucket"))
@@ -97,29 +102,44 @@ def hashed(rows: DataFrame, functions: int, probes: int, tables: int, sample=Non
     return per.select("_rid", "id", "v", "tau", F.floor(F.col("p") / each).cast("int").alias("t"), (F.col("p") % each).alias("probe"), "bucket")
 
 
-def bounds(x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
-    """A lower bound of each query's k-th best product; one better row of the sample may be the query's own."""
-    if len(sample) <= k:
-        return np.full(len(x), -np.inf)
-    out = np.empty(len(x))
-    for at in range(0, len(x), 512):
-        s = x[at : at + 512] @ sample.T
-        out[at : at + 512] = np.partition(s, len(sample) - k - 1, axis=1)[:, len(sample) - k - 1] - 1e-9 * np.abs(s).max()
-    return out
-
-
-def from_sample(queries: DataFrame, sample, k: int) -> DataFrame:
-    """The k best rows of the sample for each query."""
+def neighbours(data: DataFrame, some: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(q, score, v): the k best rows of all for each of the few queries (_rid, v), numbered by q."""
+    held = data.sparkSession.sparkContext.broadcast((some._rid.to_numpy(), matrix(some.v)))
 
     def run(batches):
-        rid, x, vec = sample.value
+        own, y = held.value
+        best_ = None
         for pdf in batches:
-            for q_rid, q_id, y in zip(pdf._rid, pdf.id, matrix(pdf.v), strict=True):
-                rows = np.flatnonzero(rid != q_rid)
-                best_, exact = top_rows(x[rows] @ y, x[rows], y, vec[rows], k)
-                yield pd.DataFrame({"q_rid": q_rid, "query_id": q_id, "rid": rid[rows[best_]], "vec_id": vec[rows[best_]], "score": exact})
-
-    return queries.select("_rid", "id", "v").mapInPandas(run, FOUND)
+            if len(pdf):
+                x = matrix(pdf.v)
+                score = np.where(own[:, None] == pdf._rid.to_numpy(), -np.inf, y @ x.T)
+                top = np.argsort(-score, 1, kind="stable")[:, :k]
+                part = pd.DataFrame({"q": np.repeat(np.arange(len(y)), top.shape[1]), "score": np.take_along_axis(score, top, 1).ravel(), "v": list(x[top.ravel()])})
+                best_ = pd.concat([best_, part[part.score > -np.inf]]).sort_values("score", ascending=False, kind="stable").groupby("q").head(k)
+        if best_ is not None:
+            yield best_
+
+    found = data.select("_rid", "v").mapInPandas(run, "q int, score double, v array<double>")
+    return found.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score")))).where(F.col("k") <= k).drop("k").toPandas()
+
+
+def choose(y: np.ndarray, q: np.ndarray, x: np.ndarray, rows: np.ndarray, n: int, tables: int, functions: int | None = None) -> tuple[int, int]:
+    """(functions, probes) of SETTINGS for n rows: x are neighbours that the queries y[q] must meet, rows a sample; all directions."""
+    options = []
+    for f in (functions,) if functions else (1, 2):
+        some = [p for g, p in SETTINGS if g == f]
+        met, visits = np.full(len(q), max(some)), np.zeros(max(some))
+        for t in range(tables):
+            asked = buckets(y, t, f, max(some))
+            hit = asked[q] == buckets(x, t, f, 1)
+            met = np.minimum(met, np.where(hit.any(1), hit.argmax(1), max(some)))
+            keys, count = np.unique(buckets(rows, t, f, 1), return_counts=True)
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            visits[: asked.shape[1]] += np.where(keys[at] == asked, count[at], 0).mean(0) / len(rows)
+        for p in some:
+            share, cost = (met < p).mean(), n * visits[:p].sum() + SENDING * tables * p
+            options.append((0, cost, f, p) if share >= AIM else (1, -share, f, p))
+    return min(options)[2:]
 
 
 FOUND = "q_rid long, query_id long, rid long, vec_id long, score double"
@@ -157,40 +177,58 @@ def rerank(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def best(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id", "rid")
-    once = found.groupBy("q_rid", "rid").agg(*(F.max(c).alias(c) for c in ("query_id", "vec_id", "score", "met")))
+    once = found.groupBy("q_rid", "rid").agg(*(F.max(c).alias(c) for c in ("query_id", "vec_id", "score")))
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, tables: int = TABLES, functions: int | None = None, probes: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score for every row where is_query holds, against all rows."""
+def rows_of(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, v, q, _rid) of the usable vectors, behind a checkpoint."""
     rows = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL"), "v")
-    rows = cut(rows.withColumn("_rid", F.monotonically_increasing_id()))
+    return cut(rows.withColumn("_rid", F.monotonically_increasing_id()))
+
+
+#: one bucket for all
+WHOLE = ("-1 AS t", "0L AS bucket")
+
+
+def met_by_tables(rows: DataFrame, k: int, tables: int = TABLES, functions: int | None = None, probes: int | None = None) -> DataFrame:
+    """(q_rid, query_id, rid, vec_id, score, rank): what the tables meet, k per query at most."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     n, middle = rows.agg(F.count("*"), F.percentile_approx(norm, 0.5)).first()
     span = F.floor(F.log2(norm / F.lit(middle)) + 0.5)
     long_ = [r["span"] for r in rows.where(norm > F.lit(middle)).groupBy(span.alias("span")).count().where(f"span > 0 AND count <= {BLOCK}").collect()]
-    functions = functions or (1 if n <= WIDE else 2)
-    probes = probes or (PROBES if functions == 1 else WIDE_PROBES)
     nothing = F.lit(-float("inf")).alias("tau")
     data, queries = rows.select("_rid", "id", "v", nothing), rows.where("q").select("_rid", "id", "v", nothing)
-    some = data.orderBy(F.xxhash64("_rid")).limit(SAMPLE).toPandas()
-    sample = vectors.sparkSession.sparkContext.broadcast((some._rid.to_numpy(), matrix(some.v), some.id.to_numpy()))
+    if functions is None or probes is None:
+        some = queries.orderBy(F.xxhash64("_rid")).limit(TRIALS).toPandas()
+        hashed_only = data.where(F.coalesce(~span.isin(long_), F.lit(True)))
+        near = neighbours(hashed_only, some, k)
+        sample = matrix(hashed_only.orderBy(F.xxhash64("_rid", F.lit(1))).select("v").limit(ROWS).toPandas().v)
+        least = SETTINGS[0][1] if functions is None else min(p for f, p in SETTINGS if f == functions)
+        functions, probes = choose(directions(matrix(some.v)), near.q.to_numpy(), directions(matrix(near.v)), directions(sample), n, tables, functions) if len(near) else (functions or 1, least)
     index = hashed(data.where(F.coalesce(~span.isin(long_), F.lit(True))), functions, 1, tables)
-    met = lambda x: x.withColumn("met", F.lit(True))
-    whole = [F.lit(-1).alias("t"), F.lit(0).cast("long").alias("bucket")]
-    nearest = met(rerank(index, hashed(queries, functions, 1, tables, sample, k), k))
+    nearest = rerank(index, hashed(queries, functions, 1, tables), k)
     if long_:
-        nearest = nearest.unionByName(met(rerank(data.where(span.isin(long_)).select("*", *whole), queries.select("*", *whole), k)))
-    first = cut(best(nearest.unionByName(from_sample(queries, sample, k).withColumn("met", F.lit(False))), k))
+        nearest = nearest.unionByName(rerank(data.where(span.isin(long_)).selectExpr("*", *WHOLE), queries.selectExpr("*", *WHOLE), k))
+    first = cut(best(nearest, k))
     so_far = first.where(F.col("rank") == k).select(F.col("q_rid").alias("_rid"), (F.col("score") - 1e-9 * F.abs("score")).alias("tau"))
     bounded = queries.drop("tau").join(so_far, "_rid", "left").select("_rid", "id", "v", F.coalesce("tau", nothing).alias("tau"))
-    further = met(rerank(index, hashed(bounded, functions, probes, tables, sample, k).where("probe > 0"), k))
-    found = cut(best(further.unionByName(first.drop("rank")), k))
-    # queries whose best the tables did not meet are compared with all rows, in blocks
-    short = queries.join(found.where("met").groupBy(F.col("q_rid").alias("_rid")).count().where(F.col("count") >= min(k, n - 1)), "_rid", "left_anti")
-    if n > 1 and not short.isEmpty():
-        more = met(rerank(data.select("*", *whole), short.select("*", *whole), k))
-        found = best(found.drop("rank").unionByName(more), k)
+    further = rerank(index, hashed(bounded, functions, probes, tables).where("probe > 0"), k)
+    return cut(best(further.unionByName(first.drop("rank")), k))
+
+
+def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, tables: int = TABLES, functions: int | None = None, probes: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score for every row where is_query holds, against all rows."""
+    rows = rows_of(vectors, is_query, id_col, vec_col)
+    n = rows.count()
+    if n < 2 or rows.where("q").isEmpty():
+        return rows.where("false").selectExpr("id AS query_id", "1 AS rank", "id AS vec_id", "0D AS score")
+    found = met_by_tables(rows, k, tables, functions, probes)
+    # queries that met too few are compared with all rows, in blocks
+    data, queries = (x.select("_rid", "id", "v", F.lit(-float("inf")).alias("tau")) for x in (rows, rows.where("q")))
+    short = queries.join(found.groupBy(F.col("q_rid").alias("_rid")).count().where(F.col("count") >= min(k, n - 1)), "_rid", "left_anti")
+    if not short.isEmpty():
+        found = best(found.drop("rank").unionByName(rerank(data.selectExpr("*", *WHOLE), short.selectExpr("*", *WHOLE), k)), k)
     return found.select("query_id", "rank", "vec_id", "score")
 
 

@@ -146,20 +146,70 @@ def vectors(spark, x, extra=()):
 UNUSABLE = [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (903, [None] + [1.0] * 7), (904, [1.0, 2.0]), (905, [float("inf")] + [0.0] * 7), (None, [1.0] * 8)]
 
 
-@pytest.mark.parametrize("functions", [1, 2])
-def test_search_against_brute_force(spark, functions):
+@pytest.mark.parametrize(("functions", "probes"), [(None, None), (1, 9), (2, None)])
+def test_search_against_brute_force(spark, functions, probes):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(260, 8)) * rng.uniform(0.5, 3, (260, 1))
     x[100:130] = x[100]
-    got = ann_search.search(vectors(spark, x, UNUSABLE), F.col("vec_id") % 20 == 0, functions=functions).collect()
+    extra = [*UNUSABLE, (20, x[20].tolist())]  # a repeated id
+    got = ann_search.search(vectors(spark, x, extra), (F.col("vec_id") % 20 == 0) & (F.col("vec_id") != 20), functions=functions, probes=probes).collect()
+    ids, all_ = [*range(260), 20], np.vstack([x, x[20]])
     hit = total = 0
-    for q in range(0, 260, 20):
-        s = np.einsum("ij,j->i", x, x[q])
-        order = [i for i in np.lexsort((np.arange(260), -s)) if i != q][:20]
+    for q in (i for i in range(0, 260, 20) if i != 20):
+        s = np.einsum("ij,j->i", all_, x[q])
+        order = [i for i in np.lexsort((ids, -s)) if i != q][:20]
         mine = [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
-        assert len(mine) == 20 and all(math.isclose(s[v], w, rel_tol=1e-12) for v, w in mine)
-        hit, total = hit + len({v for v, _ in mine} & set(order)), total + 20
-    assert hit / total >= 0.9 and {r.query_id for r in got} == set(range(0, 260, 20))
+        assert len(mine) == 20 and all(math.isclose(s[v], w, rel_tol=1e-12) for v, w in mine) and mine == sorted(mine, key=lambda m: (-m[1], m[0]))
+        want = Counter(ids[i] for i in order)
+        hit, total = hit + sum((want & Counter(v for v, _ in mine)).values()), total + 20
+    assert hit / total >= 0.9 and {r.query_id for r in got} == {i for i in range(0, 260, 20) if i != 20}
+
+
+def recall(spark, x, every, **settings):
+    """(recall, share of queries with k found) of what the tables alone meet."""
+    rows = ann_search.rows_of(vectors(spark, x), F.col("vec_id") % every == 0)
+    found = {}
+    for r in ann_search.met_by_tables(rows, 20, **settings).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), every):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(found.get(q, [])))
+    return hit / (20 * len(range(0, len(x), every))), np.mean([len(v) == 20 for v in found.values()])
+
+
+@pytest.mark.parametrize(("n", "settings"), [(2000, {}), (10_000, {}), (2000, {"functions": 2})])
+def test_recall_of_the_tables_alone(spark, n, settings):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    got, full = recall(spark, x / np.linalg.norm(x, axis=1)[:, None], 100, **settings)
+    assert got >= 0.9 and full == 1
+
+
+def test_recall_comes_from_the_buckets(spark):
+    """One table with one probe meets its bucket alone: what is found is what is hashed there."""
+    x = np.random.default_rng(5).normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    few, _ = recall(spark, x, 100, tables=1, functions=1, probes=1)
+    unit = ann_search.directions(x)
+    own = ann_search.buckets(unit, 0, 1, 1)[:, 0]
+    want = 0
+    for q in range(0, 3000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want += (own[np.argsort(-s)[:20]] == own[q]).sum()
+    assert math.isclose(few, want / 600, abs_tol=1e-9) and few < 0.5
+
+
+def test_settings_follow_the_neighbours():
+    rng = np.random.default_rng(9)
+    y, rows = rng.normal(size=(64, 64)), rng.normal(size=(2000, 64))
+    near, far = (np.repeat(y, 20, 0) + w * rng.normal(size=(1280, 64)) for w in (0.3, 2.0))
+    q, unit = np.repeat(np.arange(64), 20), ann_search.directions
+    small = ann_search.choose(unit(y), q, unit(near), unit(rows), 10_000, 14)
+    assert small == ann_search.choose(unit(y), q, unit(near), unit(rows), 10_000, 14) and small[0] == 1
+    assert ann_search.choose(unit(y), q, unit(far), unit(rows), 10_000, 14)[1] > small[1]
+    assert ann_search.choose(unit(y), q, unit(near), unit(rows), 10**9, 14)[0] == 2  # many rows: finer buckets pay
 
 
 def test_search_of_few(spark):
@@ -170,25 +220,19 @@ def test_search_of_few(spark):
 
 
 @pytest.mark.parametrize("norms", ["one long", "lognormal", "even"])
-def test_search_without_help_of_the_sample(spark, monkeypatch, norms):
-    monkeypatch.setattr(ann_search, "SAMPLE", 30)
+def test_search_of_uneven_norms(spark, norms):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
     x *= {"one long": np.where(np.arange(3000) == 7, 1000, 1), "lognormal": rng.lognormal(0, 1, 3000), "even": np.ones(3000)}[norms][:, None]
-    got = Counter()
-    for r in ann_search.search(vectors(spark, x), F.col("vec_id") % 100 == 0, probes=2, tables=4).collect():
-        s = x @ x[r.query_id]
-        s[r.query_id] = -np.inf
-        got[r.query_id] += r.score >= np.sort(s)[-20] - 1e-12
-    assert len(got) == 30 and sum(got.values()) >= 0.5 * 600 and (norms == "even" or sum(got.values()) >= 0.8 * 600), got
+    got, full = recall(spark, x, 100)
+    assert got >= 0.9 and full == 1
 
 
-def test_search_of_queries_that_meet_nothing(spark, monkeypatch):
-    monkeypatch.setattr(ann_search, "SAMPLE", 30)
+def test_search_of_queries_that_meet_nothing(spark):
     x = np.random.default_rng(7).normal(size=(2000, 16)) * 0.05 + 1
     x[0] = -np.random.default_rng(8).normal(size=16) ** 2 - 1
-    got = [r.vec_id for r in ann_search.search(vectors(spark, x), F.col("vec_id") == 0, probes=1, tables=2).orderBy("rank").collect()]
+    got = [r.vec_id for r in ann_search.search(vectors(spark, x), F.col("vec_id") == 0, functions=1, probes=1, tables=2).orderBy("rank").collect()]
     s = np.einsum("ij,j->i", x, x[0])
     assert got == [i for i in np.lexsort((np.arange(2000), -s)) if i][:20]
 
@@ -270,6 +314,27 @@ def test_minhash_against_brute_force(spark, monkeypatch, block):
     assert minhash_dedup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_minhash_of_large_families(spark, monkeypatch):
+    """Chains of buckets longer than a block, compared bucket by bucket; copies of one text under many keys."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 5)
+    rng = random.Random(11)
+    texts, w = [], [f"t{i}" for i in range(60)]
+    for _ in range(90):
+        for _ in range(rng.randrange(2, 9)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [texts[3]] * 8 + [texts[40].upper()] * 3
+    sizes, root = brute(texts, 1)
+    got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs(spark, texts), width=1).collect()}
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes and [got[i].component for i in range(len(texts))] == root
+
+
+def test_minhash_of_keys_that_are_null_or_repeated(spark):
+    rows = [(None, "a b c d"), (None, "A b c d"), (5, "a b c d"), (5, "x y z w"), (7, "x y z w"), (None, "q r s t"), (None, "q r s t ")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.component) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect() if r.component is not None)
+    assert got == [(False, 5, 5), (False, 5, 5), (False, 7, 5), (True, 0, 5), (True, 0, 5)]
+
+
 def test_pruning_bound():
     least = minhash_dedup.least_agreements(0.8, 1e-5)
     assert least == sorted(least) and all(m < 0.8 * (i + 1) * minhash_dedup.BATCH for i, m in enumerate(least))
