@@ -39,6 +39,8 @@ K = BANDS * ROWS
 BATCH = 30
 #: classes on either side of a block of comparisons
 BLOCK = 512
+#: keys over which the rows of a large family are spread
+SALTS = 64
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 32, K, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32)
@@ -183,8 +185,10 @@ def exhaust(placed: DataFrame, held: DataFrame, percent: int, miss: float) -> Da
     """
     least = least_agreements(percent / 100, miss)
     family = components(placed.select("pivot", "cls"), "pivot", "cls").withColumnsRenamed({"id": "cls", "component_id": "family"})
-    large = family.groupBy("family").agg((F.count("*") > BLOCK).alias("large"))
-    rows = placed.join(family, "cls").join(large, "family").withColumn("only", F.when(F.col("large"), F.col("bucket")))
+    # at most one class in BLOCK leads a large family; its rows meet that on one of SALTS keys
+    large = family.groupBy("family").count().where(F.col("count") > BLOCK).select("family", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("large"))
+    rows = placed.join(family, "cls").withColumn("salt", F.expr(f"CAST(pmod(xxhash64(cls, bucket), {SALTS}) AS INT)")).join(large, ["family", "salt"], "left")
+    rows = rows.withColumn("only", F.when(F.col("large"), F.col("bucket")))
     rows = rows.groupBy("family", "only", "cls").agg(F.first("at").alias("at"), F.max(F.col("at") != F.col("main")).alias("few"))
     sizes = rows.groupBy("family", "only").agg(F.ceil(F.count_if("few") / BLOCK).cast("int").alias("nf"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nm")).where("nf > 0")
     rows = rows.join(sizes.withColumnsRenamed({"family": "f", "only": "o"}), F.expr("family = f AND only <=> o")).drop("f", "o").join(held, "cls")
