@@ -55,7 +55,9 @@ def with_axis(cov: DataFrame) -> DataFrame:
     """cov with ax, ay, az: the eigenvector of the largest eigenvalue, a . (1, 1, 1) >= 0.
 
     Closed form for symmetric 3 x 3 matrices: the eigenvalue by the cosine rule, the vector as the
-    longest cross product of two rows of S - l I.  One row, isotropic or null spectra give z.
+    longest cross product of two rows of S - l I.  Where the two largest eigenvalues are equal these
+    products vanish; the axis is then a direction across the longest row, among the two.  One row,
+    isotropic or null spectra give z.
     """
     s = {k: F.col(f"s{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
     out = staged(cov, {"_q": (s["xx"] + s["yy"] + s["zz"]) / 3})
@@ -73,6 +75,15 @@ def with_axis(cov: DataFrame) -> DataFrame:
     out = staged(out, {f"_n{i}": dot(v, v) for i in range(3) for v in [tuple(F.col(f"_v{i}{k}") for k in "xyz")]})
     v = {k: F.when((F.col("_n0") >= F.col("_n1")) & (F.col("_n0") >= F.col("_n2")), F.col(f"_v0{k}")).when(F.col("_n1") >= F.col("_n2"), F.col(f"_v1{k}")).otherwise(F.col(f"_v2{k}")) for k in "xyz"}
     out = staged(out, {f"_w{k}": v[k] for k in "xyz"} | {"_n": F.sqrt(F.greatest("_n0", "_n1", "_n2"))})
+    sizes = [dot(row, row) for row in rows]
+    row = {k: F.when((sizes[0] >= sizes[1]) & (sizes[0] >= sizes[2]), rows[0][j]).when(sizes[1] >= sizes[2], rows[1][j]).otherwise(rows[2][j]) for j, k in enumerate("xyz")}
+    out = staged(out, {f"_r{k}": row[k] for k in "xyz"})
+    x, y, z = (F.col(f"_r{k}") for k in "xyz")
+    near_x, near_y = (F.abs(x) <= F.abs(y)) & (F.abs(x) <= F.abs(z)), F.abs(y) <= F.abs(z)
+    pick = lambda a, b, c: F.when(near_x, a).when(near_y, b).otherwise(c)
+    out = staged(out, {"_ex": pick(F.lit(0.0), -z, y), "_ey": pick(z, F.lit(0.0), -x), "_ez": pick(-y, x, F.lit(0.0)), "_equal": F.col("_n") <= F.col("_p") * F.col("_p") * 1e-7})
+    size = F.sqrt(F.col("_ex") * F.col("_ex") + F.col("_ey") * F.col("_ey") + F.col("_ez") * F.col("_ez"))
+    out = out.withColumns({f"_w{k}": F.when(F.col("_equal"), F.col(f"_e{k}")).otherwise(F.col(f"_w{k}")) for k in "xyz"} | {"_n": F.when(F.col("_equal"), size).otherwise(F.col("_n"))})
     good = (F.col("n") >= 2) & (F.col("_p") > 0) & (F.col("_n") > 0)
     sign = F.when(F.col("_wx") + F.col("_wy") + F.col("_wz") < 0, -1.0).otherwise(1.0)
     out = staged(out, {f"a{k}": F.when(good, F.try_divide(F.col(f"_w{k}"), F.col("_n")) * sign).otherwise(1.0 if k == "z" else 0.0) for k in "xyz"})
