@@ -573,6 +573,72 @@ def test_pipeline_stages(spark, small):
     assert out.where("n_pieces <> size(ids)").count() == 0
 
 
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """300 documents and more: good and bad ones, exact and near copies, nulls, empty texts, a long one, repeated rows, odd columns."""
+    rng = random.Random(12)
+    words = ["house", "is", "a", "tree", "of", "water", "the", "river", "stone", "bird", "wind", "road"]
+    good = ["\n".join("The " + " ".join(rng.choice(words) for _ in range(12)) + "." for _ in range(rng.randrange(2, 6))) for _ in range(180)]
+    bad = [t.replace(" ", " ### ") for t in good[:60]]
+    near = [t + " indeed." for t in good[60:90]]
+    texts = good + bad + near + good[90:110] + TEXTS
+    df = docs(spark, texts, **CLASH, _key=1, _row=2, component=3, quality_score=4, _block=5)
+    at = str(tmp_path_factory.mktemp("corpus"))
+    df.unionByName(df.where("doc_id IN (1, 200)")).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 180)) for i in range(240)] + [(None, 0), (3, None)], "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+    return at, texts
+
+
+def test_quality_stage_keeps_what_the_classifier_accepts(spark, corpus):
+    at, texts = corpus
+    df = spark.read.parquet(f"{at}/documents.parquet")
+    out = quality_crf.quality_stage(spark, df, at)
+    assert out.columns == df.columns
+    kept = Counter(r.doc_id for r in out.collect())
+    assert all(kept[i] == (2 if i == 1 else 1) for i in range(180)) and not any(kept[i] for i in range(180, 240)) and all(kept[i] == 1 for i in range(240, 290))
+    assert quality_crf.quality_stage(spark, df.limit(0), at).count() == 0
+
+
+def test_encode_stage_against_the_library(spark, corpus):
+    at, texts = corpus
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=spl.MODEL_FILE)
+    df = spark.read.parquet(f"{at}/documents.parquet")
+    out = spl.encode_stage(spark, df, at)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_pieces", "ids"]
+    rows = out.collect()
+    assert Counter(r.doc_id for r in rows) == Counter({i: 1 for i in range(len(texts))}) + Counter([1, 200])
+    assert all(r.ids == lib.encode(texts[r.doc_id] or "") and r.n_pieces == len(r.ids) for r in rows)
+
+
+def test_pipeline_against_brute_force(spark, corpus):
+    """Every stage on what its predecessor kept: accepted, one of each near-duplicate group, mixed, encoded."""
+    import corpus_pipeline
+
+    at, texts = corpus
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=spl.MODEL_FILE)
+    df = spark.read.parquet(f"{at}/documents.parquet")
+    accepted = sorted(r.doc_id for r in quality_crf.quality_stage(spark, df, at).collect())
+    once = sorted(set(accepted))  # repeated rows have one text
+    own = [texts[i] for i in once]
+    _, root = brute(own, 5)
+    empty = [k for k, t in enumerate(own) if not (t or "").split()]
+    kept = [once[k] for k in range(len(once)) if root[k] == k]
+    kept += [i for i in accepted if accepted.count(i) > 1 and once.index(i) in empty][1:]  # empty ones link with nothing
+    mixed = Counter(r.doc_id for r in mixing.mixing_stage(spark, df.dropDuplicates(["doc_id"]).where(F.col("doc_id").isin(kept)), at).collect())
+    rows = corpus_pipeline.run(spark, at).collect()
+    assert Counter(r.doc_id for r in rows) == mixed and mixed
+    assert all(r.ids == lib.encode(texts[r.doc_id] or "") for r in rows)
+    assert len(kept) < len(once) < len(texts)
+
+
+def test_pipeline_of_empty_tables(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{corpus[0]}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registration():
     import __spark_entry__ as entry
 
