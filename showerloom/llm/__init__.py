@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_filter", "chat_format", "license_scan", "ann_search", "lm_score", "embedding_dedup", "minhash_dedup", "mixing", "quality_crf", "sentencepiece_lattice")
+MODULES = ("url_filter", "chat_format", "license_scan", "ann_search", "lm_score", "embedding_dedup", "minhash_dedup", "mixing", "quality_crf", "sentencepiece_lattice", "secret_scan", "whitening")
 
 
 def queries() -> dict:
