@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in the session's checkpoint folder (a temporary one where a local master names none).
-
-    The rows are wrapped anew without the plan's size estimate, which joins would multiply from
-    round to round; AQE goes by the real sizes.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all hosts share; a temporary one only where a local master names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df behind a reliable checkpoint in the session's checkpoint folder.
+
+    The rows are wrapped anew without the plan's size estimate, which joins would multiply from
+    round to round; AQE goes by the real sizes.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
     done = df.checkpoint(eager=True)
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
