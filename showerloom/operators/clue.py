@@ -4,13 +4,15 @@ rho: 1 + (neighbours within dc - 1) / 2.  Steps of a layer are ranked by falling
 step_id.  A step's nearest higher is its closest step of smaller rank among the min(rank + 1, K_CAP)
 closest steps of any rank (itself included) strictly within the search radius; delta is that
 distance, or the layer's largest finite delta (the radius if there is none).  Seeds have rho >= rhoc
-and delta >= deltac; a layer without seeds promotes its step of largest rho delta.  Others take the
+and delta >= deltac; a layer without seeds promotes its step of largest rho delta, if that is above 0.  Others take the
 label of the first seed along nearest-higher steps; chains that end elsewhere or meet an outlier
 stay NOISE.  Labels are seeds' step_ids.  exact=True lifts the cap on neighbours.
 """
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,11 +20,11 @@ from pyspark.sql import functions as F
 from ..functions.geometry import layer_of
 from .dbscan import with_small_layers
 from .graph import cut_lineage, follow
-from .neighbors import range_self_join
+from .neighbors import nearest_of_lower_rank, range_self_join
 from .reduce import NOISE
 from .select import LAYER_KEYS, min_group
 
-MM, K_CAP, SEARCH = 5.0, 128, 5.0
+MM, K_CAP, SEARCH, PROBE = 5.0, 128, 5.0, 16
 PARAMS = {"dc": 15.3, "rhoc": 5.0, "deltac": None, "outlier_factor": None, "min_points": 5}
 
 
@@ -42,15 +44,12 @@ def nearest_higher(rows: DataFrame, dc: float, outlier_factor: float | None = No
     rank = F.row_number().over(W.partitionBy(*LAYER_KEYS).orderBy(F.desc("rho"), "step_id")) - 1
     ranked = cut_lineage(rows.select(*LAYER_KEYS, "step_id", "fx", "fy").join(density(rows, dc), [*LAYER_KEYS, "step_id"]).withColumn("rank", rank))
     radius = (outlier_factor or SEARCH) * dc / MM
-    pairs = range_self_join(ranked, LAYER_KEYS, ["fx", "fy"], radius, ["step_id", "rank"], strict=True)
-    order = F.row_number().over(W.partitionBy(*LAYER_KEYS, "step_id").orderBy("d2", "other_step_id"))
-    near = pairs.where("rank > 0").withColumn("k", order)
-    if not exact:  # the constant bound lets the window stop early
-        near = near.where(F.col("k") <= K_CAP).where(F.col("k") <= F.col("rank") + 1)
-    first = near.where("other_rank < rank").groupBy(*LAYER_KEYS, "step_id").agg(F.min_by(F.struct("other_step_id", "d2"), "k").alias("h"))
-    out = ranked.join(first, [*LAYER_KEYS, "step_id"], "left").withColumn("found", F.sqrt("h.d2"))
+    # cells of which 3 x 3 hold about PROBE rows, by the rows within dc
+    width = dc / MM * F.sqrt(F.lit(PROBE * pi / 9) / (2 * F.col("rho") - 1))
+    found = nearest_of_lower_rank(ranked, LAYER_KEYS, ["fx", "fy"], radius, F.floor(2 * F.log2(F.lit(radius) / width)), None if exact else K_CAP)
+    out = ranked.join(found, [*LAYER_KEYS, "step_id"], "left").withColumn("found", F.sqrt("d2"))
     fill = F.coalesce(F.max("found").over(W.partitionBy(*LAYER_KEYS)), F.lit(radius))
-    return out.select(*LAYER_KEYS, "step_id", "rho", "rank", F.coalesce("found", fill).alias("delta"), F.col("h.other_step_id").alias("nh"))
+    return out.select(*LAYER_KEYS, "step_id", "rho", "rank", F.coalesce("found", fill).alias("delta"), "nh")
 
 
 def classify(peaks: DataFrame, dc: float, rhoc: float, deltac: float | None = None, outlier_factor: float | None = None) -> DataFrame:
@@ -63,7 +62,7 @@ def classify(peaks: DataFrame, dc: float, rhoc: float, deltac: float | None = No
     layer = W.partitionBy(*LAYER_KEYS)
     seeds = F.count_if(F.col("kind") == "seed").over(layer)
     best = F.row_number().over(layer.orderBy((F.col("kind") == "outlier").cast("int"), F.desc(F.col("rho") * F.col("delta")), "step_id"))
-    promoted = (seeds == 0) & (best == 1) & (F.col("kind") != "outlier")
+    promoted = (seeds == 0) & (best == 1) & (F.col("kind") != "outlier") & (F.col("rho") * F.col("delta") > 0)
     return rows.withColumn("kind", F.when(promoted, "seed").otherwise(F.col("kind")))
 
 

@@ -96,7 +96,7 @@ def _clue(name: str, dc: float, factor: float | None, rhoc: float, cap: str = "k
         f"{name}_first": f"SELECT {K}, step_id, arg_min(other, k) AS nh, sqrt(arg_min(d2, k)) AS found FROM {name}_near WHERE {cap}other_rank < rank GROUP BY ALL",
         f"{name}_peak": f"SELECT r.event_id, r.subdetector, r.layer, r.step_id, rho, rank, coalesce(found, max(found) OVER (PARTITION BY r.event_id, r.subdetector, r.layer), {radius}) AS delta, nh FROM {name}_rank r LEFT JOIN {name}_first f ON r.event_id = f.event_id AND r.step_id = f.step_id",
         f"{name}_raw": f"SELECT *, CASE WHEN rho >= {rhoc} AND delta >= {dc / 5.0} THEN 'seed' {out} ELSE 'follower' END AS raw FROM {name}_peak",
-        f"{name}_kind": f"SELECT *, CASE WHEN raw <> 'outlier' AND sum(CASE WHEN raw = 'seed' THEN 1 ELSE 0 END) OVER (PARTITION BY {K}) = 0 AND row_number() OVER (PARTITION BY {K} ORDER BY CASE WHEN raw = 'outlier' THEN 1 ELSE 0 END, rho * delta DESC, step_id) = 1 THEN 'seed' ELSE raw END AS kind FROM {name}_raw",
+        f"{name}_kind": f"SELECT *, CASE WHEN raw <> 'outlier' AND rho * delta > 0 AND sum(CASE WHEN raw = 'seed' THEN 1 ELSE 0 END) OVER (PARTITION BY {K}) = 0 AND row_number() OVER (PARTITION BY {K} ORDER BY CASE WHEN raw = 'outlier' THEN 1 ELSE 0 END, rho * delta DESC, step_id) = 1 THEN 'seed' ELSE raw END AS kind FROM {name}_raw",
         f"{name}_walk": f"SELECT event_id, step_id AS id, step_id AS pos, kind, nh FROM {name}_kind UNION ALL SELECT w.event_id, w.id, k.step_id, k.kind, k.nh FROM {name}_walk w JOIN {name}_kind k ON w.event_id = k.event_id AND w.nh = k.step_id WHERE w.kind = 'follower'",
         f"{name}_found": f"SELECT event_id, id AS step_id, pos AS label FROM {name}_walk WHERE kind = 'seed'",
     }
