@@ -1,13 +1,16 @@
 """Density clustering of steps per layer, plain and with a core / tail split.
 
-Everything is declarative: neighbours by ``range_self_join``, cores by count, clusters as connected
-components of core-core pairs, border steps to the smallest core label in reach.  A label is the
+Everything is declarative: cells of enough steps are cores at once, other steps find neighbours by
+``range_self_join`` and are cores by count; clusters are connected components of cells and single cores,
+border steps go to the smallest core label in reach.  A label is the
 smallest core step_id of the cluster (unique within the event), NOISE otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from .select import LAYER_KEYS, min_group
 #: mm and ns that count as one unit
 MM, NS = 5.0, 1.0
 FEATURES = ["fx", "fy", "ft"]
+CELL = ["c0", "c1", "c2"]
 
 
 def features(steps: DataFrame, min_samples: int = 5) -> DataFrame:
@@ -40,17 +44,98 @@ def core_flags(pairs: DataFrame, keys: list[str], min_samples: int) -> DataFrame
     return pairs.groupBy(*keys, "step_id").agg(F.count("*").alias("neighbours")).withColumn("is_core", F.col("neighbours") >= min_samples)
 
 
+def celled(rows: DataFrame, keys: list[str], eps, min_samples: int) -> DataFrame:
+    """(keys, step_id, FEATURES, eps, cells, dense, vertex): steps in cells whose diagonal is below eps.
+
+    A cell with min_samples steps is dense: all its steps are cores of one cluster, so it is one vertex, its
+    smallest step_id; any other step is a vertex by itself.
+    """
+    reach = F.col(eps) if isinstance(eps, str) else F.lit(float(eps))
+    width = reach * ((1 - 1e-9) / len(FEATURES) ** 0.5)  # steps of a cell stay within eps whatever the rounding
+    cell = [F.floor(F.col(c) / width).cast("long").alias(f"c{i}") for i, c in enumerate(FEATURES)]
+    inside = W.partitionBy(*keys, *CELL)
+    out = rows.select(*keys, "step_id", *FEATURES, reach.alias("eps"), *cell).withColumns({"dense": F.count("*").over(inside) >= min_samples, "vertex": F.min("step_id").over(inside)})
+    return cut_lineage(out.withColumn("vertex", F.when(F.col("dense"), F.col("vertex")).otherwise(F.col("step_id"))))
+
+
+def cell_pairs(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, eps, u, v, u_*, v_*: bounds, sure) of dense cells that may hold steps within eps, each pair once; sure: all their steps are."""
+    bounds = [f(c).alias(f"{c}_{n}") for c in FEATURES for n, f in (("lo", F.min), ("hi", F.max))]
+    cells = steps.where("dense").groupBy(*keys, *CELL, "vertex", "eps").agg(*bounds)
+    near = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3) if (a, b, c) > (0, 0, 0)]
+    shift = F.explode(F.array(*(F.struct(*(F.lit(k).alias(f"c{i}") for i, k in enumerate(o))) for o in near)))
+    left = cells.withColumnsRenamed({"vertex": "u", **{f"{c}_{n}": f"u_{c}_{n}" for c in FEATURES for n in ("lo", "hi")}}).withColumn("o", shift)
+    left = left.withColumns({c: F.col(c) + F.col(f"o.{c}") for c in CELL}).drop("o")
+    right = cells.drop("eps").withColumnsRenamed({"vertex": "v", **{f"{c}_{n}": f"v_{c}_{n}" for c in FEATURES for n in ("lo", "hi")}})
+    gap = [F.greatest(F.col(f"v_{c}_lo") - F.col(f"u_{c}_hi"), F.col(f"u_{c}_lo") - F.col(f"v_{c}_hi"), F.lit(0.0)) for c in FEATURES]
+    span = [F.greatest(F.col(f"v_{c}_hi"), F.col(f"u_{c}_hi")) - F.least(F.col(f"v_{c}_lo"), F.col(f"u_{c}_lo")) for c in FEATURES]
+    limit = F.col("eps") * F.col("eps")
+    return left.join(right, [*keys, *CELL]).where(squares(gap) <= limit).withColumn("sure", squares(span) <= limit).drop(*CELL)
+
+
+def squares(parts: list) -> Column:
+    return reduce(lambda a, b: a + b, (p * p for p in parts))
+
+
+def beside(pairs: DataFrame, steps: DataFrame, keys: list[str], end: str, other: str) -> DataFrame:
+    """pairs with every step of their cell `end` (as end_fx, ..) and its squared distance to the other cell's bounds, where that is within eps."""
+    rows = steps.where("dense").select(*keys, F.col("vertex").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in FEATURES))
+    gap = squares([F.greatest(F.col(f"{other}_{c}_lo") - F.col(f"{end}_{c}"), F.col(f"{end}_{c}") - F.col(f"{other}_{c}_hi"), F.lit(0.0)) for c in FEATURES])
+    return pairs.join(rows, [*keys, end]).withColumn(f"{end}_gap", gap).where(F.col(f"{end}_gap") <= F.col("eps") * F.col("eps"))
+
+
+def witnessed(pairs: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, u, v) of cell pairs whose step of u nearest to v's bounds has a step of v within eps: linear in the steps."""
+    first = beside(pairs, steps, keys, "u", "v").groupBy(*keys, "u", "v", "eps", *(f"u_{c}_{n}" for c in FEATURES for n in ("lo", "hi"))).agg(F.min_by(F.struct(*(f"u_{c}" for c in FEATURES)), "u_gap").alias("at"))
+    return touching(beside(first.select("*", "at.*").drop("at"), steps, keys, "v", "u"), keys)
+
+
+def touching(rows: DataFrame, keys: list[str]) -> DataFrame:
+    apart = squares([F.col(f"u_{c}") - F.col(f"v_{c}") for c in FEATURES])
+    return rows.where(apart <= F.col("eps") * F.col("eps")).select(*keys, "u", "v").distinct()
+
+
+def clusters(steps: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, root) of core vertices that are linked; links: (keys, u, v) of cores outside dense cells.
+
+    Pairs of dense cells are linked by their bounds, then by one witness.  Only pairs that are still in
+    different clusters after that are compared step by step, near the bounds they share.
+    """
+    if steps.where("dense").isEmpty():
+        return connected_components(links, keys, "u", "v")
+    pairs = cut_lineage(cell_pairs(steps, keys))
+    open_pairs = pairs.where("NOT sure")
+    seen = cut_lineage(witnessed(open_pairs, steps, keys))
+    groups = connected_components(links.unionByName(pairs.where("sure").select(*keys, "u", "v")).unionByName(seen), keys, "u", "v")
+    root = lambda c: groups.select(*keys, F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = open_pairs.join(seen, [*keys, "u", "v"], "left_anti").join(root("u"), [*keys, "u"], "left").join(root("v"), [*keys, "v"], "left")
+    rest = rest.withColumns({f"{c}_root": F.coalesce(f"{c}_root", c) for c in "uv"}).where("u_root <> v_root")
+    more = touching(beside(beside(rest, steps, keys, "u", "v"), steps, keys, "v", "u"), keys)
+    joined = cut_lineage(more.join(rest.select(*keys, "u", "v", "u_root", "v_root"), [*keys, "u", "v"]).select(*keys, "u_root", "v_root").distinct())
+    if joined.isEmpty():
+        return groups
+    again = connected_components(joined, keys, "u_root", "v_root").withColumnsRenamed({"id": "root", "root": "top"})
+    return groups.join(again, [*keys, "root"], "left").select(*keys, "id", F.coalesce("top", "root").alias("root")).unionByName(
+        again.join(groups, [*keys, "root"], "left_anti").select(*keys, F.col("root").alias("id"), F.col("top").alias("root"))
+    )
+
+
 def labelled(rows: DataFrame, keys: list[str], eps, min_samples: int) -> DataFrame:
-    """rows with label."""
-    pairs = cut_lineage(neighbour_pairs(rows, eps, keys))
-    cores = core_flags(pairs, keys, min_samples).where("is_core").select(*keys, "step_id")
-    other = cores.withColumnRenamed("step_id", "other_step_id")
-    to_core = pairs.join(other, [*keys, "other_step_id"])
-    links = to_core.where("step_id < other_step_id").join(cores, [*keys, "step_id"], "left_semi")
-    groups = connected_components(links, keys, "step_id", "other_step_id")
-    core_label = other.join(groups.withColumnRenamed("id", "other_step_id"), [*keys, "other_step_id"], "left").select(*keys, "other_step_id", F.coalesce("root", "other_step_id").alias("root"))
+    """rows with label.
+
+    Only steps outside dense cells look for neighbours; what they meet is kept as one row for each vertex.
+    """
+    steps = celled(rows, keys, eps, min_samples)
+    pairs = range_self_join(steps, keys, FEATURES, F.col("eps"), ["step_id", "vertex", "dense"], asking=~F.col("dense"))
+    met = cut_lineage(pairs.groupBy(*keys, "step_id", F.col("other_vertex").alias("vertex"), F.col("other_dense").alias("dense")).agg(F.count("*").alias("n")))
+    cores = met.groupBy(*keys, "step_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select(*keys, F.col("step_id").alias("vertex"))
+    to_core = cut_lineage(met.join(cores.withColumn("core", F.lit(True)), [*keys, "vertex"], "left").where("dense OR core").select(*keys, "step_id", "vertex"))
+    own = to_core.where("step_id = vertex").select(*keys, "step_id")  # a core meets itself
+    links = to_core.where("step_id <> vertex").join(own, [*keys, "step_id"], "left_semi").select(*keys, F.col("step_id").alias("u"), F.col("vertex").alias("v"))
+    root = clusters(steps, links, keys).withColumnRenamed("id", "vertex")
     # a core's own label is the smallest in reach too: all cores around it are in its cluster
-    found = to_core.join(core_label, [*keys, "other_step_id"]).groupBy(*keys, "step_id").agg(F.min("root").alias("label"))
+    reach = to_core.unionByName(steps.where("dense").select(*keys, "step_id", "vertex"))
+    found = reach.join(root, [*keys, "vertex"], "left").groupBy(*keys, "step_id").agg(F.min(F.coalesce("root", "vertex")).alias("label"))
     return rows.join(found, [*keys, "step_id"], "left").withColumn("label", F.coalesce("label", F.lit(NOISE)))
 
 

@@ -16,8 +16,8 @@ COARSER = 3
 WHOLE, FEW = -1, 128
 
 
-def range_self_join(df: DataFrame, keys: list[str], dims: list[str], radius: Column | float, carry: list[str], bucketed: int = 2, strict: bool = False) -> DataFrame:
-    """Ordered pairs (keys, carry, other_*: carry, d2) within radius in the same keys, self included.
+def range_self_join(df: DataFrame, keys: list[str], dims: list[str], radius: Column | float, carry: list[str], bucketed: int = 2, strict: bool = False, asking: Column | None = None) -> DataFrame:
+    """Ordered pairs (keys, carry, other_*: carry, d2) within radius in the same keys, self included; asking: which rows may come first.
 
     The first `bucketed` dims are cut in buckets of the radius; each left row looks into the 3^k
     buckets around its own, so the join is an equi-join on keys and buckets whatever a group's size.
@@ -26,7 +26,7 @@ def range_self_join(df: DataFrame, keys: list[str], dims: list[str], radius: Col
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
     cut = dims[:bucketed]
     rows = df.select(*keys, *dims, *carry, r.alias("_r")).withColumns({f"_b{i}": F.floor(F.col(d) / F.col("_r")).cast("long") for i, d in enumerate(cut)})
-    left = rows
+    left = rows if asking is None else rows.where(asking)
     for i in range(len(cut)):
         left = left.withColumn(f"_b{i}", F.explode(F.array(*(F.col(f"_b{i}") + k for k in (-1, 0, 1)))))
     right = rows.drop("_r").withColumnsRenamed({c: f"other_{c}" for c in (*dims, *carry)})

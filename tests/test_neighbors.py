@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from showerloom.operators import clue, neighbors
+from showerloom.operators import clue, dbscan, neighbors
 from showerloom.operators.select import LAYER_KEYS
 
-from .test_operators import steps
+from .test_operators import brute_dbscan, steps
 
 
 def brute_higher(points, rank, radius, cap):
@@ -77,3 +77,49 @@ def test_no_seed_among_steps_at_one_point(spark):
     assert {r.label for r in clue.clue(steps(spark, same), rhoc=100.0).collect()} == {-1}
     got = {r.step_id: r.label for r in clue.clue(steps(spark, [*same, (1, 6, 3, 0, 0, 1, 0, 0)]), rhoc=100.0).collect()}
     assert len(set(got.values())) == 1 and -1 not in got.values()
+
+
+def dense_layer(rng, n):
+    """Three blobs of which two touch through a thin bridge, and a halo."""
+    rows = [(rng.gauss(0, 2), rng.gauss(0, 2), rng.gauss(0, 0.3)) for _ in range(n)]
+    rows += [(rng.gauss(22, 2), rng.gauss(0, 2), rng.gauss(0, 0.3)) for _ in range(n)]
+    rows += [(rng.gauss(0, 1.5), rng.gauss(90, 1.5), rng.gauss(0, 0.3)) for _ in range(n)]
+    rows += [(rng.uniform(-60, 60), rng.uniform(-60, 110), rng.uniform(-3, 3)) for _ in range(n // 3)]
+    return [(1, i, x, y, 0, 1, t, 0) for i, (x, y, t) in enumerate(rows)]
+
+
+def test_dense_cells_give_the_same_labels(spark):
+    for seed, n in ((1, 60), (2, 150)):
+        rows = dense_layer(random.Random(seed), n)
+        got = {r.step_id: r.label for r in dbscan.dbscan(steps(spark, rows)).collect()}
+        middle = np.median([r[6] for r in rows])
+        label = brute_dbscan([(r[2] / 5, r[3] / 5, r[6] - middle) for r in rows], 1.5, 5)
+        assert [got[r[1]] for r in rows] == label
+
+
+def test_cells_that_only_a_corner_joins(spark):
+    """Two dense cells whose nearest steps are not those nearest to the other's bounds."""
+    eps, w = 1.5, 1.5 / 3**0.5
+    a = [(0.1 * w, 0.1 * w, 0), (0.99 * w, 0.02 * w, 0), (0.2 * w, 0.3 * w, 0), (0.3 * w, 0.2 * w, 0), (0.4 * w, 0.9 * w, 0)]
+    for shift in np.linspace(0.0, 1.4, 8):
+        b = [(x + 2 * w, y + shift * w, 0) for x, y, _ in reversed(a)]
+        points = a + b
+        rows = [(1, i, x * 5, y * 5, 0, 1, t, 0) for i, (x, y, t) in enumerate(points)]
+        got = {r.step_id: r.label for r in dbscan.dbscan(steps(spark, rows), eps=eps).collect()}
+        assert [got[i] for i in range(10)] == brute_dbscan([(r[2] / 5, r[3] / 5, r[6]) for r in rows], eps, 5)
+
+
+def test_dense_cells_make_fewer_pairs(spark, monkeypatch):
+    rows = dbscan.features(steps(spark, dense_layer(random.Random(3), 600)))
+    every = dbscan.neighbour_pairs(rows).count()
+    made = []
+    plain = neighbors.range_self_join
+
+    def counted(*args, **kw):
+        pairs = plain(*args, **kw)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(dbscan, "range_self_join", counted)
+    dbscan.labelled(rows, LAYER_KEYS, 1.5, 5).collect()
+    assert sum(made) * 20 < every
