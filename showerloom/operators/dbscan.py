@@ -129,12 +129,12 @@ def labelled(rows: DataFrame, keys: list[str], eps, min_samples: int) -> DataFra
     pairs = range_self_join(steps, keys, FEATURES, F.col("eps"), ["step_id", "vertex", "dense"], asking=~F.col("dense"))
     met = cut_lineage(pairs.groupBy(*keys, "step_id", F.col("other_vertex").alias("vertex"), F.col("other_dense").alias("dense")).agg(F.count("*").alias("n")))
     cores = met.groupBy(*keys, "step_id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select(*keys, F.col("step_id").alias("vertex"))
-    to_core = cut_lineage(met.join(cores.withColumn("core", F.lit(True)), [*keys, "vertex"], "left").where("dense OR core").select(*keys, "step_id", "vertex"))
+    to_core = cut_lineage(met.join(cores.withColumn("core", F.lit(True)), [*keys, "vertex"], "left").where("dense OR core").select(*keys, "step_id", "vertex", "dense"))
     own = to_core.where("step_id = vertex").select(*keys, "step_id")  # a core meets itself
-    links = to_core.where("step_id <> vertex").join(own, [*keys, "step_id"], "left_semi").select(*keys, F.col("step_id").alias("u"), F.col("vertex").alias("v"))
+    links = to_core.where("dense OR step_id < vertex").join(own, [*keys, "step_id"], "left_semi").select(*keys, F.col("step_id").alias("u"), F.col("vertex").alias("v"))
     root = clusters(steps, links, keys).withColumnRenamed("id", "vertex")
     # a core's own label is the smallest in reach too: all cores around it are in its cluster
-    reach = to_core.unionByName(steps.where("dense").select(*keys, "step_id", "vertex"))
+    reach = to_core.drop("dense").unionByName(steps.where("dense").select(*keys, "step_id", "vertex"))
     found = reach.join(root, [*keys, "vertex"], "left").groupBy(*keys, "step_id").agg(F.min(F.coalesce("root", "vertex")).alias("label"))
     return rows.join(found, [*keys, "step_id"], "left").withColumn("label", F.coalesce("label", F.lit(NOISE)))
 

@@ -21,15 +21,20 @@ def range_self_join(df: DataFrame, keys: list[str], dims: list[str], radius: Col
 
     The first `bucketed` dims are cut in buckets of the radius; each left row looks into the 3^k
     buckets around its own, so the join is an equi-join on keys and buckets whatever a group's size.
-    radius may be a column that is constant within keys.
+    A group of at most FEW rows is one bucket.  radius may be a column that is constant within keys.
     """
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
     cut = dims[:bucketed]
-    rows = df.select(*keys, *dims, *carry, r.alias("_r")).withColumns({f"_b{i}": F.floor(F.col(d) / F.col("_r")).cast("long") for i, d in enumerate(cut)})
-    left = rows if asking is None else rows.where(asking)
+    few = F.count("*").over(W.partitionBy(*keys)) <= FEW
+    first = F.lit(True) if asking is None else asking
+    rows = df.select(*keys, *dims, *carry, r.alias("_r"), first.alias("_first"), few.alias("_few"))
+    rows = rows.withColumns({f"_b{i}": F.when(F.col("_few"), 0).otherwise(F.floor(F.col(d) / F.col("_r"))).cast("long") for i, d in enumerate(cut)})
+    left = rows.where("_first")
     for i in range(len(cut)):
-        left = left.withColumn(f"_b{i}", F.explode(F.array(*(F.col(f"_b{i}") + k for k in (-1, 0, 1)))))
-    right = rows.drop("_r").withColumnsRenamed({c: f"other_{c}" for c in (*dims, *carry)})
+        b = F.col(f"_b{i}")
+        left = left.withColumn(f"_b{i}", F.explode(F.when(F.col("_few"), F.array(b)).otherwise(F.array(b - 1, b, b + 1))))
+    left = left.drop("_first", "_few")
+    right = rows.drop("_r", "_first", "_few").withColumnsRenamed({c: f"other_{c}" for c in (*dims, *carry)})
     pairs = left.join(right, [*keys, *(f"_b{i}" for i in range(len(cut)))])
     gaps = [F.col(d) - F.col(f"other_{d}") for d in dims]
     d2 = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])

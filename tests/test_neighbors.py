@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from showerloom.operators import clue, dbscan, neighbors
+from showerloom.operators import clue, dbscan, graph, neighbors
 from showerloom.operators.select import LAYER_KEYS
 
 from .test_operators import brute_dbscan, steps
@@ -123,3 +123,39 @@ def test_dense_cells_make_fewer_pairs(spark, monkeypatch):
     monkeypatch.setattr(dbscan, "range_self_join", counted)
     dbscan.labelled(rows, LAYER_KEYS, 1.5, 5).collect()
     assert sum(made) * 20 < every
+
+
+def test_forests_join_what_the_edges_join(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(g, rng.randrange(60), rng.randrange(60)) for g in ("a", "b") for _ in range(70)]
+    df = spark.createDataFrame(edges, "g string, u long, v long").where("u <> v")
+    want = graph_components(edges)
+    for block in (5, 1000):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        thin = graph.forests(df, ["g"])
+        assert thin.count() <= df.count()
+        assert graph_components([tuple(r) for r in thin.collect()]) == want
+        assert {(r.g, r.id): r.root for r in graph.connected_components(df, ["g"], "u", "v").collect()} == want
+    pairs = df.select("g", F.struct((F.col("u") % 7).alias("i"), (-F.col("u")).alias("j")).alias("a"), F.struct((F.col("v") % 7).alias("i"), (-F.col("v")).alias("j")).alias("b"))
+    got = {(r.g, -r.id.j): r.root for r in graph.connected_components(pairs, ["g"], "a", "b").collect()}
+    for (g, x), root in got.items():
+        assert (root.i, root.j) == min((y % 7, -y) for (h, y), r in want.items() if h == g and r == want[g, x])
+    assert graph.connected_components(df.limit(0), ["g"], "u", "v").count() == 0
+
+
+def graph_components(edges):
+    """{(g, vertex): smallest vertex} by search."""
+    near = {}
+    for g, a, b in edges:
+        if a != b:
+            near.setdefault((g, a), set()).add((g, b))
+            near.setdefault((g, b), set()).add((g, a))
+    out = {}
+    for start in sorted(near):
+        stack = [start] if start not in out else []
+        while stack:
+            x = stack.pop()
+            if x not in out:
+                out[x] = start[1]
+                stack += near[x]
+    return out
