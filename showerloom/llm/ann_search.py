@@ -10,8 +10,9 @@ buckets of each table.
 
 How many axes and probes is measured at every size of table: the true neighbours of ``TRIALS`` queries drawn
 by hash are found among all rows (one scan), and of ``SETTINGS`` the one is taken that asks for the fewest
-comparisons while its tables meet a share ``AIM`` of these neighbours (the one that meets most, if none does).
-The trials' neighbours choose the setting only and are no results.
+comparisons while its tables meet a share ``AIM`` of these neighbours.  Where ``TABLES`` tables don't meet as
+many in any setting, twice, three times .. ``MOST`` as many are tried, and if these don't either, all rows are
+compared with all queries, in blocks.  The trials' neighbours choose the setting only and are no results.
 
 Rows and queries meet by equi-join on (table, bucket); buckets are dealt into blocks of at most about
 ``BLOCK`` rows and queries, so a hot bucket is many small groups.  A group reranks its candidates
@@ -36,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .vectors import matrix, top_rows, usable
 
-TABLES = 14
+TABLES, MOST = 14, 56
+#: numbers that a block of rows may take while it is hashed
+NUMBERS = 1 << 21
 #: (axes of a bucket, probes of a table)
 SETTINGS = tuple((1, p) for p in (2, 4, 6, 8, 10, 12, 15, 18, 24, 32, 48, 64)) + tuple((2, p) for p in (16, 32, 64, 128, 256, 512, 1024))
 AIM, TRIALS, ROWS = 0.97, 64, 2048
@@ -73,28 +76,42 @@ def directions(x: np.ndarray) -> np.ndarray:
     return np.hstack([x / norm, np.zeros_like(norm)])
 
 
+def best_pairs(m: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) in two falling lists of m that can be among the `probes` largest sums: (i + 1) (j + 1) sums are at least as large."""
+    i, j = np.concatenate([np.column_stack([np.full(n := min(m, probes // (i + 1)), i), np.arange(n)]) for i in range(min(m, probes))]).T
+    return i, j
+
+
 def buckets(unit: np.ndarray, t: int, functions: int, probes: int) -> np.ndarray:
-    """The best `probes` buckets of each vector in table t, best first."""
-    total, key = np.zeros((len(unit), 1)), np.zeros((len(unit), 1), np.int64)
-    for f in range(functions):
-        s = signed_axes(unit, t, f)
-        m = min(probes, s.shape[1])
-        axis = np.argsort(-s, 1, kind="stable")[:, :m]
-        total = (total[:, :, None] + np.take_along_axis(s, axis, 1)[:, None, :]).reshape(len(unit), -1)
-        key = (key[:, :, None] * s.shape[1] + axis[:, None, :]).reshape(len(unit), -1)
-        best = np.argsort(-total, 1, kind="stable")[:, :probes]
-        total, key = np.take_along_axis(total, best, 1), np.take_along_axis(key, best, 1)
-    return key
+    """The best `probes` buckets of each vector in table t, best first; in blocks of rows of bounded memory."""
+    width = 2 << max(1, (unit.shape[1] - 1).bit_length())
+    m = min(probes, width)
+    i, j = best_pairs(m, probes) if functions == 2 else (np.arange(m), None)
+    step = max(1, NUMBERS // max(width, len(i)))
+    return np.concatenate([_buckets(unit[at : at + step], t, functions, probes, i, j) for at in range(0, max(len(unit), 1), step)])
+
+
+def _buckets(unit: np.ndarray, t: int, functions: int, probes: int, i: np.ndarray, j: np.ndarray | None) -> np.ndarray:
+    along = [signed_axes(unit, t, f) for f in range(functions)]
+    axes = [np.argsort(-s, 1, kind="stable")[:, : i.max() + 1] if i.max() else s.argmax(1)[:, None] for s in along]
+    if j is None:
+        return axes[0]
+    first, second = (np.take_along_axis(s, a, 1) for s, a in zip(along, axes, strict=True))
+    best = np.argsort(-(first[:, i] + second[:, j]), 1, kind="stable")[:, :probes]
+    row = np.arange(len(unit))[:, None]
+    return axes[0][row, i[best]] * along[0].shape[1] + axes[1][row, j[best]]
 
 
 def hashed(rows: DataFrame, functions: int, probes: int, tables: int) -> DataFrame:
     """rows (_rid, id, v, tau), once per table and probed bucket, with t, probe (0: nearest), bucket."""
+    step = min(1024, max(1, NUMBERS // (tables * probes)))
 
     def run(batches):
         for pdf in batches:
-            if len(pdf):
-                unit = directions(matrix(pdf.v))
-                yield pdf.assign(keys=list(np.hstack([buckets(unit, t, functions, probes) for t in range(tables)])))
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                unit = directions(matrix(part.v))
+                yield part.assign(keys=list(np.hstack([buckets(unit, t, functions, probes) for t in range(tables)])))
 
     per = rows.mapInPandas(run, "_rid long, id long, v array<double>, tau double, keys array<long>")
     per = per.select("_rid", "id", "v", "tau", "keys", F.posexplode("keys").alias("p", "bucket"))
@@ -123,23 +140,28 @@ def neighbours(data: DataFrame, some: pd.DataFrame, k: int) -> pd.DataFrame:
     return found.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score")))).where(F.col("k") <= k).drop("k").toPandas()
 
 
-def choose(y: np.ndarray, q: np.ndarray, x: np.ndarray, rows: np.ndarray, n: int, tables: int, functions: int | None = None) -> tuple[int, int]:
-    """(functions, probes) of SETTINGS for n rows: x are neighbours that the queries y[q] must meet, rows a sample; all directions."""
-    options = []
-    for f in (functions,) if functions else (1, 2):
-        some = [p for g, p in SETTINGS if g == f]
-        met, visits = np.full(len(q), max(some)), np.zeros(max(some))
-        for t in range(tables):
+def choose(y: np.ndarray, q: np.ndarray, x: np.ndarray, rows: np.ndarray, n: int, tables: int, functions: int | None = None, most: int | None = None) -> tuple[int, int, int] | None:
+    """(functions, probes, tables) for n rows; None where even `most` tables meet too few.
+
+    x are neighbours that the queries y[q] must meet, rows a sample; all directions.  The fewest multiple of
+    `tables` is taken with which one of SETTINGS meets a share AIM of the neighbours.
+    """
+    kinds = {f: [p for g, p in SETTINGS if g == f] for f in ((functions,) if functions else (1, 2))}
+    met = {f: np.full(len(q), max(some)) for f, some in kinds.items()}
+    visits = {f: np.zeros(max(some)) for f, some in kinds.items()}
+    for t in range(most or tables):
+        for f, some in kinds.items():
             asked = buckets(y, t, f, max(some))
             hit = asked[q] == buckets(x, t, f, 1)
-            met = np.minimum(met, np.where(hit.any(1), hit.argmax(1), max(some)))
+            met[f] = np.minimum(met[f], np.where(hit.any(1), hit.argmax(1), max(some)))
             keys, count = np.unique(buckets(rows, t, f, 1), return_counts=True)
             at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            visits[: asked.shape[1]] += np.where(keys[at] == asked, count[at], 0).mean(0) / len(rows)
-        for p in some:
-            share, cost = (met < p).mean(), n * visits[:p].sum() + SENDING * tables * p
-            options.append((0, cost, f, p) if share >= AIM else (1, -share, f, p))
-    return min(options)[2:]
+            visits[f][: asked.shape[1]] += np.where(keys[at] == asked, count[at], 0).mean(0) / len(rows)
+        if (t + 1) % tables == 0:
+            options = [(n * visits[f][:p].sum() + SENDING * (t + 1) * p, f, p) for f, some in kinds.items() for p in some if (met[f] < p).mean() >= AIM]
+            if options:
+                return *min(options)[1:], t + 1
+    return None
 
 
 FOUND = "q_rid long, query_id long, rid long, vec_id long, score double"
@@ -205,7 +227,10 @@ def met_by_tables(rows: DataFrame, k: int, tables: int = TABLES, functions: int
         near = neighbours(hashed_only, some, k)
         sample = matrix(hashed_only.orderBy(F.xxhash64("_rid", F.lit(1))).select("v").limit(ROWS).toPandas().v)
         least = SETTINGS[0][1] if functions is None else min(p for f, p in SETTINGS if f == functions)
-        functions, probes = choose(directions(matrix(some.v)), near.q.to_numpy(), directions(matrix(near.v)), directions(sample), n, tables, functions) if len(near) else (functions or 1, least)
+        chosen = choose(directions(matrix(some.v)), near.q.to_numpy(), directions(matrix(near.v)), directions(sample), n, tables, functions, MOST) if len(near) else (functions or 1, least, tables)
+        if chosen is None:
+            return cut(best(rerank(data.selectExpr("*", *WHOLE), queries.selectExpr("*", *WHOLE), k), k))
+        functions, probes, tables = chosen
     index = hashed(data.where(F.coalesce(~span.isin(long_), F.lit(True))), functions, 1, tables)
     nearest = rerank(index, hashed(queries, functions, 1, tables), k)
     if long_:
