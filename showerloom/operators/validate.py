@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import cross, dot, minus, norm, scaled, settled, wrapped
 from ..functions.stats import circular_mean, covariance, histogram_bin, staged, weighted_mean, weighted_quantiles, with_axis, with_basis
 from .graph import cut_lineage
+from .quantiles import exact_quantiles
 
 BEFORE, AFTER = "before", "after"
 LONG_BINS, R_BINS, LOGE_BINS, LOGE_LOW, LOGE_HIGH, MOMENT_BINS = 30, 50, 50, -8.0, 2.0, 40
@@ -213,7 +214,8 @@ def containment_delta(quantiles: DataFrame) -> DataFrame:
     """(observable, before, after, delta): medians over events."""
     names = ("r50", "r80", "r90", "w10", "w50", "w90")
     rows = quantiles.select("side", F.explode(F.array(*(F.struct(F.lit(n).alias("observable"), F.col(n).alias("v")) for n in names))).alias("q")).select("side", "q.*")
-    med = rows.groupBy("observable").agg(*(F.median(F.when(F.col("side") == s, F.col("v"))).alias(s) for s in (BEFORE, AFTER)))
+    middle = exact_quantiles(rows, ["observable", "side"], "v", {"m": 0.5})
+    med = middle.groupBy("observable").agg(*(F.max(F.when(F.col("side") == s, F.col("m"))).alias(s) for s in (BEFORE, AFTER)))
     return med.withColumn("delta", F.col(AFTER) - F.col(BEFORE))
 
 

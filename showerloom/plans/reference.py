@@ -5,6 +5,8 @@ Floats are rounded in both engines after all thresholds and bins, as sums run in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from ..operators import reduce as rd
 from ..operators import select as se
 from ..operators import validate as va
 from ..operators import view as vw
-from ..operators.graph import cut_lineage
-from ..sources.steps import run_params, steps_view, subdetector_names
+from ..operators.graph import cut_lineage, shared_folder
+from ..sources.steps import run_params, steps_view, subdetector_names, write_cloud
 from .oracle import _wq, with_ctes
 
 QUERIES: dict = {}
@@ -86,14 +88,23 @@ def scan_steps(spark, d):
     return rounded(steps_view(spark, d), ["event_id", "step_id", "subdetector", "cell_id", "pdg"], ["x", "y", "z", "energy", "time"], 6)
 
 
-@query("SELECT 0 AS subdetector, 'ECAL barrel' AS name", ctes=False)
+def stored_cloud(spark: SparkSession, d: str, params: dict) -> DataFrame:
+    """A grid cloud and the steps' own subdetectors, written with what they are and read back."""
+    path = f"{shared_folder(spark)}/described-{uuid.uuid4().hex}"
+    write_cloud(gr.grid_cloud(ecal(spark, d), **params), path, params)
+    return spark.read.parquet(path)
+
+
+@query("SELECT subdetector, CASE subdetector WHEN 0 THEN 'ECAL barrel' WHEN 1 THEN 'ECAL endcap' END AS name, count(*) AS n_rows FROM steps GROUP BY subdetector")
 def metadata_scan(spark, d):
-    return subdetector_names(spark)
+    path = f"{shared_folder(spark)}/described-{uuid.uuid4().hex}"
+    write_cloud(steps_view(spark, d), path)
+    return subdetector_names(spark.read.parquet(path))
 
 
-@query("""SELECT 'mm, MeV, ns' AS units, '{"dc": 15.3, "rhoc": 5.0}' AS cluster_params""", ctes=False)
+@query("""SELECT 'mm, MeV, ns' AS units, '{"grid_mm": 3.0, "second_stage": "none"}' AS cluster_params, count(*) AS n_rows FROM none_cloud""")
 def run_parameters(spark, d):
-    return run_params(spark, {"dc": 15.3, "rhoc": 5.0})
+    return run_params(stored_cloud(spark, d, {"second_stage": "none", "grid_mm": 3.0}))
 
 
 @query("SELECT event_id, step_id, cell_id, layer FROM lay")

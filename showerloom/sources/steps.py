@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("step_id", T.LongType()),
@@ -45,11 +46,14 @@ def ensure_columns(df: DataFrame, need: tuple[str, ...] = ()) -> DataFrame:
     if "step_id" not in df.columns:
         order = [c for c in ("cell_id", "subdetector", "time", "energy", "x", "y", "z", "pdg") if c in df.columns]
         df = df.withColumn("step_id", F.row_number().over(W.partitionBy("event_id").orderBy(*order)))
-    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(DEFAULTS[f.name])).cast(f.dataType).alias(f.name) for f in SCHEMA))
+    told = {c: df.schema[c].metadata for c in df.columns}
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(DEFAULTS[f.name])).cast(f.dataType).alias(f.name, metadata=told.get(f.name) or {}) for f in SCHEMA))
 
 
 def read_steps(spark: SparkSession, path: str, need: tuple[str, ...] = ()) -> DataFrame:
     """Parquet steps; .h5 files through the Python data source (needs h5py)."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
     if path.endswith((".h5", ".hdf5")):
         from .hdf5 import Hdf5Steps
 
@@ -58,22 +62,55 @@ def read_steps(spark: SparkSession, path: str, need: tuple[str, ...] = ()) -> Da
     return ensure_columns(spark.read.parquet(path), need)
 
 
-def subdetector_names(spark: SparkSession, names: dict[int, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(list((names or {0: "ECAL barrel"}).items()), "subdetector int, name string")
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds anything at path."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
-def write_cloud(cloud: DataFrame, path: str, params: dict | None = None, units: str = "mm, MeV, ns") -> None:
-    """A point cloud as Parquet by subdetector, with a one-row table of its parameters beside it."""
-    cloud.write.mode("errorifexists").partitionBy("subdetector").parquet(path)
-    if params is not None:
-        run_params(cloud.sparkSession, params, units).coalesce(1).write.parquet(path.rstrip("/") + ".params")
+#: units of the columns
+UNITS = {"x": "mm", "y": "mm", "z": "mm", "energy": "MeV", "time": "ns"}
+#: the subdetectors that are known without a table of their own
+NAMES = {0: "ECAL barrel", 1: "ECAL endcap"}
+#: the column whose metadata tells how a cloud was made
+CARRIER = "event_id"
 
 
-def run_params(spark: SparkSession, params: dict, units: str = "mm, MeV, ns") -> DataFrame:
-    """(units, cluster_params): the parameters as JSON."""
+def described(df: DataFrame, params: dict | None = None, names: dict[int, str] | None = None) -> DataFrame:
+    """df with units, parameters and names of subdetectors as column metadata, which Parquet files keep; names that it has already stay."""
+    own = df.schema[CARRIER].metadata if CARRIER in df.columns else {}
+    known = own.get("subdetector_names") or {str(k): v for k, v in (names or NAMES).items()}
+    about = own | {"subdetector_names": known} | ({"cluster_params": params} if params is not None else {})
+    for c, unit in UNITS.items():
+        if c in df.columns:
+            df = df.withMetadata(c, df.schema[c].metadata | {"unit": unit})
+    return df.withMetadata(CARRIER, about)
+
+
+def subdetector_names(df: DataFrame) -> DataFrame:
+    """(subdetector, name, n_rows) of df's own subdetectors, named by its metadata; null where it names none."""
+    names = df.schema[CARRIER].metadata.get("subdetector_names", {})
+    table = df.sparkSession.createDataFrame([(int(k), v) for k, v in names.items()], "subdetector int, name string")
+    return df.groupBy("subdetector").agg(F.count("*").alias("n_rows")).join(F.broadcast(table), "subdetector", "left")  # a few names
+
+
+def run_params(df: DataFrame) -> DataFrame:
+    """(units, cluster_params, n_rows): units of df's columns in their order, its parameters as JSON with sorted keys, and how many rows it has."""
     import json
 
-    return spark.createDataFrame([(units, json.dumps(params, sort_keys=True))], "units string, cluster_params string")
+    units = list(dict.fromkeys(f.metadata["unit"] for f in df.schema if "unit" in f.metadata))
+    params = df.schema[CARRIER].metadata.get("cluster_params")
+    return df.agg(F.count("*").alias("n_rows")).select(F.lit(", ".join(units)).alias("units"), F.lit(None if params is None else json.dumps(params, sort_keys=True)).alias("cluster_params"), "n_rows")
+
+
+def write_cloud(cloud: DataFrame, path: str, params: dict | None = None, names: dict[int, str] | None = None) -> None:
+    """A point cloud as Parquet by subdetector, with its units, parameters and names as metadata."""
+    described(cloud, params, names).write.mode("errorifexists").partitionBy("subdetector").parquet(path)
 
 
 def output_name(source: str, tool: str, **params) -> str:

@@ -1,7 +1,7 @@
 """Command lines: ``python -m showerloom.tools dbscan|clue|grid|validate|view``.
 
 Each reads steps (Parquet, or HDF5 where h5py is there), runs the operators and writes Parquet: a point
-cloud with its parameters beside it, the tables of a comparison, or those of a picture.  Reports are
+cloud with its parameters in its schema, the tables of a comparison, or those of a picture.  Reports are
 printed.  The session comes from the usual Spark settings (``spark-submit`` or the environment).
 """
 
@@ -21,7 +21,18 @@ from .operators import select as se
 from .operators import validate as va
 from .operators import view as vw
 from .operators.graph import cut_lineage
-from .sources.steps import output_name, read_steps, write_cloud
+from .sources.steps import CARRIER, exists, output_name, read_steps, write_cloud
+
+
+#: optional columns that a tool can't do without
+NEEDED = {"dbscan": ("cell_id", "time", "subdetector"), "clue": ("cell_id", "subdetector"), "grid": ("time",)}
+#: what a stored cloud tells beside its parameters
+LAYERS = {"layer_bits": {"start": 19, "width": 9}}
+FEATURES = {
+    "dbscan": LAYERS | {"xy_scale_mm": db.MM, "time_scale_ns": db.NS, "features": "[(x/5mm),(y/5mm),(time-median)/1ns]"},
+    "clue": LAYERS | {"xy_scale_mm": cl.MM, "features": "[(x/5mm),(y/5mm)]"},
+    "grid": {"features": "[axis layer,(u),(v)]"},
+}
 
 
 def printed(df: DataFrame) -> None:
@@ -32,19 +43,28 @@ def printed(df: DataFrame) -> None:
 
 def clustered(spark: SparkSession, args, tool: str, run, params: dict) -> str:
     """Labels per layer, their cloud and its report; the path written."""
-    steps = read_steps(spark, args.input, need=("cell_id",))
+    path = target(spark, args, tool, params)
+    steps = read_steps(spark, args.input, need=NEEDED[tool.split("_")[0]])
+    names = steps.schema[CARRIER].metadata.get("subdetector_names")
     if args.n_events is not None:
         steps = se.first_n_events(steps, args.n_events)
     labelled = cut_lineage(run(steps))
     cloud = cut_lineage(rd.point_cloud(labelled, se.LAYER_KEYS, ["label"]))
     printed(rd.noise_report(labelled))
     printed(rd.compression_report(labelled, cloud))
-    return stored(cloud, args, tool, params)
+    return stored(cloud, path, {"algorithm": tool} | FEATURES[tool.split("_")[0]] | params, names)
+
+
+def target(spark: SparkSession, args, tool: str, params: dict) -> str:
+    """Where the cloud goes; told before any work if something is there already."""
+    path = args.output or output_name(args.input, tool, **params, n=args.n_events)
+    if exists(spark, path):
+        raise FileExistsError(path)
+    return path
 
 
-def stored(cloud: DataFrame, args, tool: str, params: dict) -> str:
-    path = args.output or output_name(args.input, tool, **params)
-    write_cloud(cloud, path, params)
+def stored(cloud: DataFrame, path: str, params: dict, names: dict | None) -> str:
+    write_cloud(cloud, path, {k: v for k, v in params.items() if v is not None}, names)
     print(f"written {path}")
     return path
 
@@ -59,29 +79,34 @@ def run_dbscan(spark: SparkSession, args) -> str:
 
 def run_clue(spark: SparkSession, args) -> str:
     params = {k: getattr(args, k) for k in ("dc", "rhoc", "deltac", "outlier_factor", "min_points")}
+    params["outlier_factor"] = params["outlier_factor"] or None  # 0: off
     return clustered(spark, args, "clue", lambda s: cl.clue(s, **params, exact=args.exact), params)
 
 
 def run_grid(spark: SparkSession, args) -> str:
-    steps = read_steps(spark, args.input)
-    steps = cut_lineage(se.ecal_only(steps) if args.n_events is None else se.grid_scan(steps, args.n_events))
     gate = {k: getattr(args, k) for k in ("bridge_energy_factor", "similarity_ratio", "bridge_min_hits")}
     params = {k: getattr(args, k) for k in ("second_stage", "grid_mm", "fd_min", "fd_max", "axis_quantile")}
-    cloud = cut_lineage(gr.grid_cloud(steps, **params, **({} if args.second_stage == "none" else gate)))
+    every = params | ({} if args.second_stage == "none" else gate)
+    path = target(spark, args, "grid", every)
+    steps = read_steps(spark, args.input, need=NEEDED["grid"])
+    names = steps.schema[CARRIER].metadata.get("subdetector_names")
+    steps = cut_lineage(se.ecal_only(steps) if args.n_events is None else se.grid_scan(steps, args.n_events))
+    cloud = cut_lineage(gr.grid_cloud(steps, **every))
     printed(rd.compression_report(steps, cloud))
-    return stored(cloud, args, "grid", params | ({} if args.second_stage == "none" else gate))
+    return stored(cloud, path, {"algorithm": "grid"} | FEATURES["grid"] | every, names)
 
 
-def comparison(spark: SparkSession, before: str, after: str) -> tuple[DataFrame, DataFrame]:
-    """The barrel's steps and the points of a stored cloud, numbered within their event by their values."""
-    rows = se.ecal_only(read_steps(spark, before))
-    points = spark.read.parquet(after).where("subdetector = 0")
+def comparison(spark: SparkSession, before: str, after: str, ecal_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The steps (of the barrel only, if asked for) of a table and the points of a cloud, numbered within their event by their values."""
+    rows, points = read_steps(spark, before), read_steps(spark, after)
+    if ecal_only:
+        rows, points = se.ecal_only(rows), se.ecal_only(points)
     order = W.partitionBy("event_id").orderBy("x", "y", "z", "energy")
     return rows, points.select("event_id", F.row_number().over(order).cast("long").alias("step_id"), *"xyz", "energy")
 
 
 def run_validate(spark: SparkSession, args) -> str:
-    before, after = comparison(spark, args.before, args.after)
+    before, after = comparison(spark, args.before, args.after, args.ecal_only)
     if se.common_events(before, after).isEmpty():
         raise ValueError("the two tables have no event in common")
     direction = tuple(args.direction) if args.direction else None
@@ -95,13 +120,22 @@ def run_validate(spark: SparkSession, args) -> str:
 
 
 def run_view(spark: SparkSession, args) -> str:
-    before, after = (read_steps(spark, p) if i == 0 else spark.read.parquet(p) for i, p in enumerate((args.before, args.after)))
-    side = lambda df, name: se.one_event(df, args.event, args.subdetector).select(F.lit(name).alias("side"), "event_id", *"xyz", "energy")
-    both = side(before, va.BEFORE).unionByName(side(after, va.AFTER)).where("energy > 0")  # one event
-    points = cut_lineage(both.withColumn("step_id", F.row_number().over(W.partitionBy("event_id").orderBy("side", *"xyz", "energy")).cast("long")))
+    before, after = read_steps(spark, args.before), read_steps(spark, args.after)
+    common = se.common_events(before, after)
+    event = args.event if args.event is not None else common.agg(F.min("event_id")).first()[0]
+    if event is None:
+        raise ValueError("the two tables have no event in common")
+    if common.where(F.col("event_id") == event).isEmpty():
+        raise ValueError(f"event {event} is not on both sides")
+    side = lambda df, name: df.where(F.col("event_id") == event).select(F.lit(name).alias("side"), "event_id", "subdetector", *"xyz", "energy")
+    both = side(before, va.BEFORE).unionByName(side(after, va.AFTER))
+    if args.subdetector is not None:
+        both = both.where(F.col("subdetector") == args.subdetector)
+    number = F.row_number().over(W.partitionBy("event_id").orderBy("side", *"xyz", "energy")).cast("long")  # one event
+    points = cut_lineage(both.drop("subdetector").withColumn("step_id", number))
     if points.isEmpty():
-        raise ValueError(f"event {args.event} has no energy")
-    tables = {"points": vw.view_points(points), "config": vw.view_config(points, args.event, args.subdetector, args.qlo, args.qhi), "colours": vw.color_range(points)}
+        raise ValueError(f"event {event} has no steps of subdetector {args.subdetector}")
+    tables = {"points": vw.view_points(points), "config": vw.view_config(points, event, args.subdetector, args.qlo, args.qhi), "colours": vw.color_range(points)}
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{args.output}/{name}")
     return args.output
@@ -121,6 +155,23 @@ def positive(text: str) -> float:
     return value
 
 
+def events(text: str) -> int | None:
+    """A number of events, or all."""
+    if text == "all":
+        return None
+    value = int(text)
+    if value < 1:
+        raise argparse.ArgumentTypeError("a number of events is at least 1")
+    return value
+
+
+def factor(text: str) -> float:
+    value = float(text)
+    if not value >= 0:
+        raise argparse.ArgumentTypeError("must not be below 0")
+    return value
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="showerloom.tools", description="Shower compression, comparison and picture tables.")
     tools = out.add_subparsers(dest="tool", required=True)
@@ -135,7 +186,7 @@ def parser() -> argparse.ArgumentParser:
 
     for name, run in (("dbscan", run_dbscan), ("clue", run_clue), ("grid", run_grid)):
         p = tool(name, run)
-        p.add_argument("--n-events", type=int)
+        p.add_argument("--n-events", type=events, default=100)
         if name == "dbscan":
             p.add_argument("--eps", type=positive, default=1.5)
             p.add_argument("--min-samples", type=int, default=5)
@@ -145,7 +196,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--k-tail", type=positive, default=0.6)
         elif name == "clue":
             for key, default in cl.PARAMS.items():
-                p.add_argument("--" + key.replace("_", "-"), type=int if key == "min_points" else positive, default=default)
+                p.add_argument("--" + key.replace("_", "-"), type={"min_points": int, "outlier_factor": factor}.get(key, positive), default=default)
             p.add_argument("--exact", action="store_true")
         else:
             p.add_argument("--second-stage", choices=("none", "ccl4", "ccl8"), default=gr.PARAMS["second_stage"])
@@ -156,12 +207,13 @@ def parser() -> argparse.ArgumentParser:
     p = tool("validate", run_validate, True)
     p.add_argument("--n-events", type=int)
     p.add_argument("--direction", type=float, nargs=3)
+    p.add_argument("--no-ecal-only", dest="ecal_only", action="store_false")
     p.add_argument("--anchor", choices=("before_min", "none"), default="before_min")
     p.add_argument("--qlo", type=quantile, default=va.Q_LOW)
     p.add_argument("--qhi", type=quantile, default=va.Q_HIGH)
     p = tool("view", run_view, True)
-    p.add_argument("--event", type=int, required=True)
-    p.add_argument("--subdetector", type=int, default=0)
+    p.add_argument("--event", type=int)
+    p.add_argument("--subdetector", type=int)
     p.add_argument("--qlo", type=quantile, default=0.02)
     p.add_argument("--qhi", type=quantile, default=0.98)
     return out

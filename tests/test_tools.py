@@ -1,5 +1,6 @@
 """The command lines from a stored table to stored results, and formulas against plain numbers."""
 
+import json
 import math
 import random
 
@@ -11,7 +12,7 @@ from showerloom import tools
 from showerloom.functions.stats import fd_width, weighted_mean, with_axis
 from showerloom.operators import grid, validate
 from showerloom.operators.reduce import point_cloud
-from showerloom.sources.steps import ensure_columns, steps_view
+from showerloom.sources.steps import described, ensure_columns, read_steps, run_params, steps_view, subdetector_names
 
 from .test_operators import cloud_of, steps
 
@@ -32,7 +33,9 @@ def energy(df):
 def test_clouds_from_the_command_line(spark, stored, tmp_path, capsys, argv):
     out = tools.main([argv[0], stored, "--output", str(tmp_path / "cloud"), *argv[1:]], spark)
     cloud, before = spark.read.parquet(out), spark.read.parquet(stored)
-    assert "n_before" in capsys.readouterr().out and spark.read.parquet(out + ".params").count() == 1
+    assert "n_before" in capsys.readouterr().out
+    told = run_params(cloud).first()
+    assert told.units == "mm, MeV, ns" and json.loads(told.cluster_params)["algorithm"].startswith(argv[0]) and told.n_rows == cloud.count()
     assert {r.event_id for r in cloud.select("event_id").distinct().collect()} == ({1} if "--n-events" in argv else {1, 2})
     whole = before.where("event_id = 1") if "--n-events" in argv else before
     assert math.isclose(energy(cloud), energy(whole)) if argv[0] == "grid" else 0 < energy(cloud) <= energy(whole) + 1e-9
@@ -67,6 +70,69 @@ def test_input_checks(spark, stored, tmp_path):
         tools.main(["dbscan", str(tmp_path / "flat.parquet")], spark)
 
 
+@pytest.mark.parametrize(("tool", "column"), [("dbscan", "time"), ("dbscan", "subdetector"), ("clue", "subdetector"), ("grid", "time")])
+def test_missing_columns_are_told(spark, stored, tmp_path, tool, column):
+    """A table without time would cluster to noise alone."""
+    spark.read.parquet(stored).drop(column).write.parquet(str(tmp_path / "less"))
+    with pytest.raises(ValueError, match=column):
+        tools.main([tool, str(tmp_path / "less"), "--output", str(tmp_path / "out")], spark)
+
+
+def test_paths_are_looked_at_first(spark, stored, tmp_path, monkeypatch):
+    with pytest.raises(FileNotFoundError):
+        tools.main(["dbscan", str(tmp_path / "nothing.parquet")], spark)
+    out = tools.main(["grid", stored, "--output", str(tmp_path / "cloud"), "--n-events", "all"], spark)
+    monkeypatch.setattr(tools, "read_steps", lambda *a, **k: pytest.fail("work was begun"))
+    for tool in ("grid", "dbscan", "clue"):
+        with pytest.raises(FileExistsError):
+            tools.main([tool, stored, "--output", out], spark)
+
+
+def test_names_tell_the_events(spark, stored):
+    names = [tools.target(spark, tools.parser().parse_args(["grid", stored, *a]), "grid", {"grid_mm": 3.0}) for a in ([], ["--n-events", "3"], ["--n-events", "all"])]
+    assert names == ["steps_grid_grid_mm3_n100.parquet", "steps_grid_grid_mm3_n3.parquet", "steps_grid_grid_mm3.parquet"]
+
+
+def test_no_outliers_where_the_factor_is_0(spark, stored, tmp_path):
+    a, b = (spark.read.parquet(tools.main(["clue", stored, "--output", str(tmp_path / str(i)), *x], spark)) for i, x in enumerate(([], ["--outlier-factor", "0"])))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_view_keeps_what_has_no_energy(spark, tmp_path):
+    rows = [(3, 0, 0, 0, 0, 0, 0, 0), (3, 1, 5, 5, 5, 2, 0, 0), (3, 2, 9, 9, 9, -1, 0, 0), (7, 0, 1, 1, 1, 1, 0, 0)]
+    before, after = str(tmp_path / "b"), str(tmp_path / "a")
+    steps(spark, rows).write.parquet(before)
+    steps(spark, rows[1:3]).withColumn("subdetector", F.lit(1)).write.parquet(after)
+    view = tools.main(["view", before, after, "--output", str(tmp_path / "w")], spark)  # event 3 is the first on both sides
+    points = spark.read.parquet(f"{view}/points").collect()
+    assert sorted((r.event_id, r.side, r.x) for r in points) == [(3, "after", 5.0), (3, "after", 9.0), (3, "before", 0.0), (3, "before", 5.0), (3, "before", 9.0)]
+    one = tools.main(["view", before, after, "--subdetector", "0", "--output", str(tmp_path / "one")], spark)  # one side is empty
+    assert {r.side for r in spark.read.parquet(f"{one}/points").collect()} == {"before"}
+    with pytest.raises(ValueError, match="subdetector 5"):
+        tools.main(["view", before, after, "--subdetector", "5", "--output", str(tmp_path / "none")], spark)
+    with pytest.raises(ValueError, match="both sides"):
+        tools.main(["view", before, after, "--event", "7", "--output", str(tmp_path / "none")], spark)
+
+
+def test_compare_all_subdetectors(spark, stored, tmp_path):
+    both = spark.read.parquet(stored)
+    both.unionByName(both.withColumns({"subdetector": F.lit(1), "step_id": F.col("step_id") + 1000})).write.parquet(str(tmp_path / "b"))
+    counts = {}
+    for name, extra in (("ecal", []), ("all", ["--no-ecal-only"])):
+        out = tools.main(["validate", str(tmp_path / "b"), str(tmp_path / "b"), "--output", str(tmp_path / name), *extra], spark)
+        counts[name] = spark.read.parquet(f"{out}/histograms").where("observable = 'log_energy'").agg(F.sum("value")).first()[0]
+    assert counts["all"] > 1.5 * counts["ecal"]
+
+
+def test_names_and_units_survive_the_tools(spark, stored, tmp_path):
+    named = described(spark.read.parquet(stored), names={0: "barrel", 4: "other"})
+    named.write.parquet(str(tmp_path / "in"))
+    assert read_steps(spark, str(tmp_path / "in")).schema["event_id"].metadata["subdetector_names"] == {"0": "barrel", "4": "other"}
+    cloud = spark.read.parquet(tools.main(["grid", str(tmp_path / "in"), "--output", str(tmp_path / "out")], spark))
+    assert [(r.subdetector, r.name, r.n_rows) for r in subdetector_names(cloud).collect()] == [(0, "barrel", cloud.count())]
+    assert cloud.schema["energy"].metadata == {"unit": "MeV"} and cloud.schema["time"].metadata == {"unit": "ns"}
+
+
 def test_steps_without_numbers_are_numbered_by_their_values(spark):
     rows = [(1, float(i), 0.0, 0.0, 1.0 + i) for i in range(6)]
     df = spark.createDataFrame(rows, "event_id int, x double, y double, z double, energy double")
