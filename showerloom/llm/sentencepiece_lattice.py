@@ -527,7 +527,8 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", keep: list[str] | No
     n_blocks = ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) / block_bytes)
     packets = 8 * parts(spark)
     held = spark.sparkContext.broadcast(Words(model, head_words(docs, model, sample_docs, head), packets))  # one copy per Python worker
-    rows = zipped(rows.withColumn(block, F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}), {n_blocks})")), size)
+    hashed = ", ".join(f"`{f.name}`" for f in rows.schema if "map<" not in f.dataType.simpleString())  # maps have no hash
+    rows = zipped(rows.withColumn(block, F.expr(f"pmod(xxhash64({hashed}), {n_blocks})")), size)
 
     def ask(rows: pa.Table) -> pa.Table:
         words = held.value

@@ -501,6 +501,8 @@ def test_encoding_equals_the_library(spark, monkeypatch, block_bytes):
         assert ids == lib.encode(r.text or "") and spl.decode_ids(ids, model) == (r.text or "").replace("\u2581", " ")
         assert (r._rid, r._block, r.big) == (1, 9, r.doc_id + 2**60)
     assert spl.encode(df.limit(0), model).count() == 0
+    mapped = df.limit(3).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    assert spl.encode(mapped, model, sample_docs=3, head=20).where("m['a'] = 1").count() == mapped.count()
 
 
 def test_lost_answers_are_errors():
