@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LAYER_KEYS = ["event_id", "subdetector", "layer"]
+#: ids of events that are broadcast without a look at their size
+BROADCAST_IDS = 100_000
 
 
 def first_n_events(steps: DataFrame, n: int) -> DataFrame:
-    """Rows of the n smallest event ids; n ids at most are broadcast."""
+    """Rows of the n smallest event ids."""
     ids = steps.select("event_id").distinct().orderBy("event_id").limit(n)
-    return steps.join(F.broadcast(ids), "event_id", "left_semi")
+    return steps.join(few_ids(ids, n), "event_id", "left_semi")
+
+
+def few_ids(ids: DataFrame, n: int) -> DataFrame:
+    """At most n ids, to be broadcast where these are few; else Spark decides by their size."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
 
 
 def ecal_only(steps: DataFrame) -> DataFrame:
@@ -30,10 +37,6 @@ def min_group(df: DataFrame, keys: list[str], least: int) -> DataFrame:
     return df.withColumn(name, F.count("*").over(W.partitionBy(*keys))).where(F.col(name) >= least).drop(name)
 
 
-def finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-
-
 def common_events(before: DataFrame, after: DataFrame) -> DataFrame:
     """Event ids present on both sides."""
     return before.select("event_id").distinct().join(after.select("event_id").distinct(), "event_id")

@@ -14,6 +14,7 @@ from ..functions.geometry import cross, dot, minus, norm, scaled, settled, wrapp
 from ..functions.stats import circular_mean, covariance, histogram_bin, staged, weighted_mean, weighted_quantiles, with_axis, with_basis
 from .graph import cut_lineage
 from .quantiles import exact_quantiles
+from .select import few_ids
 
 BEFORE, AFTER = "before", "after"
 LONG_BINS, R_BINS, LOGE_BINS, LOGE_LOW, LOGE_HIGH, MOMENT_BINS = 30, 50, 50, -8.0, 2.0, 40
@@ -28,7 +29,7 @@ def both_sides(before: DataFrame, after: DataFrame, n_events: int | None = None)
     cols = ["event_id", "step_id", "x", "y", "z", "energy"]
     ids = cut_lineage(before.select("event_id").distinct().join(after.select("event_id").distinct(), "event_id"))
     if n_events is not None:
-        ids = F.broadcast(ids.orderBy("event_id").limit(n_events))
+        ids = few_ids(ids.orderBy("event_id").limit(n_events), n_events)
     rows = before.select(F.lit(BEFORE).alias("side"), *cols).unionByName(after.select(F.lit(AFTER).alias("side"), *cols))
     return rows.join(ids, "event_id", "left_semi")
 

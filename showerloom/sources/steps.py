@@ -55,10 +55,10 @@ def read_steps(spark: SparkSession, path: str, need: tuple[str, ...] = ()) -> Da
     if not exists(spark, path):
         raise FileNotFoundError(path)
     if path.endswith((".h5", ".hdf5")):
-        from .hdf5 import Hdf5Steps
+        from .hdf5 import Hdf5Steps, names
 
         spark.dataSource.register(Hdf5Steps)
-        return ensure_columns(spark.read.format("hdf5_steps").load(path), need)
+        return described(ensure_columns(spark.read.format("hdf5_steps").load(path), need), names=names(path))
     return ensure_columns(spark.read.parquet(path), need)
 
 
