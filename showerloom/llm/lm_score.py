@@ -35,7 +35,7 @@ FOLD = 7
 N_CLASSES = 8192
 STATES = 6
 PASSES = 2
-INIT_DOCS = 800
+INIT_DOCS = 1500
 HEAD = 200_000
 #: pseudo-counts of the class emission, spread by class frequency, and of transitions
 PRIOR_EMIT, PRIOR_TRANS = 50.0, 5.0
