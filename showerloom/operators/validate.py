@@ -120,6 +120,13 @@ def energy_closure(rows: DataFrame) -> DataFrame:
     return rows.groupBy("event_id").agg(side(BEFORE).alias("b"), side(AFTER).alias("a")).where("b > 0").select("event_id", F.try_divide("a", "b").alias("closure"))
 
 
+def closure_by_event(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``energy_closure`` of two tables summed apart: without an exchange where both are stored by event in equally many buckets."""
+    total = lambda df, name: df.groupBy("event_id").agg(F.sum("energy").alias(name))
+    both = total(before, "b").join(total(after, "a"), "event_id")
+    return both.where("b > 0").select("event_id", F.try_divide("a", "b").alias("closure"))
+
+
 def kept_fraction(rows: DataFrame) -> DataFrame:
     """(event_id, side, f_keep) from rows with kept; null without energy."""
     inside = F.coalesce(F.sum(F.when(F.col("kept"), F.col("energy"))), F.lit(0.0))

@@ -21,6 +21,7 @@ from ..operators import select as se
 from ..operators import validate as va
 from ..operators import view as vw
 from ..operators.graph import cut_lineage, shared_folder
+from ..sources.by_event import read_by_event, store_by_event
 from ..sources.steps import run_params, steps_view, subdetector_names, write_cloud
 from .oracle import _wq, with_ctes
 
@@ -399,6 +400,15 @@ def energy_closure(spark, d):
     return rounded(va.energy_closure(va.both_sides(ecal(spark, d), after(spark, d))), ["event_id"], ["closure"], 6)
 
 
+@query(f"SELECT event_id, {r('closure', digits=6)} FROM closure")
+def stored_closure(spark, d):
+    """The closure of two tables stored by event."""
+    at = f"{shared_folder(spark)}/by_event-{uuid.uuid4().hex}"
+    for df, side in ((ecal(spark, d), "before"), (after(spark, d), "after")):
+        store_by_event(df, f"{at}/{side}")
+    return rounded(va.closure_by_event(read_by_event(spark, f"{at}/before"), read_by_event(spark, f"{at}/after")), ["event_id"], ["closure"], 6)
+
+
 @query("SELECT event_id, side, floor((CASE WHEN sum(energy) > 0 THEN coalesce(sum(CASE WHEN kept THEN energy END), 0) / sum(energy) END) * CAST(1000000 AS DOUBLE) + 0.5) / CAST(1000000 AS DOUBLE) AS f_keep FROM flagged GROUP BY event_id, side")
 def f_keep(spark, d):
     return rounded(va.kept_fraction(prepared(spark, d)[0]), ["event_id", "side"], ["f_keep"], 6)

@@ -51,7 +51,7 @@ def ensure_columns(df: DataFrame, need: tuple[str, ...] = ()) -> DataFrame:
 
 
 def read_steps(spark: SparkSession, path: str, need: tuple[str, ...] = ()) -> DataFrame:
-    """Parquet steps; .h5 files through the Python data source (needs h5py)."""
+    """Parquet steps, those stored by event in their buckets; .h5 files through the Python data source (needs h5py)."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
     if path.endswith((".h5", ".hdf5")):
@@ -59,6 +59,10 @@ def read_steps(spark: SparkSession, path: str, need: tuple[str, ...] = ()) -> Da
 
         spark.dataSource.register(Hdf5Steps)
         return described(ensure_columns(spark.read.format("hdf5_steps").load(path), need), names=names(path))
+    from .by_event import read_by_event, stored_by_event
+
+    if stored_by_event(spark, path):
+        return ensure_columns(read_by_event(spark, path), need)
     return ensure_columns(spark.read.parquet(path), need)
 
 

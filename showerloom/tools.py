@@ -1,8 +1,8 @@
-"""Command lines: ``python -m showerloom.tools dbscan|clue|grid|validate|view``.
+"""Command lines: ``python -m showerloom.tools dbscan|clue|grid|store|validate|view``.
 
 Each reads steps (Parquet, or HDF5 where h5py is there), runs the operators and writes Parquet: a point
-cloud with its parameters in its schema, the tables of a comparison, or those of a picture.  Reports are
-printed.  The session comes from the usual Spark settings (``spark-submit`` or the environment).
+cloud with its parameters in its schema, the tables of a comparison, those of a picture, or the steps
+themselves stored by event.  Reports are printed.  The session comes from the usual Spark settings (``spark-submit`` or the environment).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from .operators import select as se
 from .operators import validate as va
 from .operators import view as vw
 from .operators.graph import cut_lineage
+from .sources.by_event import BUCKETS, store_by_event
 from .sources.steps import CARRIER, exists, output_name, read_steps, write_cloud
 
 
@@ -96,6 +97,14 @@ def run_grid(spark: SparkSession, args) -> str:
     return stored(cloud, path, {"algorithm": "grid"} | FEATURES["grid"] | every, names)
 
 
+def run_store(spark: SparkSession, args) -> str:
+    if args.buckets < 1:
+        raise ValueError("a table has at least one bucket")
+    store_by_event(read_steps(spark, args.input), args.output, args.buckets)
+    print(f"written {args.output}")
+    return args.output
+
+
 def comparison(spark: SparkSession, before: str, after: str, ecal_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """The steps (of the barrel only, if asked for) of a table and the points of a cloud, numbered within their event by their values."""
     rows, points = read_steps(spark, before), read_steps(spark, after)
@@ -204,6 +213,11 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument("--" + key.replace("_", "-"), type=positive, default=gr.PARAMS[key])
             p.add_argument("--axis-quantile", type=quantile, default=gr.PARAMS["axis_quantile"])
             p.add_argument("--bridge-min-hits", type=int, default=gr.PARAMS["bridge_min_hits"])
+    p = tools.add_parser("store")
+    p.set_defaults(run=run_store)
+    p.add_argument("input")
+    p.add_argument("--output", required=True)
+    p.add_argument("--buckets", type=int, default=BUCKETS)
     p = tool("validate", run_validate, True)
     p.add_argument("--n-events", type=int)
     p.add_argument("--direction", type=float, nargs=3)
