@@ -8,11 +8,13 @@ All other urls get their host's verdict.  Hosts are linked by the absolute ``hre
 (links within a host aside; repeated links add weight).  Trust is PageRank personalised on the hosts
 of allowed urls, distrust the same on reversed links from the hosts of blocked urls, each seed
 weighted by its urls.  Both use x = (1 - d) s + d M'x without a jump from dead ends; scaled to sum 1
-that is the fixed point of the variant in which dead ends jump to the seeds.  Rounds go on until
-what all further ones could add to any host is below a tenth of ``MARGIN``.  A host is blocked
-where distrust exceeds trust by more than ``MARGIN``.
+that is the fixed point of the variant in which dead ends jump to the seeds.  A host is blocked
+where its distrust exceeds its trust by more than ``MARGIN`` of the mean share of a host, so the verdict
+doesn't hang on the number of hosts.  Paths of up to ``ROUNDS`` links count: all longer ones together would
+add less than a tenth of ``MARGIN`` to the sum over all hosts, at any size.  Rounds end before where nothing
+more arrives.
 
-Only aggregates per (host, host) and per host are shuffled; the one broadcast holds two sums, and the
+Only aggregates per (host, host) and per host are shuffled; the broadcasts hold two sums and a count, and the
 join of pages with verdicts can be split by AQE where one host has most pages.
 
 Edge cases: a null url or one without ``://`` has empty host and path, fits no rule and, unless
@@ -23,7 +25,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from itertools import count
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +35,13 @@ from .common import LOWER, UPPER, ascii_lower, cut, table
 BLOCK, ALLOW = "block", "allow"
 #: (verdict, host, path)
 RULES = ((BLOCK, "net", "/"), (ALLOW, "example.net", "/en/"), (BLOCK, "example.com", "/de/"), (ALLOW, "org", "/fr/"))
-DAMPING, ROUNDS, MARGIN = 0.85, 12, 1e-9
+DAMPING, MARGIN = 0.85, 0.01
 URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = """(?is)href\\s*=\\s*["']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\\s>]+)"""
-#: rounds between checkpoints and tests of convergence
+#: rounds between checkpoints and looks at whether anything still arrives
 CUT_EVERY = 4
+#: the first multiple of CUT_EVERY after which all further rounds add less than MARGIN / 10 in all
+ROUNDS = CUT_EVERY * ceil(log(MARGIN / 10, DAMPING) / CUT_EVERY)
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -65,30 +69,25 @@ def shares(rows: DataFrame, value: str) -> DataFrame:
     return rows.join(F.broadcast(rows.groupBy("kind").agg(F.sum(value).alias("total"))), "kind")
 
 
-def host_ranks(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
-    """(kind, host, rank) from edges (src, dst, n) and seeds (kind, host, n): forward for allow, reversed for block.
-
-    rounds: None for as many as it takes.  Ranks only grow, and what CUT_EVERY rounds add in all falls
-    by DAMPING ** CUT_EVERY at least, which bounds all that follows.
-    """
+def host_ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, host, rank) from edges (src, dst, n) and seeds (kind, host, n): forward for allow, reversed for block."""
     both = edges.select(F.lit(ALLOW).alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit(BLOCK).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     both = cut(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("p")))
     start = cut(shares(seeds, "n").select("kind", "host", ((1 - DAMPING) * F.col("n") / F.col("total")).alias("rank")))
-    rank, total, fall = start, {}, DAMPING**CUT_EVERY
-    for i in count() if rounds is None else range(rounds):
+    rank, total = start, None
+    for i in range(rounds):
         flow = both.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(DAMPING) * F.col("p") * F.col("rank")).alias("rank"))
         rank = start.unionByName(flow).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if i % CUT_EVERY == CUT_EVERY - 1:
             rank, before = cut(rank), total
-            if rounds is None:
-                total = {r["kind"]: r["total"] for r in rank.groupBy("kind").agg(F.sum("rank").alias("total")).collect()}
-                if all((t - before.get(kind, 1 - DAMPING)) * fall / (1 - fall) < MARGIN * t / 10 for kind, t in total.items()):
-                    break
+            total = rank.agg(F.sum("rank")).first()[0]
+            if total == before or i < CUT_EVERY and total == start.agg(F.sum("rank")).first()[0]:
+                break  # ranks only grow
     return rank
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     """page_id, host, path, rule, verdict of every page (page_id, url, html)."""
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
@@ -98,7 +97,9 @@ def judge(pages: DataFrame, rules=RULES, rounds: int | None = None) -> DataFrame
     ranks = host_ranks(links(rows), seeds, rounds)
     ranks = shares(ranks, "rank").withColumn("rank", F.col("rank") / F.col("total"))
     lean = F.sum(F.when(F.col("kind") == BLOCK, F.col("rank")).otherwise(-F.col("rank")))
-    hosts = ranks.groupBy("host").agg(lean.alias("lean")).where(F.col("lean") > MARGIN).select("host", F.lit(BLOCK).alias("found"))
+    hosts = cut(ranks.groupBy("host").agg(lean.alias("lean")))
+    n = hosts.agg(F.count("*").alias("n"))  # one row
+    hosts = hosts.join(F.broadcast(n)).where(F.col("lean") * F.col("n") > MARGIN).select("host", F.lit(BLOCK).alias("found"))
     return ruled.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "found", F.lit(ALLOW)).alias("verdict"))
 
 
@@ -128,7 +129,7 @@ b AS (SELECT '{ALLOW}' AS kind, src, dst, n FROM n UNION ALL SELECT '{BLOCK}', d
 e AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS p FROM b),
 x0 AS MATERIALIZED (SELECT kind, host, CAST(0.15 AS DOUBLE) * n / sum(n) OVER (PARTITION BY kind) AS rank FROM (SELECT ruled AS kind, host, count(*) AS n FROM p WHERE ruled IS NOT NULL GROUP BY ALL)){steps},
 h AS (SELECT host, sum(CASE WHEN kind = '{BLOCK}' THEN rank ELSE -rank END) AS lean FROM (SELECT kind, host, rank / sum(rank) OVER (PARTITION BY kind) AS rank FROM x{ROUNDS}) GROUP BY host)
-SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN lean > {MARGIN} THEN '{BLOCK}' END, '{ALLOW}') AS verdict FROM p LEFT JOIN h ON p.host = h.host"""
+SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN lean * (SELECT count(*) FROM h) > {MARGIN} THEN '{BLOCK}' END, '{ALLOW}') AS verdict FROM p LEFT JOIN h ON p.host = h.host"""
 
 
 ORACLE = {"op1_url_filter": _sql()}
