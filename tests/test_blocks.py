@@ -69,3 +69,13 @@ def test_an_empty_table_has_no_labels(spark):
     for f in (dbscan.dbscan, dbscan.dbscan_adaptive, clue.clue):
         assert f(none).count() == 0
     assert blocks.split(none.withColumn("layer", F.lit(1)), LAYER_KEYS)[1] is None
+
+
+def test_adaptive_in_blocks_as_by_joins(spark, monkeypatch):
+    rng = random.Random(8)
+    far = [(9, 200 + i, rng.gauss(5, 1) + 9, rng.gauss(0, 3), 0, 0.2, rng.uniform(0, 1), 0) for i in range(50)]
+    rows = [*lattice(rng, 150, 2), *far, *((9, i, rng.gauss(0, 2), rng.gauss(0, 2), 0, 2, rng.uniform(0, 1), 0) for i in range(60))]
+    take = lambda: sorted((r.event_id, r.step_id, r.label) for r in dbscan.dbscan_adaptive(steps(spark, rows), eps=2.5, min_samples=4).collect())
+    got = take()
+    monkeypatch.setattr(blocks, "WHOLE", 0)
+    assert got == take() and len({x[2] for x in got}) > 3
