@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from showerloom.operators import blocks, clue, dbscan
+from showerloom.operators import blocks, clue, dbscan, graph, select, validate
 from showerloom.operators.select import LAYER_KEYS
 
 from .test_operators import brute_dbscan, cloud_of, steps
@@ -79,3 +79,26 @@ def test_adaptive_in_blocks_as_by_joins(spark, monkeypatch):
     got = take()
     monkeypatch.setattr(blocks, "WHOLE", 0)
     assert got == take() and len({x[2] for x in got}) > 3
+
+
+def exchanged(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_stay_beside_a_table_of_events(spark, monkeypatch):
+    """Rows are not sent to meet what is known of their event; beyond the bound they are, with the same result."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = spark.range(400).select((F.col("id") % 7).alias("event_id"), "id")
+    known = graph.cut_lineage(rows.groupBy("event_id").agg(F.max("id").alias("most")))
+    near = select.with_event(rows, known)
+    assert exchanged(near) == 0
+    monkeypatch.setattr(select, "BROADCAST_EVENTS", 3)
+    far = select.with_event(rows, known)
+    assert exchanged(far) == 2 and sorted(near.collect()) == sorted(far.collect())
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_step_tables_of_a_comparison_are_sent_once_for_both_quantiles(spark):
+    rows = steps(spark, cloud_of(random.Random(2), 60)).withColumns({"side": F.lit("before"), "r": F.col("x"), "long": F.col("z")})
+    plan = validate.containment(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(event_id" in plan and "observable" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
