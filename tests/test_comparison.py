@@ -46,3 +46,15 @@ def test_settings_share_the_geometry(spark, small, tmp_path, monkeypatch):
     grids = [{"name": f"g{mm}", "tool": "grid", "parameters": {"second_stage": "none", "grid_mm": float(mm)}} for mm in (2, 3)]
     compare_settings.run(spark, source, target, settings | {"settings": grids})
     assert len(made) == 1 and spark.read.parquet(target).count() == 8
+
+
+def test_tasks_go_by_rows_where_an_event_is_sorted(spark, monkeypatch):
+    """More rows than the cores' tasks should sort get tasks of their own number, whatever their compressed size; the rows stay the same."""
+    from showerloom.operators import select as se
+
+    rows = spark.range(4000).selectExpr("id % 100 AS event_id", "id")
+    monkeypatch.setattr(se, "ROWS_PER_TASK", 100)
+    got = se.sent_by_event(rows, 4000)
+    assert got.rdd.getNumPartitions() == 40
+    assert got.groupBy("event_id").agg({"id": "count"}).where("`count(id)` = 40").count() == 100
+    assert se.sent_by_event(rows, 100).count() == 4000
