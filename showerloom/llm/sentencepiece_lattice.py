@@ -45,11 +45,13 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
+from itertools import filterfalse
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,6 +108,11 @@ def word_of(key: str) -> str:
     return key[1:] if key[0] == " " else SPACE + key
 
 
+def strings(column: pa.Array) -> list[str]:
+    """to_pylist() of strings in a tenth of its time."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 @dataclass
 class Model:
     """A piece table: ids by piece, scores by piece, bytes, unknown id, type, dummy prefix."""
@@ -160,6 +167,24 @@ class Model:
             return t.split(" ")
         return [key_of(c) for c in COARSE.findall((" " * self.prefix + t).replace(" ", SPACE))] if t else []
 
+    def split(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(different keys of the texts, their numbers key by key, each text's first and last of these and one): keys() of all texts, those with single spaces in Arrow."""
+        plain = [(t or "").replace(SPACE, " ") for t in texts]
+        single = np.array([self.prefix and t != "" and "  " not in t and t[0] != " " and t[-1] != " " for t in plain], bool)
+        lists = pc.split_pattern(pa.array([t for t, one in zip(plain, single, strict=True) if one], pa.large_string()), " ")
+        other = [self.keys(t) for t, one in zip(plain, single, strict=True) if not one]
+        found = pa.concat_arrays([lists.flatten(), pa.array([k for ks in other for k in ks], pa.large_string())]).dictionary_encode()
+        n = np.zeros(len(texts), np.int64)
+        n[single], n[~single] = pc.list_value_length(lists).to_numpy(), list(map(len, other))
+        order = np.r_[np.flatnonzero(single), np.flatnonzero(~single)]  # as the keys lie
+        last = np.empty_like(n)
+        last[order] = np.cumsum(n[order])
+        return strings(found.dictionary), found.indices.to_numpy(), last - n, last
+
+    @cached_property
+    def bytes_of(self) -> pa.LargeBinaryArray:
+        return pa.array(self.texts, pa.large_binary())
+
     @cached_property
     def late(self) -> frozenset[str]:
         """Pieces that one pass over the edges of their own text, by rank, doesn't put together."""
@@ -391,26 +416,36 @@ class Words:
                 return [SPACE + key[:-1], end]
         return self.model.fine(word_of(key))
 
-    def missing(self, texts: list[str | None]) -> tuple[dict[str, list[str]], list[str]]:
-        """(parts of all words of the texts that are not in the head, by key; parts that need the lattice, by packet)."""
-        keys: set[str] = set()
-        for t in texts:
-            keys.update(self.model.keys(t))
-        parts_, lost = {}, set()
-        for k in keys:
-            if k not in self.head:
-                parts_[k] = ps = self.parts(k)
-                for w in ps:
-                    if len(w) > 1 and w not in lost and self.part(w) is None:
-                        lost.add(w)
-        ordered = sorted(lost)
-        return parts_, [ordered[i] for i in np.argsort(self.packets_of(ordered), kind="stable").tolist()]
+    def missing(self, texts: list[str | None]) -> tuple[dict, list[str]]:
+        """lacking() of the words of the texts."""
+        return self.lacking(self.model.split(texts)[0])
+
+    def lacking(self, keys: list[str]) -> tuple[dict[str, str | list[bytes | str]], list[str]]:
+        """(those of the different keys that are not in the head, with their parts: ids where known, else the part itself; parts that need the lattice, by packet)."""
+        parts_: dict[str, str | list[bytes | str]] = {}
+        known: dict[str, bytes | str] = {}
+        for k in filterfalse(self.head.__contains__, keys):
+            if len(k) < MAX_FOLD and k.isalpha():  # one part, which the head would have by this key
+                w = SPACE + k
+                parts_[k] = known[w] = w
+                continue
+            own = parts_[k] = []
+            for w in self.parts(k):
+                if (got := known.get(w)) is None:
+                    got = known[w] = w if (ids := self.part(w)) is None else ids
+                own.append(got)
+        lost = [w for w, got in known.items() if type(got) is str]
+        packets: list[list[str]] = [[] for _ in range(self.packets)]
+        for w, p in zip(lost, self.packets_of(lost).tolist(), strict=True):
+            packets[p].append(w)
+        return parts_, [w for some in packets for w in sorted(some)]
 
     def packets_of(self, lost: list[str]) -> np.ndarray:
-        return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.packets for w in lost), np.int64, len(lost))
+        coded = " ".join(lost).encode("utf-8", "surrogatepass").split(b" ") if lost else []  # no word holds a space
+        return np.fromiter(map(zlib.crc32, coded), np.int64, len(lost)) % self.packets
 
     def ids(self, parts_: list[str], own: dict[str, bytes]) -> bytes:
-        """Ids of a word; own: the answers of the lattice, all of missing()."""
+        """Ids of a word; own: the answers of the lattice."""
         if len(parts_) == 1 and (got := own.get(parts_[0])) is not None:
             return got
         out = []
@@ -420,10 +455,24 @@ class Words:
             out.append(got)
         return b"".join(out)
 
-    def encode(self, texts: list[str | None], parts_: dict[str, list[str]], own: dict[str, bytes]) -> list[bytes]:
+    def encode(self, texts: list[str | None], parts_: dict, own: dict[str, bytes]) -> list[bytes]:
         """Ids of the texts of a block; parts_ from missing()."""
-        rare, head = {k: self.ids(ps, own) for k, ps in parts_.items()}, self.head.get
-        return [b"".join([ids if (ids := head(k)) is not None else rare[k] for k in self.model.keys(t)]) for t in texts]
+        return self.joined(*self.model.split(texts), parts_, own)
+
+    def joined(self, keys: list[str], numbers: np.ndarray, first: np.ndarray, last: np.ndarray, parts_: dict, own: dict[str, bytes]) -> list[bytes]:
+        """encode() of texts that split() has cut: each different word is looked up once, Arrow puts the texts together."""
+        found = list(map(self.head.get, keys))
+        try:
+            for n, (k, ids) in enumerate(zip(keys, found, strict=True)):
+                if ids is None:
+                    ps = parts_[k]
+                    found[n] = own[ps] if type(ps) is str else b"".join([own[p] if type(p) is str else p for p in ps])
+        except KeyError as e:
+            raise ValueError(f"the lattice gave no answer for {e}") from e
+        ids = pa.array(found, pa.large_binary()).take(pa.array(numbers))
+        ends = np.r_[0, np.cumsum(pc.binary_length(ids).to_numpy())]
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(ends[first].tolist(), ends[last].tolist(), strict=True)]
 
 
 def head_words(docs: DataFrame, model: Model, sample_docs: int = SAMPLE_DOCS, head: int = HEAD) -> dict[str, bytes]:
@@ -461,7 +510,7 @@ def answers(found: DataFrame, held, block: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             words, at = held.value, batch.column("at")
-            ids = [words.pack(pieces_of(w, c)) for w, c in zip(batch.column("word").to_pylist(), batch.column("cuts").to_pylist(), strict=True)]
+            ids = [words.pack(pieces_of(w, c)) for w, c in zip(strings(batch.column("word")), batch.column("cuts").to_numpy().tolist(), strict=True)]
             lists = np.diff(at.offsets.to_numpy())
             rows = at.flatten()
             blocks, number, word = rows.field("b").to_numpy(), rows.field("k").to_numpy(), np.repeat(np.arange(len(ids)), lists)
@@ -485,11 +534,9 @@ def answered(packets, sizes, lost: list[str]) -> dict[str, bytes]:
     for packed, size in zip(packets, sizes, strict=True):
         data = pa.decompress(packed, size, "zstd", asbytes=True)
         n = int(np.frombuffer(data, "<i4", 1)[0])
-        stops = np.cumsum(np.frombuffer(data, "<i4", n, 4)) + 4 + 8 * n
-        start = 4 + 8 * n
-        for k, stop in zip(np.frombuffer(data, "<i4", n, 4 + 4 * n).tolist(), stops.tolist(), strict=True):
+        stops = (np.cumsum(np.frombuffer(data, "<i4", n, 4)) + 4 + 8 * n).tolist()
+        for k, start, stop in zip(np.frombuffer(data, "<i4", n, 4 + 4 * n).tolist(), [4 + 8 * n, *stops], stops, strict=False):
             own[lost[k]] = data[start:stop]
-            start = stop
     if len(own) != len(lost):
         raise ValueError(f"{len(lost) - len(own)} words without an answer of the lattice")
     return own
@@ -547,11 +594,12 @@ def encode(docs: DataFrame, model: Model, out: str = "ids", keep: list[str] | No
 
     def meet(rows: pa.Table, got: pa.Table) -> pa.Table:
         words, texts = held.value, unzipped(rows["text"], rows[size])
-        parts_, lost = words.missing(texts)
-        packed = words.encode(texts, parts_, answered(got["packed"].to_pylist(), got["size"].to_pylist(), lost))
+        split = words.model.split(texts)
+        parts_, lost = words.lacking(split[0])
+        packed = words.joined(*split, parts_, answered(got["packed"].to_pylist(), got["size"].to_pylist(), lost))
         column = pa.array(packed, pa.binary()) if finish is None else finish(texts, packed)
         done = pa.table([pa.array(texts, pa.string()) if f.name == "text" else rows[f.name] for f in kept] + [column], [*kept.names, out])
-        del texts, parts_, lost, packed
+        del texts, split, parts_, lost, packed
         give_back()
         return done
 
@@ -564,6 +612,18 @@ def decode_ids(ids: np.ndarray, model: Model) -> str:
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
+def decodes(texts: list[str | None], packed: list[bytes], model: Model) -> list[bool]:
+    """Whether decode_ids() of each text's ids gives the text; equal bytes are told from all ids at once, others one by one."""
+    ends = np.r_[0, np.cumsum([len(b) // 4 for b in packed], dtype=np.int64)]
+    found = model.bytes_of.take(pa.array(np.frombuffer(b"".join(packed), "<i4")))
+    stops = np.r_[0, np.cumsum(pc.binary_length(found).to_numpy())][ends].tolist()
+    data, space, out = memoryview(found.buffers()[2] or b""), b" " * model.prefix, []
+    for k, t in enumerate(texts):
+        t = (t or "").replace(SPACE, " ")
+        out.append(bytes(data[stops[k] : stops[k + 1]]) == space + t.encode() or decode_ids(np.frombuffer(packed[k], "<i4").tolist(), model) == t)
+    return out
+
+
 @lru_cache(maxsize=4)
 def load_model(path: str) -> Model:
     return Model.load(path)
@@ -574,8 +634,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL
     model = load_model(model_file)
 
     def digest(texts, packed):
-        back = [decode_ids(np.frombuffer(b, "<i4").tolist(), model) == (t or "").replace(SPACE, " ") for t, b in zip(texts, packed, strict=True)]
-        columns = [pa.array([len(b) // 4 for b in packed], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in packed], pa.string()), pa.array(back, pa.bool_())]
+        digests = [hashlib.sha256(b).hexdigest() for b in packed]
+        columns = [pa.array([len(b) // 4 for b in packed], pa.int64()), pa.array(digests, pa.string()), pa.array(decodes(texts, packed, model), pa.bool_())]
         return pa.StructArray.from_arrays(columns, ["n_pieces", "ids_sha256", "round_trip"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

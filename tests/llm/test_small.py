@@ -560,6 +560,40 @@ def test_parts_without_a_pattern_are_those_of_the_pattern():
         assert words.parts(key) == model.fine("\u2581" + key)
 
 
+def test_texts_with_single_spaces_are_cut_together(monkeypatch):
+    """A block's common texts cost no call of keys() each, its odd ones one."""
+    model, calls, keys = spl.Model.load(spl.MODEL_FILE), [], spl.Model.keys
+    monkeypatch.setattr(spl.Model, "keys", lambda self, t: calls.append(t) or keys(self, t))
+    words, texts = spl.Words(model, {}, 3), ["strange unheard words", " odd", "strange, unheard", "strange"]
+    parts, lost = words.missing(texts)
+    got = words.encode(texts, parts, {w: words.pack(model.segment(w)) for w in lost})
+    assert calls == [" odd", " odd"]
+    assert got == [b"".join(words.pack(model.segment(w)) for k in keys(model, t) for w in words.parts(k)) for t in texts]
+
+
+def test_split_gives_the_keys_of_each_text():
+    model, rng = spl.Model.load(spl.MODEL_FILE), random.Random(5)
+    texts = [None, *ODD, *("".join(rng.choice("ab, \u2581\n日é") for _ in range(rng.randrange(12))) for _ in range(500))]
+    for prefix in (True, False):
+        model.prefix = prefix
+        for some in (texts, texts[:1], [], ["one two"], [" one"]):
+            keys, numbers, first, last = model.split(some)
+            assert len(set(keys)) == len(keys)
+            assert [[keys[n] for n in numbers[a:b]] for a, b in zip(first, last, strict=True)] == [model.keys(t) for t in some]
+
+
+def test_round_trips_of_many_texts_are_those_of_each():
+    model, rng = spl.Model.load(spl.MODEL_FILE), random.Random(6)
+    texts = [None, *ODD, "\ufffd", "\u2581", "x"]
+    packed = [np.array(model.spell(model.segment(spl.SPACE + t.replace(" ", spl.SPACE))) if t else [], "<i4").tobytes() for t in texts]
+    pairs = [(t, b) for t in texts for b in [packed[texts.index(t)], rng.choice(packed), np.array([3 + 255, model.unknown], "<i4").tobytes()]]
+    for prefix in (True, False):
+        model.prefix = prefix
+        want = [spl.decode_ids(np.frombuffer(b, "<i4").tolist(), model) == (t or "").replace(spl.SPACE, " ") for t, b in pairs]
+        assert spl.decodes(*map(list, zip(*pairs, strict=True)), model) == want and True in want and False in want
+    assert spl.decodes([], [], model) == []
+
+
 def bpe(scores):
     return spl.Model({p: i + 1 for i, p in enumerate(scores)}, scores, None, 0, spl.BPE, True, [b"?", *(p.replace("▁", " ").encode() for p in scores)])
 
