@@ -71,3 +71,13 @@ def test_clue_cloud_counts_all_steps_of_a_cluster(spark, at):
             if end >= 0:
                 want[*key, ids[end]] = want.get((*key, ids[end]), 0) + 1
     assert {(r.event_id, r.subdetector, r.layer, r.label): r.n_steps for r in reference.QUERIES["clue_cloud"](spark, at).collect()} == want
+
+
+def test_clue_delta_nh_looks_beyond_the_nearest(spark, at):
+    want = {}
+    for (event, *_), (ids, points) in layers(spark, at).items():
+        _, nh, delta = peaks(points, 15.3 / 5, 5.0 * 15.3 / 5)
+        want |= {(event, i): (ids[j] if j >= 0 else -1, np.floor(d * 1e4 + 0.5) / 1e4) for i, j, d in zip(ids, nh, delta, strict=True)}
+    got = {(r.event_id, r.step_id): (r.nh, r.delta) for r in reference.QUERIES["clue_delta_nh"](spark, at).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(v[1] - want[k][1]) < 1.01e-4 for k, v in got.items())
