@@ -81,3 +81,16 @@ def test_clue_delta_nh_looks_beyond_the_nearest(spark, at):
     got = {(r.event_id, r.step_id): (r.nh, r.delta) for r in reference.QUERIES["clue_delta_nh"](spark, at).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(abs(v[1] - want[k][1]) < 1.01e-4 for k, v in got.items())
+
+
+def kinds_of(spark, at, dc, rhoc, factor=None):
+    out = {}
+    for (event, *_), (ids, points) in layers(spark, at).items():
+        rho, _, delta = peaks(points, dc, (factor or 5.0) * dc)
+        out |= {(event, i): k for i, k in zip(ids, kinds(rho, delta, rhoc, dc, factor, dc), strict=True)}
+    return out
+
+
+def test_clue_outlier_types_by_all_steps(spark, at):
+    got = {(r.event_id, r.step_id): r.kind for r in reference.QUERIES["clue_outlier_types"](spark, at).collect()}
+    assert got == kinds_of(spark, at, 1.0, 3.0, 2.0)
