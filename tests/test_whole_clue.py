@@ -94,3 +94,8 @@ def kinds_of(spark, at, dc, rhoc, factor=None):
 def test_clue_outlier_types_by_all_steps(spark, at):
     got = {(r.event_id, r.step_id): r.kind for r in reference.QUERIES["clue_outlier_types"](spark, at).collect()}
     assert got == kinds_of(spark, at, 1.0, 3.0, 2.0)
+
+
+def test_clue_types_by_all_steps(spark, at):
+    got = {(r.event_id, r.step_id): r.kind for r in reference.QUERIES["clue_types"](spark, at).collect()}
+    assert got == kinds_of(spark, at, 15.3 / 5, 5.0)
