@@ -99,3 +99,17 @@ def test_clue_outlier_types_by_all_steps(spark, at):
 def test_clue_types_by_all_steps(spark, at):
     got = {(r.event_id, r.step_id): r.kind for r in reference.QUERIES["clue_types"](spark, at).collect()}
     assert got == kinds_of(spark, at, 15.3 / 5, 5.0)
+
+
+def test_validate_clue_compares_with_the_whole_clusters(spark, at, monkeypatch):
+    """The comparison's cloud is that of clusters by all steps: its points and their steps in the barrel."""
+    taken = []
+    plain = reference.va.prepared
+    monkeypatch.setattr(reference.va, "prepared", lambda rows, cloud: taken.append(cloud) or plain(rows, cloud))
+    reference.QUERIES["validate_clue"](spark, at)
+    own = [(key, *peaks(points, 15.3 / 5, 5.0 * 15.3 / 5)) for key, (_, points) in layers(spark, at).items() if key[1] == 0]
+    sizes = []
+    for key, rho, nh, delta in own:
+        end = np.array(ends(kinds(rho, delta, 5.0, 15.3 / 5), nh))
+        sizes += [(key[0], key[2], n) for n in np.unique(end[end >= 0], return_counts=True)[1]]
+    assert sorted((r.event_id, r.layer, r.n_steps) for r in taken[0].collect()) == sorted(sizes)
